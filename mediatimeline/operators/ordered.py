@@ -210,17 +210,20 @@ def islands(track: Track, starts: Column, name: str = "island") -> Track:
 
 
 def pack(df: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], value: Column, name: str,
-         cuts: Cuts = NO_CUTS, part_rows: int = 10_000) -> DataFrame:
+         cuts: Cuts = NO_CUTS, part_rows: int = 10_000, has_maps: bool = False) -> DataFrame:
     """Ordered array of `value` per group, in parts of at most `part_rows` rows.
 
     A group of usual size gives one row (`part` 0); a larger one gives as many parts as it
-    needs, so no task ever gathers an unbounded group and nothing is dropped.
+    needs, so no task ever gathers an unbounded group and nothing is dropped. `has_maps`: the
+    value holds maps, which have no order, so positions are compared explicitly.
     """
     numbered = Track(df, keys, by, cuts).number("_pos").df
     item = F.struct(F.col("_pos"), value.alias("v"))
+    items = F.collect_list(item)
+    ordered = F.array_sort(items, lambda a, b: F.signum(a["_pos"] - b["_pos"]).cast("int")) if has_maps else F.sort_array(items)
     return (
         numbered.withColumn("part", F.floor((F.col("_pos") - 1) / part_rows))
         .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
+        .agg(ordered.alias("_items"))
         .select(*keys, "part", F.transform("_items", lambda i: i["v"]).alias(name))
     )

@@ -1 +1,209 @@
+"""Totals, batch state, failures, logs and alerts."""
 
+from pyspark.sql import functions as F
+
+from mediatimeline.operators import rollups
+from mediatimeline.plans.bridges import with_sql
+from mediatimeline.plans.registry import query
+
+
+def _timeline(c):
+    """Spans, events inside spans and standalone events: orders, returned and other line items."""
+    spans = c.ol_spans.select("media_id", F.col("description").alias("source"))
+    inner = c.ol_events.filter(F.col("source") == "R")
+    return spans, inner, c.ol_events.filter(F.col("source") != "R")
+
+
+@query(with_sql("ol_spans", "ol_events") + """, r AS (SELECT media_id, 'span' AS kd, description AS source FROM ol_spans UNION ALL SELECT media_id, CASE source WHEN 'R' THEN 'inner' ELSE 'single' END, source FROM ol_events)
+SELECT media_id, count(*) FILTER (kd = 'span') AS total_spans, count(*) FILTER (kd <> 'span') AS total_events, count(*) FILTER (kd = 'inner') AS span_events,
+  count(*) FILTER (kd = 'single') AS standalone_events, string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used FROM r GROUP BY media_id""")
+def timeline_totals(c):
+    return rollups.timeline_totals(*_timeline(c))
+
+
+@query("""WITH t AS (SELECT source AS media_id, doc_id AS ordinal, lang AS source, CASE WHEN doc_id % 4 <> 0 THEN left(text, 40) ELSE '' END AS transcript, 'Speaker_' || (doc_id % 5) AS speaker, 'doc ' || doc_id AS note FROM documents)
+SELECT media_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers, coalesce(string_agg(transcript, ' ' ORDER BY ordinal) FILTER (transcript <> ''), '') AS transcript,
+  string_agg('[' || source || '] ' || note, ';' ORDER BY ordinal) AS notes, 'demucs_combined,' || string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used FROM t GROUP BY media_id""")
+def merge_metadata(c):
+    rows = c.dc.select(
+        F.col("source").alias("media_id"), F.col("doc_id").alias("ordinal"), F.col("lang").alias("source"),
+        F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 40)).otherwise("").alias("transcript"),
+        F.array(F.concat(F.lit("Speaker_"), (F.col("doc_id") % 5).cast("string"))).alias("speakers"),
+        F.array(F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("notes"))
+    out = rollups.merge_metadata(rows)
+    return out.select("media_id", F.array_join("speakers", ",").alias("speakers"), "transcript",
+                      F.array_join("notes", ";").alias("notes"), F.array_join("sources_used", ",").alias("sources_used"))
+
+
+@query(with_sql("cv") + """SELECT media_id, coalesce(string_agg(DISTINCT speaker, ',' ORDER BY speaker) FILTER (speaker <> 'Unknown'), 'Speaker_1') AS speakers, CAST(count(DISTINCT speaker) AS INTEGER) AS speaker_count,
+  count(*) AS segments_count, round(avg("end" - "start"), 6) AS average_segment_duration, round(avg(confidence), 6) AS average_confidence, max("end") AS duration, round(sum(duration), 4) AS total_speech_duration FROM cv GROUP BY media_id""")
+def transcript_stats(c):
+    out = rollups.transcript_stats(c.cv, c.cv)
+    return out.select("media_id", F.array_join("speakers", ",").alias("speakers"), "speaker_count", "segments_count",
+                      F.round("average_segment_duration", 6).alias("average_segment_duration"),
+                      F.round("average_confidence", 6).alias("average_confidence"), "duration",
+                      F.round("total_speech_duration", 4).alias("total_speech_duration"))
+
+
+@query(with_sql("cv") + """SELECT media_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY "start", ordinal) AS transcript FROM cv WHERE trim(text) <> '' GROUP BY media_id""")
+def transcript(c):
+    return rollups.transcript(c.cv, cuts=c.cv_time_cuts)
+
+
+@query(with_sql("items") + """SELECT batch_id, count(*) AS total_videos, count(*) FILTER (status = 'pending') AS pending_count, count(*) FILTER (status = 'in_progress') AS in_progress_count,
+  count(*) FILTER (status = 'completed') AS completed_count, count(*) FILTER (status = 'failed') AS failed_count, CASE WHEN count(*) FILTER (status = 'pending') > 0 THEN 'active' ELSE 'completed' END AS state FROM items GROUP BY batch_id""")
+def batch_summary(c):
+    return rollups.batch_summary(c.items)
+
+
+@query(with_sql("ev") + """, a AS (SELECT media_id, ordinal, t, label = 'error' AS bad, sum(CASE WHEN label = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY media_id ORDER BY t, ordinal) AS run FROM ev),
+b AS (SELECT *, CAST(sum(bad::INT) OVER (PARTITION BY media_id, run ORDER BY t, ordinal) AS BIGINT) AS streak FROM a),
+s AS (SELECT media_id, count(*) AS total_processed, count(*) FILTER (bad) AS total_failures, round(max(t) FILTER (bad), 6) AS last_failure, max_by(streak, (t, ordinal)) AS consecutive_failures FROM b GROUP BY media_id)
+SELECT *, round((total_processed - total_failures) * 100.0 / total_processed, 6) AS success_rate, consecutive_failures >= 3 AS is_tripped,
+  CASE WHEN consecutive_failures < 3 THEN 'healthy' WHEN total_failures * 100.0 / total_processed > 50 THEN 'critical' ELSE 'pattern_failure' END AS status FROM s""")
+def failure_stats(c):
+    out = rollups.failure_stats(c.ev, F.col("label") == "error", "t", keys=("media_id",), by=("t", "ordinal"), cuts=c.ev_cuts)
+    return out.withColumns({"success_rate": F.round("success_rate", 6), "last_failure": F.round("last_failure", 6)})
+
+
+def _errors(c):
+    kinds = F.array(*[F.lit(x) for x in ("gpu_memory", "ffmpeg_error", "scene_no_detection", "filesystem_error")])
+    return c.table("events").select(
+        F.expr("timestampadd(MICROSECOND, 0, ts)").alias("timestamp"),
+        F.when(F.col("event_id") % 5 < 4, F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int"))).alias("error_type"))
+
+
+ERRORS_SQL = """WITH s AS (SELECT coalesce(CASE event_id % 5 WHEN 0 THEN 'gpu_memory' WHEN 1 THEN 'ffmpeg_error' WHEN 2 THEN 'scene_no_detection' WHEN 3 THEN 'filesystem_error' END, 'unknown') AS error_type, count(*) AS errors
+  FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR GROUP BY 1)"""
+
+
+@query(ERRORS_SQL + "SELECT * FROM s")
+def error_summary(c):
+    return rollups.error_summary(_errors(c), F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
+
+
+@query(ERRORS_SQL + """SELECT error_type, errors, CASE error_type WHEN 'gpu_memory' THEN 'Frequent GPU memory errors' WHEN 'ffmpeg_error' THEN 'Video format compatibility issues' ELSE 'Scene detection failures' END AS issue,
+ CASE error_type WHEN 'gpu_memory' THEN 'high' ELSE 'medium' END AS priority FROM s WHERE (error_type = 'gpu_memory' AND errors > 2) OR (error_type IN ('ffmpeg_error', 'scene_no_detection') AND errors > 1)""")
+def error_suggestions(c):
+    return rollups.error_suggestions(error_summary(c)).select("error_type", "errors", "issue", "priority")
+
+
+@query(with_sql("items") + """SELECT batch_id, count(*) AS total_videos, count(*) FILTER (status = 'completed') AS successful, count(*) FILTER (status <> 'completed') AS failed,
+  round(count(*) FILTER (status = 'completed') * 100.0 / count(*), 1) AS success_rate FROM items GROUP BY batch_id""")
+def batch_report(c):
+    return rollups.batch_report(c.items)
+
+
+@query(with_sql("items") + "SELECT batch_id, item, filename || ': ' || coalesce(error, 'Unknown error') AS line FROM items WHERE status <> 'completed'")
+def failed_items(c):
+    return rollups.failed_items(c.items)
+
+
+@query(with_sql("cv") + """, sp AS (SELECT media_id, ordinal AS scene_id, text AS transcript, speaker FROM cv WHERE ordinal % 2 = 0),
+mu AS (SELECT media_id, ordinal AS scene_id, words AS features FROM cv WHERE ordinal % 3 = 0), vi AS (SELECT media_id, ordinal AS scene_id, words % 4 AS n, speaker AS overlay FROM cv WHERE ordinal % 5 <> 0)
+SELECT media_id, scene_id, coalesce(transcript, '') AS transcript, coalesce(speaker, '') AS speakers, features, coalesce(n, 0) AS people_count, coalesce(overlay, '') AS text_content
+FROM sp FULL JOIN mu USING (media_id, scene_id) FULL JOIN vi USING (media_id, scene_id)""")
+def combine_scene_results(c):
+    base = c.cv.withColumn("scene_id", F.col("ordinal"))
+    speech = base.filter(F.col("ordinal") % 2 == 0).select("media_id", "scene_id", F.col("text").alias("transcript"), F.array("speaker").alias("speakers"))
+    music = base.filter(F.col("ordinal") % 3 == 0).select("media_id", "scene_id", F.col("words").cast("bigint").alias("features"))
+    people = F.array_repeat(F.struct(F.lit("person").alias("class")), (F.col("words") % 4).cast("int"))
+    visual = base.filter(F.col("ordinal") % 5 != 0).select(
+        "media_id", "scene_id", F.concat(people, F.array(F.struct(F.lit("chair").alias("class")))).alias("objects"),
+        F.array("speaker").alias("text_content"))
+    out = rollups.combine_scene_results(speech, music, visual)
+    return out.select("media_id", "scene_id", "transcript", F.array_join("speakers", ",").alias("speakers"), "features",
+                      F.col("people_count").cast("bigint").alias("people_count"), F.array_join("text_content", ",").alias("text_content"))
+
+
+@query(with_sql("ev") + """SELECT media_id, count(*) FILTER (label = 'signup') AS scene_count, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (label IN ('click', 'purchase', 'background')), '') AS processing_stages,
+  count(*) FILTER (label = 'error') AS error_count FROM ev GROUP BY media_id""")
+def processing_summary(c):
+    stages = c.ev.filter(F.col("label").isin("click", "purchase", "background")).withColumn("stage", F.col("label"))
+    return rollups.processing_summary(stages, c.ev.filter(F.col("label") == "error"), c.ev.filter(F.col("label") == "signup"))
+
+
+@query("SELECT count(*) AS files, round(sum(n_chars) / 1048576.0, 1) AS total_mb, count(*) * CAST(10 AS DOUBLE) AS estimated_minutes FROM documents")
+def library_estimate(c):
+    return rollups.library_estimate(c.dc, length="n_chars")
+
+
+LINE_SQL = """WITH l AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' - ' || CASE event_id % 4 WHEN 0 THEN 'Processing completed successfully. Processing time: ' || (event_id % 17) || '.5 minutes'
+  WHEN 1 THEN 'Processing failed. Error: ' || event_type || ': details' WHEN 2 THEN 'Starting processing: file' ELSE 'noise' END AS value FROM events)
+, p AS (SELECT value, left(value, 10) AS day, contains(value, 'completed successfully') AS good, contains(value, 'Processing failed') AS bad, contains(value, 'Starting processing:') AS started,
+  CASE WHEN contains(value, 'completed successfully') THEN TRY_CAST(regexp_extract(value, 'Processing time: (\\d+\\.?\\d*) minutes', 1) AS DOUBLE) END AS minutes,
+  CASE WHEN contains(value, 'Processing failed') THEN split_part(regexp_extract(value, 'Error: (.+)', 1), ':', 1) END AS error FROM l)"""
+
+
+def _log(c):
+    i = F.col("event_id") % 4
+    text = (F.when(i == 0, F.concat(F.lit("Processing completed successfully. Processing time: "), (F.col("event_id") % 17).cast("string"), F.lit(".5 minutes")))
+            .when(i == 1, F.concat(F.lit("Processing failed. Error: "), "event_type", F.lit(": details")))
+            .when(i == 2, "Starting processing: file").otherwise("noise"))
+    lines = c.table("events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" - "), text).alias("value"))
+    return rollups.parse_log(lines)
+
+
+@query(LINE_SQL + """SELECT day, count(*) FILTER (started) AS started, count(*) FILTER (good) AS successful, count(*) FILTER (bad) AS failed, round(avg(minutes), 6) AS mean_minutes,
+  min(minutes) AS min_minutes, max(minutes) AS max_minutes, CASE WHEN count(*) FILTER (started) > 0 THEN round(count(*) FILTER (good) * 100.0 / count(*) FILTER (started), 1) ELSE 0 END AS success_rate
+FROM p WHERE started OR good OR bad GROUP BY ROLLUP (day)""")
+def log_report(c):
+    return rollups.log_report(_log(c)).withColumn("mean_minutes", F.round("mean_minutes", 6))
+
+
+@query(LINE_SQL + "SELECT error, count(*) AS occurrences FROM p WHERE error IS NOT NULL GROUP BY error ORDER BY occurrences DESC, error LIMIT 5")
+def top_errors(c):
+    return rollups.top_errors(_log(c))
+
+
+@query(with_sql("ev") + """, m AS (SELECT media_id, ordinal, ['disk_free_gb', 'memory_percent', 'gpu_celsius', 'error_rate_percent', 'other'][ordinal % 5 + 1] AS metric, CAST(k AS DOUBLE) AS value FROM ev)
+SELECT media_id, ordinal, metric, value, CASE metric WHEN 'disk_free_gb' THEN CASE WHEN value <= 20 THEN 'critical' ELSE 'warning' END WHEN 'memory_percent' THEN CASE WHEN value >= 95 THEN 'critical' ELSE 'warning' END
+  WHEN 'gpu_celsius' THEN CASE WHEN value >= 90 THEN 'critical' ELSE 'warning' END ELSE CASE WHEN value >= 25 THEN 'critical' ELSE 'warning' END END AS level
+FROM m WHERE (metric = 'disk_free_gb' AND value <= 50) OR (metric IN ('memory_percent', 'gpu_celsius') AND value >= 80) OR (metric = 'error_rate_percent' AND value >= 10)""")
+def threshold_alerts(c):
+    names = F.array(*[F.lit(x) for x in ("disk_free_gb", "memory_percent", "gpu_celsius", "error_rate_percent", "other")])
+    metrics = c.ev.select("media_id", "ordinal", F.element_at(names, (F.col("ordinal") % 5 + 1).cast("int")).alias("metric"),
+                          F.col("k").cast("double").alias("value"))
+    return rollups.threshold_alerts(metrics)
+
+
+UPDATES_SQL = """, up AS (SELECT l_orderkey AS item, o_custkey AS batch_id, l_linenumber * CAST(1000000000 AS BIGINT) + l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_linenumber % 2 = 0 THEN 'stage_' || l_partkey END AS current_stage,
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS note FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def _updates(c):
+    owner = c.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("batch_id"))
+    return c.table("lineitem").join(owner, "l_orderkey").select(
+        F.col("l_orderkey").alias("item"), "batch_id",
+        (F.col("l_linenumber") * F.lit(1000000000).cast("bigint") + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("stage_"), F.col("l_partkey").cast("string"))).alias("current_stage"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("note"))
+
+
+@query(with_sql("items") + UPDATES_SQL + """, u AS (SELECT batch_id, item, max_by(current_stage, seq) FILTER (current_stage IS NOT NULL) AS cs, max_by(note, seq) FILTER (note IS NOT NULL) AS nt FROM up GROUP BY ALL)
+SELECT batch_id, item, status, coalesce(cs, 'queued') AS current_stage, coalesce(nt, '-') AS note FROM items LEFT JOIN u USING (batch_id, item)""")
+def apply_updates(c):
+    base = c.items.select("batch_id", "item", "status", F.lit("queued").alias("current_stage"), F.lit("-").alias("note"))
+    return rollups.apply_updates(base, _updates(c), ("current_stage", "note"))
+
+
+@query(with_sql("items") + """SELECT batch_id, item, CASE status WHEN 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status <> 'failed' THEN error END AS error,
+  CASE WHEN status <> 'failed' THEN processing_time END AS processing_time FROM items""")
+def retry_failed(c):
+    return rollups.retry_failed(c.items).select("batch_id", "item", "status", "error", "processing_time")
+
+
+@query(with_sql("items") + """SELECT batch_id, item, CASE WHEN status = 'pending' AND batch_id % 3 <> 0 THEN 'in_progress' ELSE status END AS status, CASE WHEN batch_id % 3 <> 0 OR status <> 'pending' THEN 'stage' END AS current_stage FROM items""")
+def recover_interrupted(c):
+    """Pending orders play items in progress; every third batch was being processed."""
+    items = c.items.select("batch_id", "item", F.when(F.col("status") == "pending", "in_progress").otherwise(F.col("status")).alias("status"),
+                           F.lit("stage").alias("current_stage"))
+    batches = c.items.select("batch_id").distinct().withColumn("status", F.when(F.col("batch_id") % 3 == 0, "processing").otherwise("pending"))
+    fixed, _ = rollups.recover_interrupted(items, batches)
+    return fixed.select("batch_id", "item", "status", "current_stage")
+
+
+@query(with_sql("items") + "SELECT batch_id, item FROM items WHERE item NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def pending_work(c):
+    results = c.table("lineitem").select(F.col("l_orderkey").alias("item"), F.when(F.col("l_returnflag") == "R", "completed").otherwise("failed").alias("status"))
+    return rollups.pending_work(c.items, results, ("item",)).select("batch_id", "item")

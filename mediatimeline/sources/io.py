@@ -52,15 +52,15 @@ def nest_timelines(media: DataFrame, spans: DataFrame, span_events: DataFrame, e
     or task grows without bound. `read_timelines` puts the parts together again.
     """
     event = F.struct("t", "description", "source", "confidence", "details")
-    inner = pack(span_events, ("media_id", "span_ordinal"), ("t", "ordinal"), event, "_events", cuts, part_rows)
+    inner = pack(span_events, ("media_id", "span_ordinal"), ("t", "ordinal"), event, "_events", cuts, part_rows, has_maps=True)
     inner = inner.withColumnsRenamed({"span_ordinal": "ordinal", "part": "_span_part"})
     whole = spans.join(inner, ["media_id", "ordinal"], "left").withColumn(
         "_at", F.col("ordinal") * 1_000_000 + F.coalesce("_span_part", F.lit(0)))
     none = F.array().cast(f"array<{EVENT}>")
     span = F.struct("start", "end", "description", "source", "confidence", "details",
                     F.coalesce("_events", none).alias("events"))
-    span_parts = pack(whole, ("media_id",), ("start", "_at"), span, "spans", cuts, part_rows)
-    event_parts = pack(events, ("media_id",), ("t", "ordinal"), event, "events", cuts, part_rows)
+    span_parts = pack(whole, ("media_id",), ("start", "_at"), span, "spans", cuts, part_rows, has_maps=True)
+    event_parts = pack(events, ("media_id",), ("t", "ordinal"), event, "events", cuts, part_rows, has_maps=True)
     joined = span_parts.join(event_parts, ["media_id", "part"], "full")
     first = media.select("media_id", F.lit(0).cast("bigint").alias("part"))
     keyed = joined.join(first, ["media_id", "part"], "full")
