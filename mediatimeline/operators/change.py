@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions.render import cosine
 from mediatimeline.operators.joins import nearest
-from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, islands
+from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands
 
 KEYS = ("media_id",)
 BY = ("t", "ordinal")
@@ -147,8 +147,7 @@ def strong_peaks(peaks: DataFrame, strength: DataFrame, many: int = 90, level: f
     floor = exact_percentile(strength, "strength", 1.0 - level, "_floor", key, cuts=strength_cuts)
     near = nearest(peaks, strength, key, cuts, payload={"near_strength": F.col("strength")})
     counted = Track(near, (key,), BY, cuts).overall(_peaks=F.count(F.lit(1))).df
-    # One row per media on the right; adaptive execution splits a hot media on the left.
-    rows = counted.join(floor, key, "left")
+    rows = attach(counted, floor, key, cuts=cuts)
     kept = rows.filter((F.col("_peaks") <= many) | (F.col("near_strength") > F.col("_floor")))
     track = Track(kept, (key,), BY, cuts).number("_n").overall(_kept=F.count(F.lit(1)))
     total = F.when(F.col("_peaks") > many, F.least(F.col("_kept"), F.lit(first))).otherwise(F.col("_kept"))

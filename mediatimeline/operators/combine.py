@@ -107,7 +107,8 @@ def _seconds(t: Column) -> Column:
     return F.regexp_replace(F.format_string("%.2f", t), r"(\.\d)0$", "$1")
 
 
-def time_range_segments(spans: DataFrame, events: DataFrame, width: float, cuts: Cuts = NO_CUTS) -> DataFrame:
+def time_range_segments(spans: DataFrame, events: DataFrame, width: float, cuts: Cuts = NO_CUTS,
+                        longest: float | None = None) -> DataFrame:
     """Contributions of each elementary interval ("a-bs") between span edges, and of each instant ("ts").
 
     One row per contribution, so an interval under very many spans is no problem.
@@ -120,7 +121,7 @@ def time_range_segments(spans: DataFrame, events: DataFrame, width: float, cuts:
     middles = pieces.select("media_id", ((F.col("a") + F.col("b")) / 2).alias("t"), "ordinal", "a", "b")
     covered = events_in_spans(
         middles, spans.select("media_id", F.col("ordinal").alias("span_ordinal"), "start", "end", "source", "description", "category"),
-        width, cuts=cuts)
+        width, cuts=cuts, longest=longest)
     ranges = covered.select(
         "media_id", F.col("a").alias("at"), F.concat(_seconds(F.col("a")), F.lit("-"), _seconds(F.col("b")), F.lit("s")).alias("time_range"),
         "source", "description", "category", F.col("span_ordinal").alias("ordinal"))

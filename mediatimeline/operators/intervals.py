@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediatimeline.functions.rows import keep_words, valid_segments
 from mediatimeline.functions.rules import is_artifact_text
 from mediatimeline.operators.joins import events_in_spans, nearest, overlaps
-from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, islands, pack
+from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands, pack
 
 KEYS = ("media_id",)
 SPAN_BY = ("start", "ordinal")
@@ -28,7 +28,7 @@ def later_span_wins(assigned: DataFrame, by: str = "time", key: str = "media_id"
 
 
 def assign_by_overlap(segments: DataFrame, turns: DataFrame, width: float, key: str = "media_id",
-                      alternate: bool = True, cuts: Cuts = NO_CUTS) -> DataFrame:
+                      alternate: bool = True, cuts: Cuts = NO_CUTS, longest: float | None = None) -> DataFrame:
     """Label each segment with the turn it overlaps most; the first turn wins a tie.
 
     Without any overlap the label is Speaker_1 / Speaker_2 by the segment's index (or Unknown).
@@ -36,7 +36,7 @@ def assign_by_overlap(segments: DataFrame, turns: DataFrame, width: float, key:
     """
     right = turns.select(key, F.col("ordinal").alias("turn"), F.col("start").alias("r_start"),
                          F.col("end").alias("r_end"), F.col("speaker").alias("turn_speaker"))
-    pairs = overlaps(segments.select(key, "ordinal", "start", "end"), right, width, key)
+    pairs = overlaps(segments.select(key, "ordinal", "start", "end"), right, width, key, longest)
     shared = F.least("end", "r_end") - F.greatest("start", "r_start")
     # max_by on (overlap, -turn): the earliest turn among equals.
     best = pairs.groupBy(key, "ordinal").agg(F.max_by(
@@ -97,7 +97,7 @@ def near_boundary(events: DataFrame, boundaries: DataFrame, duration: DataFrame,
     `boundaries` has (key, t, ordinal), `duration` has (key, duration).
     """
     found = nearest(events, boundaries, key, cuts).withColumnRenamed("distance", "_d").drop("nearest_t")
-    joined = found.join(duration.select(key, "duration"), key, "left")
+    joined = attach(found, duration.select(key, "duration"), key, cuts=cuts)
     near = (F.col("t") <= distance) | (F.col("duration") - F.col("t") <= distance) | (F.col("_d") <= distance)
     return joined.withColumn("near_edge", F.coalesce(near, F.lit(False))).drop("_d", "duration")
 
@@ -110,7 +110,8 @@ def span_edges(spans: DataFrame, key: str = "media_id") -> DataFrame:
 
 
 def filter_artifacts(events: DataFrame, speech: DataFrame, reference: DataFrame, duration: DataFrame, width: float,
-                     edge: float = 0.5, apart: float = 0.7, key: str = "media_id", cuts: Cuts = NO_CUTS) -> DataFrame:
+                     edge: float = 0.5, apart: float = 0.7, key: str = "media_id", cuts: Cuts = NO_CUTS,
+                     longest: float | None = None) -> DataFrame:
     """Drop music events that are likely artifacts of speech.
 
     In this order: an event near an edge stays; one farther than `apart` from every reference
@@ -121,14 +122,14 @@ def filter_artifacts(events: DataFrame, speech: DataFrame, reference: DataFrame,
     flagged = nearest(flagged, reference, key, cuts).withColumn("apart", F.coalesce(F.col("distance") > apart, F.lit(False)))
     flagged = flagged.drop("distance", "nearest_t")
     inside = events_in_spans(events.select(key, "t", "ordinal"), speech.select(key, "start", "end"), width, key,
-                             "left_semi", cuts).withColumn("in_speech", F.lit(True))
+                             "left_semi", cuts, longest).withColumn("in_speech", F.lit(True))
     flagged = flagged.join(inside, [key, "t", "ordinal"], "left").withColumn("in_speech", F.coalesce("in_speech", F.lit(False)))
     drop = ~F.col("near_edge") & ~F.col("apart") & F.col("in_speech") & is_artifact_text("description")
     return flagged.filter(~drop)
 
 
 def unified_spans(base: DataFrame, other: DataFrame, events: DataFrame, width: float, key: str = "media_id",
-                  cuts: Cuts = NO_CUTS) -> tuple[DataFrame, DataFrame]:
+                  cuts: Cuts = NO_CUTS, longest: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Common spans of two detectors, and the events of both inside them.
 
     A media without spans in `base` uses those in `other`. Events stay rows of (span, event), so
@@ -140,7 +141,7 @@ def unified_spans(base: DataFrame, other: DataFrame, events: DataFrame, width: f
                          F.lit("librosa/pyaudio").alias("source"), "confidence",
                          (F.col("end") - F.col("start")).alias("duration"))
     span_side = spans.select(key, F.col("ordinal").alias("span_ordinal"), "start", "end")
-    return spans, events_in_spans(events, span_side, width, key, "inner", cuts)
+    return spans, events_in_spans(events, span_side, width, key, "inner", cuts, longest)
 
 
 def rebase_times(segments: DataFrame, chunks: DataFrame, key: str = "media_id") -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatimeline.session import rows_per_task
+from mediatimeline.session import ensure_checkpoint_dir, rows_per_task
 
 SAMPLE_PER_CUT = 16
 FANOUT = 64
@@ -45,8 +45,8 @@ def find_cuts(df: DataFrame, key: str = "media_id", by: tuple[str, str] = ("t",
               rows: int | None = None) -> Cuts:
     """Count rows per group and cut the hot ones at evenly spaced sample points.
 
-    The sample is chosen by a hash of the order columns, so evaluating the plan again (a lost
-    executor, a second branch) gives the same cuts.
+    The sample is chosen by a hash of the order columns. The cuts are written to the checkpoint
+    folder, so every branch of a later plan, and a task run again, sees the same few rows.
     """
     rows = rows or rows_per_task(df.sparkSession)
     hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
@@ -69,7 +69,8 @@ def find_cuts(df: DataFrame, key: str = "media_id", by: tuple[str, str] = ("t",
         .agg(F.array_sort(F.collect_set("point")).alias("_cuts"))
         .withColumn("_coarse", F.expr(f"filter(_cuts, (c, i) -> (i + 1) % {FANOUT} = 0)"))
     )
-    return Cuts(key, table)
+    ensure_checkpoint_dir(df.sparkSession)
+    return Cuts(key, table.checkpoint())
 
 
 def _segment_sql(point: str) -> str:
@@ -204,6 +205,21 @@ class Track:
         return self._next(self._df.join(per_segment, [*self.keys, "_seg"]))
 
 
+def attach(df: DataFrame, table: DataFrame, key: str = "media_id", by: tuple[str, str] = ("t", "ordinal"),
+           cuts: Cuts = NO_CUTS, how: str = "left") -> DataFrame:
+    """Join the one row per group of `table` to the group's rows.
+
+    The row of a hot group is repeated for each of its segments and joined on (key, segment), so the
+    rows of the group stay spread over many tasks.
+    """
+    if not cuts.hot:
+        return df.join(table, key, how)
+    left = with_segment(df, cuts, _seg=by).drop("_cuts", "_coarse")
+    spread = table.join(F.broadcast(cuts.table), key, "left").withColumn(
+        "_seg", F.explode(F.expr("sequence(0, if(_cuts is null, 0, size(_cuts)))"))).drop("_cuts", "_coarse")
+    return left.join(spread, [key, "_seg"], how).drop("_seg")
+
+
 def islands(track: Track, starts: Column, name: str = "island") -> Track:
     """Number the runs of a group: a row where `starts` holds opens the next run."""
     return track.running(**{name: F.when(starts, 1).otherwise(0).cast("bigint")})

@@ -29,21 +29,23 @@ def timeline_totals(spans: DataFrame, span_events: DataFrame, events: DataFrame,
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources_used"))
 
 
-def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "demucs_combined") -> DataFrame:
+def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "demucs_combined", part_rows: int = 10_000,
+                   cuts: Cuts = NO_CUTS) -> DataFrame:
     """Combined speakers, sources, notes and transcript of the timelines of each media.
 
-    Timelines (a handful per media): (key, ordinal, source, transcript, speakers, notes).
+    Timelines: (key, ordinal, source, transcript, speakers, notes). A media has a handful of them, so
+    one row; transcripts and notes of more than `part_rows` timelines come in parts.
     """
-    def in_order(value: Column):
-        listed = F.sort_array(F.collect_list(F.when(value.isNotNull(), F.struct("ordinal", value.alias("v")))))
-        return F.transform(listed, lambda i: i["v"])
-    notes = F.transform("notes", lambda n: F.concat(F.lit("["), F.col("source"), F.lit("] "), n))
-    spoken = F.when(F.col("transcript") != "", F.col("transcript"))
-    return timelines.groupBy(key).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("speakers")))).alias("speakers"),
-        F.array_join(in_order(spoken), " ").alias("transcript"),
-        F.flatten(in_order(notes)).alias("notes"),
+    sets = timelines.withColumn("_speaker", F.explode_outer("speakers")).groupBy(key).agg(
+        F.array_sort(F.collect_set("_speaker")).alias("speakers"),
         F.concat(F.array(F.lit(label)), F.array_sort(F.collect_set("source"))).alias("sources_used"))
+    notes = F.transform("notes", lambda n: F.concat(F.lit("["), F.col("source"), F.lit("] "), n))
+    value = F.struct("transcript", F.coalesce(notes, F.array().cast("array<string>")).alias("notes"))
+    texts = pack(timelines, (key,), ("ordinal", "ordinal"), value, "_texts", cuts, part_rows)
+    spoken = F.filter(F.transform("_texts", lambda x: x["transcript"]), lambda x: x != "")
+    texts = texts.select(key, "part", F.array_join(spoken, " ").alias("transcript"),
+                         F.flatten(F.transform("_texts", lambda x: x["notes"])).alias("notes"))
+    return sets.join(texts, key)
 
 
 def transcript_stats(segments: DataFrame, chunks: DataFrame, key: str = "media_id") -> DataFrame:

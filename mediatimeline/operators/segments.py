@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions.render import collapse, cosine, word_count
 from mediatimeline.operators.joins import nearest
-from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, islands
+from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands
 from mediatimeline.session import ensure_checkpoint_dir
 
 # Words that may open a new sentence after an unfinished one (fixed values).
@@ -226,7 +226,7 @@ def _ward_boundaries(points: np.ndarray, weights: np.ndarray, k: int) -> list[in
 
 
 def structural_segments(frames: DataFrame, durations: DataFrame, k: int = 5, bins: int = 256, vector: str = "embedding",
-                        close_tail: bool = True, key: str = "media_id") -> DataFrame:
+                        close_tail: bool = True, key: str = "media_id", cuts: Cuts = NO_CUTS) -> DataFrame:
     """Cut each media into k sections of similar frames.
 
     Frames are first averaged into at most `bins` slots of equal time (map-side), so the clustering
@@ -234,8 +234,7 @@ def structural_segments(frames: DataFrame, durations: DataFrame, k: int = 5, bin
     equal parts. `close_tail` adds the last section, which ends with the media.
     """
     slot = F.least(F.lit(bins - 1), F.floor(F.col("t") / F.col("duration") * bins)).cast("int")
-    # One row per media on the right: adaptive execution splits a hot media on the left.
-    placed = frames.join(durations.select(key, "duration"), key).withColumn("_slot", slot)
+    placed = attach(frames, durations.select(key, "duration"), key, cuts=cuts, how="inner").withColumn("_slot", slot)
     items = placed.select(key, "duration", "_slot", "t", F.posexplode(vector).alias("_d", "_v"))
     means = items.groupBy(key, "_slot", "_d").agg(
         F.avg(F.col("_v").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"), F.min("t").alias("t"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions import rules
 from mediatimeline.operators import change
+from mediatimeline.operators.ordered import attach
 from mediatimeline.plans.bridges import with_sql
 from mediatimeline.plans.registry import query
 from mediatimeline.plans.rows import MUSIC_CONF, MUSIC_SQL
@@ -74,7 +75,7 @@ FROM h JOIN c USING (media_id, span_no) WHERE rk = 1"""
 @query(with_sql("ev", "feat", "ev_media") + RUN_SQL)
 def run_spans(c):
     """Spans with averaged features and the commonest category (gate .1: most rows pass it)."""
-    df = c.feat.join(c.ev_media, "media_id").withColumn("energy_category", rules.energy_category())
+    df = attach(c.feat, c.ev_media, cuts=c.ev_cuts).withColumn("energy_category", rules.energy_category())
     out = change.run_spans(df, min_confidence=0.1, cuts=c.ev_cuts, category="energy_category",
                            features={"energy": "energy", "centroid": "centroid"})
     return out.select("media_id", "span_no", "label", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),

@@ -117,7 +117,7 @@ def browse_order(c):
 
 def _inner(c):
     spans = c.ol_spans.select("media_id", F.col("ordinal").alias("span_ordinal"), "start", "end")
-    return joins.events_in_spans(c.ol_events, spans, 30.0, cuts=c.ol_cuts)
+    return joins.events_in_spans(c.ol_events, spans, 30.0, cuts=c.ol_cuts, longest=30.0)
 
 
 @query(with_sql("ol_spans", "ol_events") + """, n AS (SELECT s.media_id, s.ordinal, count(*) AS n FROM ol_spans s JOIN ol_events e ON e.media_id = s.media_id AND t >= "start" AND t <= "end" GROUP BY ALL)
@@ -137,7 +137,7 @@ UNION ALL SELECT media_id, t, regexp_replace(printf('%.2f', t), '(\\.\\d)0$', '\
 def time_range_segments(c):
     spans = c.ol_spans.select("media_id", "ordinal", "start", "end", F.lit("orders").alias("source"), "description", F.lit("speech").alias("category"))
     events = c.ol_events.select("media_id", "ordinal", "t", "source", F.lit("Line").alias("description"), F.lit("sfx").alias("category"))
-    return combine.time_range_segments(spans, events, 30.0, cuts=c.cuts("orders", c.ol_spans, by=("start", "ordinal"), copies=2))
+    return combine.time_range_segments(spans, events, 30.0, cuts=c.cuts("orders", c.ol_spans, by=("start", "ordinal"), copies=2), longest=30.0)
 
 
 @query(with_sql("ol_spans", "ol_events") + """, p AS (SELECT e.media_id, s.ordinal AS so, count(*) AS n FROM ol_events e JOIN ol_spans s ON e.media_id = s.media_id AND t >= "start" AND t <= "end" GROUP BY ALL),

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from mediatimeline.functions import framing
-from mediatimeline.operators import rollups  # noqa: F401
+from mediatimeline.operators.ordered import attach
 from mediatimeline.plans.bridges import with_sql
 from mediatimeline.plans.registry import query
 
@@ -12,7 +12,7 @@ SIZE, STEP = 48.0, 12.0
 
 def signal(c):
     """Events with the duration of their media and a signed sample value."""
-    return c.ev.join(c.ev_media, "media_id").withColumn("x", (F.col("k") - 50) / 50.0)
+    return attach(c.ev, c.ev_media, cuts=c.ev_cuts).withColumn("x", (F.col("k") - 50) / 50.0)
 
 
 SIGNAL_SQL = """sig AS (SELECT ev.*, duration, (k - 50) / CAST(50 AS DOUBLE) AS x FROM ev JOIN ev_media USING (media_id))"""

@@ -19,7 +19,7 @@ def _spans(c):
 @query(with_sql("ol_spans", "ol_events") + """
 SELECT e.media_id, e.ordinal, s.ordinal AS span_ordinal, t, "start" FROM ol_events e JOIN ol_spans s ON e.media_id = s.media_id AND t >= "start" AND t <= "end" """)
 def events_in_spans(c):
-    out = joins.events_in_spans(c.ol_events, _spans(c), WIDTH, cuts=c.ol_cuts)
+    out = joins.events_in_spans(c.ol_events, _spans(c), WIDTH, cuts=c.ol_cuts, longest=30.0)
     return out.select("media_id", "ordinal", "span_ordinal", "t", "start")
 
 
@@ -53,7 +53,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY "start", ordin
 SELECT n.media_id, n.ordinal, coalesce(o.speaker, 'Speaker_' || (i % 2 + 1)) AS speaker FROM n LEFT JOIN o ON n.media_id = o.media_id AND n.ordinal = o.ordinal AND rn = 1""")
 def assign_by_overlap(c):
     span_cuts = c.cuts("orders", c.ol_spans, by=("start", "ordinal"))
-    return intervals.assign_by_overlap(c.ol_spans, _turns(c), WIDTH, cuts=span_cuts).select("media_id", "ordinal", "speaker")
+    return intervals.assign_by_overlap(c.ol_spans, _turns(c), WIDTH, cuts=span_cuts, longest=30.0).select("media_id", "ordinal", "speaker")
 
 
 PAD_SQL = """, tot AS (SELECT media_id, max("end") + 0.3 AS total FROM cv GROUP BY 1),
@@ -140,7 +140,7 @@ SELECT u.media_id, u.ordinal, "start", "end", printf('Audio Analysis Segment (%.
 def unified_spans(c):
     odd = F.col("ordinal") % 2 == 1
     spans, nested = intervals.unified_spans(
-        c.ol_spans.filter(~odd & (F.col("media_id") % 3 != 0)), c.ol_spans.filter(odd), c.ol_events, WIDTH, cuts=c.ol_cuts)
+        c.ol_spans.filter(~odd & (F.col("media_id") % 3 != 0)), c.ol_spans.filter(odd), c.ol_events, WIDTH, cuts=c.ol_cuts, longest=30.0)
     counts = nested.groupBy("media_id", F.col("span_ordinal").alias("ordinal")).agg(F.count(F.lit(1)).alias("events"))
     return spans.join(counts, ["media_id", "ordinal"], "left").select(
         "media_id", "ordinal", "start", "end", "description", F.coalesce("events", F.lit(0)).alias("events"))

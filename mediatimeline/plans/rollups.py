@@ -22,7 +22,7 @@ def timeline_totals(c):
 
 
 @query("""WITH t AS (SELECT source AS media_id, doc_id AS ordinal, lang AS source, CASE WHEN doc_id % 4 <> 0 THEN left(text, 40) ELSE '' END AS transcript, 'Speaker_' || (doc_id % 5) AS speaker, 'doc ' || doc_id AS note FROM documents)
-SELECT media_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers, coalesce(string_agg(transcript, ' ' ORDER BY ordinal) FILTER (transcript <> ''), '') AS transcript,
+SELECT media_id, CAST(0 AS BIGINT) AS part, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers, coalesce(string_agg(transcript, ' ' ORDER BY ordinal) FILTER (transcript <> ''), '') AS transcript,
   string_agg('[' || source || '] ' || note, ';' ORDER BY ordinal) AS notes, 'demucs_combined,' || string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used FROM t GROUP BY media_id""")
 def merge_metadata(c):
     rows = c.dc.select(
@@ -30,8 +30,8 @@ def merge_metadata(c):
         F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 40)).otherwise("").alias("transcript"),
         F.array(F.concat(F.lit("Speaker_"), (F.col("doc_id") % 5).cast("string"))).alias("speakers"),
         F.array(F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("notes"))
-    out = rollups.merge_metadata(rows)
-    return out.select("media_id", F.array_join("speakers", ",").alias("speakers"), "transcript",
+    out = rollups.merge_metadata(rows, cuts=c.cuts("documents", rows, by=("ordinal", "ordinal")))
+    return out.select("media_id", "part", F.array_join("speakers", ",").alias("speakers"), "transcript",
                       F.array_join("notes", ";").alias("notes"), F.array_join("sources_used", ",").alias("sources_used"))
 
 

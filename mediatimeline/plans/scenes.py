@@ -94,4 +94,4 @@ def mark_rapid(c):
 @query()
 def structural_segments(c):
     durations = c.em.groupBy("media_id").agg(F.max("end").alias("duration"))
-    return segments.structural_segments(c.em.select("media_id", "t", "embedding"), durations)
+    return segments.structural_segments(c.em.select("media_id", "t", "ordinal", "embedding"), durations, cuts=c.em_cuts)
