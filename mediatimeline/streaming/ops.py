@@ -51,12 +51,13 @@ BUFFER = "at array<bigint>, ordinal array<bigint>, label array<string>"
 
 
 def _ready(state: GroupState, pdfs: Iterator[pd.DataFrame], buffered: tuple) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(rows behind the watermark in order, rows that must wait), from the state's buffer and the batch."""
+    """(rows the watermark has passed, in order; rows that must wait). Rows that arrive behind it are dropped."""
+    passed = state.getCurrentWatermarkMs() * 1000
     frames = [pd.DataFrame(dict(zip(("at", "ordinal", "label"), map(list, buffered))))] if len(buffered[0]) else []
-    frames += [p[["at", "ordinal", "label"]] for p in pdfs]
+    frames += [p.loc[p["at"] >= passed, ["at", "ordinal", "label"]] for p in pdfs]
     rows = pd.concat(frames) if frames else pd.DataFrame({"at": [], "ordinal": [], "label": []})
     rows = rows.sort_values(["at", "ordinal"], kind="stable")
-    behind = rows["at"] < state.getCurrentWatermarkMs() * 1000
+    behind = rows["at"] < passed
     return rows[behind], rows[~behind]
 
 
@@ -69,7 +70,7 @@ def _wait(state: GroupState, waiting: pd.DataFrame) -> None:
 def _stateful(rows: DataFrame, ts: str, late: str, key: str, label: Column, fn, output: str, state: str) -> DataFrame:
     kind = rows.schema[key].dataType.simpleString()
     slim = rows.withWatermark(ts, late).select(
-        key, ts, F.unix_micros(ts).alias("at"), F.col("ordinal").cast("bigint").alias("ordinal"), label.cast("string").alias("label"))
+        key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"), F.col("ordinal").cast("bigint").alias("ordinal"), label.cast("string").alias("label"))
     return slim.groupBy(key).applyInPandasWithState(
         fn, f"{key} {kind}, {output}", f"{state}, {BUFFER}", "append", GroupStateTimeout.EventTimeTimeout)
 
