@@ -14,7 +14,7 @@ from mediatimeline.functions.render import word_count
 from mediatimeline.operators.ordered import Cuts, Track, find_cuts
 from mediatimeline.session import rows_per_task, tune
 
-DURATION = 720.0  # hours covered by the events table
+_ROWS: dict[str, int] = {}
 
 
 class Tables:
@@ -24,12 +24,19 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def rows(self, table: str) -> int:
+        """Rows of a table, from its file footers. A stale number could only change the balance, so it is kept."""
+        name = f"{self.folder}/{table}"
+        if name not in _ROWS:
+            _ROWS[name] = self.table(table).count()
+        return _ROWS[name]
+
     def cuts(self, table: str, rows: DataFrame, key: str = "media_id", by=("t", "ordinal"), copies: int = 1) -> Cuts:
         """Cuts of the groups of `rows`, which come from `table`; a small table needs no look.
 
         `copies` bounds how many rows one row of the table can give.
         """
-        if self.table(table).count() * copies <= rows_per_task(self.spark):
+        if self.rows(table) * copies <= rows_per_task(self.spark):
             return Cuts(key)
         return find_cuts(rows, key, by)
 
