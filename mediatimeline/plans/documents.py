@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions import rows
 from mediatimeline.functions.render import event_line as line_of
-from mediatimeline.operators import change, combine, joins, rollups
+from mediatimeline.operators import change, combine, joins
 from mediatimeline.plans.bridges import with_sql
 from mediatimeline.plans.registry import query
 from mediatimeline.sources import io
@@ -146,10 +146,14 @@ b AS (SELECT media_id, count(*) AS events FROM ol_events GROUP BY media_id)
 SELECT CAST(a.media_id AS VARCHAR) AS media_id, CAST(0 AS BIGINT) AS part, CAST(spans AS INTEGER) AS spans, CAST(inner_events AS BIGINT) AS inner_events, CAST(coalesce(events, 0) AS INTEGER) AS events FROM a LEFT JOIN b USING (media_id)""")
 def nest_timelines(c):
     """Nested rows as they are written; counted for the check."""
+    out = nested(c)
+    inner = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + F.size(s["events"]))
+    return out.select("media_id", "part", F.size("spans").alias("spans"), inner.alias("inner_events"), F.size("events").alias("events"))
+
+
+def nested(c):
     none = rows.no_details()
     media = c.ol_spans.groupBy("media_id").agg(F.max("end").alias("duration"))
     spans = c.ol_spans.withColumns({"source": F.lit("orders"), "details": none})
     shape = {"description": F.lit("Line"), "confidence": F.lit(0.5), "details": none}
-    out = io.nest_timelines(media, spans, _inner(c).withColumns(shape), c.ol_events.withColumns(shape), cuts=c.ol_cuts)
-    inner = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + F.size(s["events"]))
-    return out.select("media_id", "part", F.size("spans").alias("spans"), inner.alias("inner_events"), F.size("events").alias("events"))
+    return io.nest_timelines(media, spans, _inner(c).withColumns(shape), c.ol_events.withColumns(shape), cuts=c.ol_cuts)
