@@ -90,7 +90,9 @@ def run_spans(df: DataFrame, label: str = "label", confidence: str = "confidence
     rows = Track(df, keys, by, cuts).previous(_prev=F.struct(F.col(label).alias("v")))
     start = F.col("_prev").isNull() | ~F.col(label).eqNullSafe(F.col("_prev.v")) | (F.col(confidence) < min_confidence)
     rows = islands(rows, start, "span_no")
-    rows = Track(rows.df, (*keys, label), by, cuts).running(_sum=F.col(confidence), _count=F.lit(1).cast("bigint")).df
+    # A missing label is a label of its own; joins of segment summaries need a value for it.
+    named = rows.df.withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("\x00")))
+    rows = Track(named, (*keys, "_label"), by, cuts).running(_sum=F.col(confidence), _count=F.lit(1).cast("bigint")).df
     at = F.struct(first, second)
     aggs = [
         F.min_by(label, at).alias("label"), F.min(first).alias("start"), F.min_by(second, at).alias("ordinal"),
@@ -177,7 +179,7 @@ def circuit_breaker(items: DataFrame, failed: Column, limit: int = 3, keys=("bat
 
     `stopped` items come after the first streak of `limit` failures and stay pending.
     """
-    track = Track(items, keys, by, cuts).with_columns(_failed=failed.cast("int"))
+    track = Track(items, keys, by, cuts).with_columns(_failed=F.coalesce(failed, F.lit(False)).cast("int"))
     track = islands(track, F.col("_failed") == 0, "_run")
     streaked = Track(track.df, (*keys, "_run"), by, cuts).running(streak=F.col("_failed").cast("bigint")).df
     tripped = F.when(F.col("streak") >= limit, 1).otherwise(0)

@@ -83,7 +83,7 @@ def failure_stats(items: DataFrame, failed: Column, at: str, limit: int = 3, key
     """Totals, success rate, last failure, current streak and the resulting status."""
     first, second = by
     order = F.struct(first, second)
-    bad = failed.cast("int")
+    bad = F.coalesce(failed, F.lit(False)).cast("int")
     streaks = circuit_breaker(items, failed, limit, keys, by, cuts)
     out = streaks.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_processed"), F.sum(bad).alias("total_failures"),

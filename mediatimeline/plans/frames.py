@@ -115,13 +115,17 @@ def f0_autocorr(c):
 
 
 @query(with_sql("em") + """
-, g AS (SELECT media_id, CAST(floor((scene_id - 1) / 5) AS BIGINT) AS win, unnest(embedding[1:12]) AS v, generate_subscripts(embedding[1:12], 1) - 1 AS i FROM em),
-a AS (SELECT media_id, win, i, avg(CAST(v AS DOUBLE)) AS m FROM g GROUP BY ALL),
+, g AS (SELECT media_id, CAST(floor((scene_id - 1) / 5) AS BIGINT) AS win, scene_id, unnest(embedding) AS v, (generate_subscripts(embedding, 1) - 1) % 12 AS i FROM em),
+f AS (SELECT media_id, win, scene_id, i, sum(CAST(v AS DOUBLE)) AS v FROM g GROUP BY ALL),
+a AS (SELECT media_id, win, i, avg(v) AS m FROM f GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY media_id, win ORDER BY m DESC, i) AS rn FROM a)
 SELECT media_id, win, CAST(i AS INTEGER) AS pitch_class, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][i + 1] AS key_name FROM b WHERE rn = 1""")
 def dominant_pitch(c):
-    frames = c.em.withColumn("win", F.floor((F.col("scene_id") - 1) / 5).cast("bigint"))
-    return framing.dominant_pitch(frames, ("media_id", "win"), "embedding")
+    """The numbers of a vector are folded into twelve classes."""
+    classes = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.aggregate(
+        F.filter("embedding", lambda v, i: i % 12 == j), F.lit(0.0), lambda a, v: a + v.cast("double")))
+    frames = c.em.select("media_id", F.floor((F.col("scene_id") - 1) / 5).cast("bigint").alias("win"), classes.alias("chroma"))
+    return framing.dominant_pitch(frames, ("media_id", "win"))
 
 
 def savgol_sql() -> str:

@@ -133,14 +133,14 @@ def filter_artifacts(c):
     return out.select("media_id", "ordinal", "description", "near_edge", "apart", "in_speech")
 
 
-@query(with_sql("ol_spans", "ol_events") + """, a AS (SELECT * FROM ol_spans WHERE media_id % 3 <> 0 AND ordinal % 2 = 0), b AS (SELECT * FROM ol_spans WHERE ordinal % 2 = 1),
+@query(with_sql("ol_spans", "ol_events") + """, a AS (SELECT * FROM ol_spans WHERE media_id % 3 <> 0 AND ordinal % 2 = 0), b AS (SELECT * FROM ol_spans WHERE media_id % 3 = 0 OR ordinal % 2 = 1),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE media_id NOT IN (SELECT media_id FROM a)),
 n AS (SELECT u.media_id, u.ordinal, count(*) AS n FROM u JOIN ol_events e ON e.media_id = u.media_id AND t >= "start" AND t <= "end" GROUP BY ALL)
 SELECT u.media_id, u.ordinal, "start", "end", printf('Audio Analysis Segment (%.1fs)', "end" - "start") AS description, coalesce(n, 0) AS events FROM u LEFT JOIN n USING (media_id, ordinal)""")
 def unified_spans(c):
-    odd = F.col("ordinal") % 2 == 1
+    first = (F.col("ordinal") % 2 == 0) & (F.col("media_id") % 3 != 0)
     spans, nested = intervals.unified_spans(
-        c.ol_spans.filter(~odd & (F.col("media_id") % 3 != 0)), c.ol_spans.filter(odd), c.ol_events, WIDTH, cuts=c.ol_cuts, longest=30.0)
+        c.ol_spans.filter(first), c.ol_spans.filter(~first), c.ol_events, WIDTH, cuts=c.ol_cuts, longest=30.0)
     counts = nested.groupBy("media_id", F.col("span_ordinal").alias("ordinal")).agg(F.count(F.lit(1)).alias("events"))
     return spans.join(counts, ["media_id", "ordinal"], "left").select(
         "media_id", "ordinal", "start", "end", "description", F.coalesce("events", F.lit(0)).alias("events"))

@@ -21,13 +21,13 @@ def timeline_totals(c):
     return rollups.timeline_totals(*_timeline(c))
 
 
-@query("""WITH t AS (SELECT source AS media_id, doc_id AS ordinal, lang AS source, CASE WHEN doc_id % 4 <> 0 THEN left(text, 40) ELSE '' END AS transcript, 'Speaker_' || (doc_id % 5) AS speaker, 'doc ' || doc_id AS note FROM documents)
+@query("""WITH t AS (SELECT source AS media_id, doc_id AS ordinal, lang AS source, CASE WHEN doc_id % 4 <> 0 THEN text ELSE '' END AS transcript, 'Speaker_' || (doc_id % 5) AS speaker, 'doc ' || doc_id AS note FROM documents)
 SELECT media_id, CAST(0 AS BIGINT) AS part, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers, coalesce(string_agg(transcript, ' ' ORDER BY ordinal) FILTER (transcript <> ''), '') AS transcript,
   string_agg('[' || source || '] ' || note, ';' ORDER BY ordinal) AS notes, 'demucs_combined,' || string_agg(DISTINCT source, ',' ORDER BY source) AS sources_used FROM t GROUP BY media_id""")
 def merge_metadata(c):
     rows = c.dc.select(
         F.col("source").alias("media_id"), F.col("doc_id").alias("ordinal"), F.col("lang").alias("source"),
-        F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 40)).otherwise("").alias("transcript"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("text")).otherwise("").alias("transcript"),
         F.array(F.concat(F.lit("Speaker_"), (F.col("doc_id") % 5).cast("string"))).alias("speakers"),
         F.array(F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("notes"))
     out = rollups.merge_metadata(rows, cuts=c.cuts("documents", rows, by=("ordinal", "ordinal")))
@@ -100,7 +100,7 @@ def failed_items(c):
 
 
 @query(with_sql("cv") + """, sp AS (SELECT media_id, ordinal AS scene_id, text AS transcript, speaker FROM cv WHERE ordinal % 2 = 0),
-mu AS (SELECT media_id, ordinal AS scene_id, words AS features FROM cv WHERE ordinal % 3 = 0), vi AS (SELECT media_id, ordinal AS scene_id, words % 4 AS n, speaker AS overlay FROM cv WHERE ordinal % 5 <> 0)
+mu AS (SELECT media_id, ordinal AS scene_id, words AS features FROM cv WHERE ordinal % 3 = 0), vi AS (SELECT media_id, ordinal AS scene_id, words % 4 AS n, speaker AS overlay FROM cv WHERE ordinal % 4 <> 0)
 SELECT media_id, scene_id, coalesce(transcript, '') AS transcript, coalesce(speaker, '') AS speakers, features, coalesce(n, 0) AS people_count, coalesce(overlay, '') AS text_content
 FROM sp FULL JOIN mu USING (media_id, scene_id) FULL JOIN vi USING (media_id, scene_id)""")
 def combine_scene_results(c):
@@ -108,7 +108,7 @@ def combine_scene_results(c):
     speech = base.filter(F.col("ordinal") % 2 == 0).select("media_id", "scene_id", F.col("text").alias("transcript"), F.array("speaker").alias("speakers"))
     music = base.filter(F.col("ordinal") % 3 == 0).select("media_id", "scene_id", F.col("words").cast("bigint").alias("features"))
     people = F.array_repeat(F.struct(F.lit("person").alias("class")), (F.col("words") % 4).cast("int"))
-    visual = base.filter(F.col("ordinal") % 5 != 0).select(
+    visual = base.filter(F.col("ordinal") % 4 != 0).select(
         "media_id", "scene_id", F.concat(people, F.array(F.struct(F.lit("chair").alias("class")))).alias("objects"),
         F.array("speaker").alias("text_content"))
     out = rollups.combine_scene_results(speech, music, visual)

@@ -350,14 +350,14 @@ def failure_status(c):
     return df.select("media_id", rules.failure_status().alias("status"))
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(list_transform(embedding[1:10], lambda x: CAST(abs(x) AS DOUBLE))) AS p, generate_subscripts(embedding[1:10], 1) AS i FROM embeddings),
+@query("""WITH p AS (SELECT vec_id, unnest(list_transform(embedding, lambda x: CAST(abs(x) AS DOUBLE))) AS p, generate_subscripts(embedding, 1) AS i FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rn FROM p)
 SELECT vec_id, coalesce(string_agg('label' || (i - 1), ',' ORDER BY rn) FILTER (rn <= 5 AND p > 0.1), '') AS top,
   coalesce(min_by('label' || (i - 1), rn) FILTER (p > 0.1), 'background') AS label,
   round(coalesce(max(p) FILTER (p > 0.1), 0.1), 6) AS confidence, min_by('label' || (i - 1), rn) AS argmax FROM r GROUP BY vec_id""")
 def top_labels(c):
-    """The first ten numbers of a vector play the class probabilities."""
-    entries = F.transform(F.slice("embedding", 1, 10), lambda v, i: F.struct(
+    """The numbers of a vector play the class probabilities."""
+    entries = F.transform("embedding", lambda v, i: F.struct(
         F.concat(F.lit("label"), i.cast("string")), F.abs(v.cast("double"))))
     df = c.table("embeddings").select("vec_id", F.map_from_entries(entries).alias("probabilities"))
     out = rollups.top_labels(df)

@@ -146,6 +146,13 @@ def test_cross_references_against_all_pairs(spark):
     assert found == want and want
 
 
+def test_terms_are_keywords(spark):
+    df = spark.createDataFrame([(1, 1, "The Cat, the cat (a) x2!", None), (1, 2, "", "and Äpfel")], "media_id int, scene_id int, a string, b string")
+    got = {(r["scene_id"], r["term"]) for r in library.searchable_terms(df, ("a", "b")).collect()}
+    assert got == {(1, "cat"), (1, "x2"), (2, "äpfel")}
+    assert one(spark, library.keywords(F.lit("The Cat, the cat (a) x2!"))) == ["cat", "x2"]
+
+
 def test_index_parts(spark):
     df = spark.createDataFrame([(m, s, "t") for m in range(20) for s in range(10)], "media_id int, scene_id int, term string")
     parts = library.master_index(df, "topic", part_rows=50).collect()
