@@ -19,31 +19,26 @@ OPENERS = ("And", "But", "So", "Now", "Then", "However")
 SHORT_SECONDS, SMALL_GAP, PAUSE_GAP, FEW_WORDS, TINY_WORDS = 2.5, 0.8, 0.3, 4, 3
 
 
-def _ends_sentence(text: Column) -> Column:
-    return text.rlike(r"[.!?:]$")
-
-
-def _opens_sentence(text: Column) -> Column:
-    return text.rlike("^(" + "|".join(OPENERS) + ")")
-
-
 def _joins(cur: Column, nxt: Column) -> Column:
     """Does the next segment belong to the one built so far?"""
-    text, following = F.trim(cur["text"]), F.trim(nxt["text"])
-    unfinished = (text != "") & ~_ends_sentence(text) & ~_opens_sentence(following)
+    unfinished = (cur["text"] != "") & ~cur["ends"] & ~nxt["opens"]
     return ((cur["end"] - cur["start"] < SHORT_SECONDS) | (nxt["start"] - cur["end"] < SMALL_GAP) | unfinished
-            | (word_count(text) < FEW_WORDS) | (word_count(following) < TINY_WORDS))
+            | (cur["words"] < FEW_WORDS) | (nxt["words"] < TINY_WORDS))
 
 
 def _joined(cur: Column, nxt: Column) -> Column:
+    """Both segments as one. Word count and ending follow from the parts, so no text is read again."""
     weight, extra = cur["end"] - cur["start"], nxt["end"] - nxt["start"]
-    link = F.when(nxt["start"] - cur["end"] < PAUSE_GAP, " ").otherwise("... ")
+    close = nxt["start"] - cur["end"] < PAUSE_GAP
     mixed = (cur["confidence"] * weight + nxt["confidence"] * extra) / (weight + extra)
+    # The pause mark is a word of its own only where nothing stands before it.
+    mark = F.when((cur["text"] == "") & ~close, 1).otherwise(0)
     return F.struct(
         cur["start"].alias("start"), nxt["end"].alias("end"),
-        F.concat(F.trim(cur["text"]), link, F.trim(nxt["text"])).alias("text"),
+        F.trim(F.concat(cur["text"], F.when(close, " ").otherwise("... "), nxt["text"])).alias("text"),
         F.when(weight + extra > 0, mixed).otherwise(cur["confidence"]).alias("confidence"),
-        (cur["parts"] + 1).alias("parts"))
+        (cur["parts"] + 1).alias("parts"), (cur["words"] + nxt["words"] + mark).alias("words"),
+        F.when(nxt["text"] != "", nxt["ends"]).otherwise(~close | cur["ends"]).alias("ends"), cur["opens"].alias("opens"))
 
 
 def _fold_batches(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -82,18 +77,22 @@ def merge_segments(segments: DataFrame, key: str = "media_id", cuts: Cuts = NO_C
     `long_run` rows is streamed through the same fold in order, one open segment in memory.
     Segments: (key, ordinal, start, end, text, confidence), starts in order.
     """
-    rows = segments.select(key, "ordinal", F.col("start").cast("double"), F.col("end").cast("double"), "text",
-                           F.col("confidence").cast("double"))
-    rows = rows.withColumn("parts", F.lit(1).cast("bigint"))
-    piece = F.struct("start", "end", "text", "confidence", "parts")
+    text = F.trim("text")
+    rows = segments.select(
+        key, "ordinal", F.col("start").cast("double"), F.col("end").cast("double"), text.alias("text"),
+        F.col("confidence").cast("double"), F.lit(1).cast("bigint").alias("parts"), word_count(text).alias("words"),
+        text.rlike(r"[.!?:]$").alias("ends"), text.rlike("^(" + "|".join(OPENERS) + ")").alias("opens"))
+    piece = F.struct("start", "end", "text", "confidence", "parts", "words", "ends", "opens")
     track = Track(rows, (key,), ("start", "ordinal"), cuts).previous(_prev=piece)
     # An empty text lets an older one decide, so no run starts behind it.
-    certain = F.col("_prev").isNull() | ((F.trim("_prev.text") != "") & ~_joins(F.col("_prev"), piece))
+    certain = F.col("_prev").isNull() | ((F.col("_prev.text") != "") & ~_joins(F.col("_prev"), piece))
     runs = islands(track, certain, "island").df.drop("_prev")
     sized = runs.groupBy(key, "island").agg(F.count(F.lit(1)).alias("_n"))
     is_long = sized.filter(F.col("_n") > long_run).select(key, "island")
+    # One look decides whether the second way is needed at all; with it, the rows are read once more.
+    any_long = not is_long.isEmpty()
 
-    short = runs.join(is_long, [key, "island"], "left_anti")
+    short = runs.join(is_long, [key, "island"], "left_anti") if any_long else runs
     item = F.struct(F.col("start").alias("_s"), F.col("ordinal").alias("_o"), piece.alias("v"))
     gathered = short.groupBy(key, "island").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     gathered = gathered.withColumn("_items", F.transform("_items", lambda i: i["v"]))
@@ -106,15 +105,16 @@ def merge_segments(segments: DataFrame, key: str = "media_id", cuts: Cuts = NO_C
 
     folded = F.aggregate(F.slice("_items", 2, F.size("_items")), first, step,
                          lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    merged = gathered.select(key, "island", F.explode(folded).alias("m")).select(key, "island", "m.*")
-
-    streamed = (
-        runs.join(is_long, [key, "island"], "left_semi")
-        .repartition(key, "island").sortWithinPartitions(key, "island", "start", "ordinal")
-        .select(key, "island", "start", "end", "text", "confidence")
-        .mapInPandas(lambda it: _fold_batches(it, key), merged.schema))
-    out = merged.unionByName(streamed)
-    return out.select(key, "start", "end", (F.col("end") - F.col("start")).alias("duration"),
+    merged = gathered.select(key, "island", F.explode(folded).alias("m")).select(
+        key, "island", "m.start", "m.end", "m.text", "m.confidence", "m.parts")
+    if any_long:
+        streamed = (
+            runs.join(is_long, [key, "island"], "left_semi")
+            .repartition(key, "island").sortWithinPartitions(key, "island", "start", "ordinal")
+            .select(key, "island", "start", "end", "text", "confidence")
+            .mapInPandas(lambda it: _fold_batches(it, key), merged.schema))
+        merged = merged.unionByName(streamed)
+    return merged.select(key, "start", "end", (F.col("end") - F.col("start")).alias("duration"),
                       collapse("text").alias("text"), "confidence", "parts")
 
 
