@@ -93,24 +93,25 @@ def run_spans(df: DataFrame, label: str = "label", confidence: str = "confidence
     # A missing label is a label of its own; joins of segment summaries need a value for it.
     named = rows.df.withColumn("_label", F.coalesce(F.col(label).cast("string"), F.lit("\x00")))
     rows = Track(named, (*keys, "_label"), by, cuts).running(_sum=F.col(confidence), _count=F.lit(1).cast("bigint")).df
-    at = F.struct(first, second)
-    aggs = [
-        F.min_by(label, at).alias("label"), F.min(first).alias("start"), F.min_by(second, at).alias("ordinal"),
-        F.max_by(F.col("_sum") / F.col("_count"), at).alias("_mean"), F.max_by(confidence, at).alias("_last"),
+    features = features or {}
+    place = [F.col(first).alias("t"), F.col(second).alias("o")]
+    # Two levels of one aggregate, by category and then over the categories: no join for the commonest one.
+    parts = rows.groupBy(*keys, "span_no", *([category] if category else [])).agg(
+        F.min(F.struct(*place, F.col(label).alias("label"))).alias("_first"),
+        F.max(F.struct(*place, (F.col("_sum") / F.col("_count")).alias("mean"), F.col(confidence).alias("own"))).alias("_last"),
         F.max(duration).alias("_duration"), F.count(F.lit(1)).alias("rows"),
-    ]
-    aggs += [F.avg(column).alias(name) for name, column in (features or {}).items()]
-    spans = rows.groupBy(*keys, "span_no").agg(*aggs)
-    if category:
-        counted = rows.groupBy(*keys, "span_no", category).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_at"))
-        best = counted.groupBy(*keys, "span_no").agg(
-            F.min_by(category, F.struct((-F.col("_n")).alias("n"), F.col("_at"))).alias(category))
-        spans = spans.join(best, [*keys, "span_no"])
+        *[x for n, column in features.items() for x in (F.sum(column).alias(f"_s_{n}"), F.count(column).alias(f"_n_{n}"))])
+    winner = [F.min_by(category, F.struct((-F.col("rows")).alias("n"), F.col("_first.t"), F.col("_first.o"))).alias(category)] if category else []
+    spans = parts.groupBy(*keys, "span_no").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_duration").alias("_duration"),
+        F.sum("rows").alias("rows"), *winner,
+        *[(F.sum(f"_s_{n}") / F.sum(f"_n_{n}")).alias(n) for n in features])
+    spans = spans.withColumns({"label": F.col("_first.label"), "start": F.col("_first.t"), "ordinal": F.col("_first.o")}).drop("_first")
     spans = Track(spans, keys, ("start", "ordinal"), cuts).following(_next=F.col("start")).df
     return spans.withColumns({
         "end": F.coalesce("_next", "_duration"),
-        "confidence": F.when(F.col("_next").isNull(), F.col("_last")).otherwise(F.col("_mean")),
-    }).drop("_mean", "_last", "_duration", "_next")
+        "confidence": F.when(F.col("_next").isNull(), F.col("_last.own")).otherwise(F.col("_last.mean")),
+    }).drop("_last", "_duration", "_next")
 
 
 def vector_change(df: DataFrame, vector: str = "embedding", above: float = 0.5, keys=KEYS, by=BY,
