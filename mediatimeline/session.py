@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +70,20 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per session, so that Python functions run wherever it is not installed."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = f"{os.path.basename(root)}.zip"
+    if name in context._python_includes:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
