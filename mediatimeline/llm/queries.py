@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatimeline.llm import bpe, quality_rules, token_counts
+from mediatimeline.llm import bpe, fingerprints, jaccard_join, license_scan, mixing, quality_rules, sharding, token_counts
 from mediatimeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,16 +24,41 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_sharding(spark, folder):
+    return sharding.shard(read(spark, folder, "documents"))
+
+
 @query()
 def op2_token_counts(spark, folder):
     return token_counts.token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op3_license_scan(spark, folder):
+    return license_scan.license_scan(read(spark, folder, "documents"))
+
+
+@query()
+def op4_mixing(spark, folder):
+    return mixing.mix(read(spark, folder, "documents"))
+
+
 @query()
 def op5_quality_rules(spark, folder):
     return quality_rules.quality_rules(read(spark, folder, "documents"))
 
 
+@query(fingerprints.SQL)
+def op6_fingerprints(spark, folder):
+    return fingerprints.fingerprints(read(spark, folder, "documents"))
+
+
+@query()
+def op9_jaccard_join(spark, folder):
+    return jaccard_join.jaccard_components(read(spark, folder, "documents"))
+
+
 @query()
 def op10_bpe(spark, folder):
     return bpe.encode(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
