@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatimeline.llm import bpe, fingerprints, jaccard_join, license_scan, mixing, quality_rules, sharding, token_counts
+from mediatimeline.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, token_counts
 from mediatimeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op9_jaccard_join(spark, folder):
 def op10_bpe(spark, folder):
     return bpe.encode(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                       public_tokenizers.PATTERN, digest=True)
+
+
+@query()
+def op7_html_extraction(spark, folder):
+    return html_extract.extract(read(spark, folder, "pages"))
+
+
+@query()
+def op8_language_id(spark, folder):
+    return language_id.language_id(read(spark, folder, "documents"))
