@@ -1,8 +1,46 @@
-"""A corpus through the training-data operators, stage by stage."""
+"""A corpus through five training-data operators, each stage written as Parquet and read again by the next."""
 
-STAGES = []
-ORACLE_SQL = None
+from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from mediatimeline.llm import bpe, jaccard_join, language_id, mixing, quality_rules
+from mediatimeline.session import settle
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language stay."""
+    return language_id.identified(docs)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the word rules and the compression bands stay."""
+    return quality_rules.good_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of sources takes it."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of every document: their number, a hash of the ids, and a hash of the decoded bytes."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digest=True)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_duplicates", near_duplicates), ("mix", mix), ("encode", encode)]
+
+ORACLE_SQL = None  # SQL has no regression, compression, or byte-pair merges; the tests compare with brute force
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,6 +33,11 @@ def ids_and_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> F.Column:
+    """All columns of a row as one column, so that no name can clash while it travels; `row.*` brings them back."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("row")
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece has about `limit` bytes of text; a longer text is a piece of its own."""
     for batch in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mediatimeline.llm.common import by_bytes, ids_and_texts
+from mediatimeline.llm.common import by_bytes, ids_and_texts, whole_rows
 from mediatimeline.session import settle, ship
 
 WORDS = 5
@@ -127,8 +127,9 @@ def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int,
 
 
 def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
-    """id, set (null: no shingles), size, two counts of signatures (own band, next band), and whether the bound holds."""
-    schema = T.StructType([docs.schema["id"], T.StructField("set", T.LongType()), T.StructField("size", T.IntegerType()),
+    """id, text_hash, set (null: no shingles), size, counts of signatures (own band, next band), and whether the bound holds."""
+    docs = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = T.StructType([docs.schema["id"], docs.schema["text_hash"], T.StructField("set", T.LongType()), T.StructField("size", T.IntegerType()),
                            T.StructField("own", T.IntegerType()), T.StructField("next", T.IntegerType()), T.StructField("sure", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +140,8 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
                 sure = all(n > bands.most_different(len(shingles)) for n in counts)
                 rows.append((set_key(shingles) if len(shingles) else None, len(shingles), *(counts + [0, 0])[:2], sure))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=schema.names)
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -319,19 +321,8 @@ def size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """`id_col`, n_shingles and component_id (the smallest id that a row reaches over links, itself included) of every row.
-
-    Two rows link when 100 * intersection >= percent * union of their sets of word windows. Rows with equal sets are one set from
-    the start. Sets with a common signature are candidates. In a first step every set is compared with one set only, the
-    smallest of a signature that it shares most often, which joins a group of near copies like a star, without pairs inside
-    the group. Then only pairs of sets in different components are left; all of them that share a signature under which one
-    of both asks are compared in full. So no link between components is lost, and links inside one aren't all listed.
-
-    A null text, or one without words, has an empty set, links with nothing, and has its own id as component. Rows with a null
-    id take part; a component of such rows only has a null component_id. Repeated rows are equal sets. An empty table gives
-    an empty result. Other columns are not read.
-    """
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, text_hash, n_shingles and root of every row; rows with one root are connected, null means no shingles."""
     ship(docs.sparkSession)
     bands = Bands(percent)
     rows = ids_and_texts(docs, id_col, text_col)
@@ -346,12 +337,43 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = settle(with_roles(shared, sets.drop("id"), bands))
     roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
-    joined = joined.select("id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
-    smallest = joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return joined.join(smallest, "root", "left").select(
+    return joined.select("id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`id_col`, n_shingles and component_id (the smallest id that a row reaches over links, itself included) of every row.
+
+    Two rows link when 100 * intersection >= percent * union of their sets of word windows. Rows with equal sets are one set from
+    the start. Sets with a common signature are candidates. In a first step every set is compared with one set only, the
+    smallest of a signature that it shares most often, which joins a group of near copies like a star, without pairs inside
+    the group. Then only pairs of sets in different components are left; all of them that share a signature under which one
+    of both asks are compared in full. So no link between components is lost, and links inside one aren't all listed.
+
+    A null text, or one without words, has an empty set, links with nothing, and has its own id as component. Rows with a null
+    id take part; a component of such rows only has a null component_id. Repeated rows are equal sets. An empty table gives
+    an empty result. Other columns are not read.
+    """
+    found = classes(docs, id_col, text_col, words, percent)
+    smallest = found.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    return found.join(smallest, "root", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, one of each component: the one with the smallest id, nulls first, and among equals the smallest text hash.
+
+    Rows without shingles are components of their own. Of rows equal in id and text one stays.
+    """
+    found = settle(classes(docs, id_col, text_col, words, percent))
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("first.*")
+    stay = settle(first.union(found.where("root is null").select("id", "text_hash").distinct()))
+    stay = stay.select(F.col("id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    text = docs[text_col].cast("string")
+    rows = docs.select(whole_rows(docs), docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
+    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
+
+
 def linked(rows: DataFrame, entries: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) over sets, from the signature entries (sig, set, size, asks)."""
     centers = entries.groupBy("sig").agg(F.min(F.struct("set", "size", "asks")).alias("c"), F.max("asks").alias("any")).where("any")

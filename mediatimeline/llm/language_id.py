@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediatimeline.llm.common import by_bytes, hash_unit
+from mediatimeline.llm.common import by_bytes, hash_unit, whole_rows
 from mediatimeline.session import ship
 
 SAMPLE_ROWS = 4_000  # labelled texts that the fit uses, shared equally by the languages
@@ -21,6 +21,7 @@ SIZES = (512, 2048, 8192)  # buckets for the presence of 1-, 2- and 3-grams
 SLICE = 1 << 20  # characters of a text that are turned into n-grams at a time
 ROWS = 256  # texts of one matrix product
 UNKNOWN = "und"
+LEAST_SCORE = 0.4  # under it no language claims a text
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -180,3 +181,12 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), held_out(docs, id_col).alias("held_out"))
     found = identify(rows, model, "text", ("id", "held_out"))
     return found.withColumnRenamed("id", id_col)
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = LEAST_SCORE,
+               **fit_options) -> DataFrame:
+    """The rows of `docs` whose text has a language: not `und`, and a score of at least `least_score`."""
+    model = fit(docs, id_col, text_col, lang_col, **fit_options)
+    rows = docs.select(docs[text_col].alias("text"), whole_rows(docs))
+    found = identify(rows, model, "text", ("row",))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mediatimeline.llm.common import hash_unit
+from mediatimeline.llm.common import hash_unit, whole_rows
 from mediatimeline.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -169,7 +169,6 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """The rows of `docs`, with all their columns, as often as the mix takes them."""
     mine = keyed(docs, id_col, text_col, source_col)
     cells = plan(settle(docs.select(*mine)), weights, share, cap)
-    names = docs.columns
-    taken = docs.select("*", *mine).join(cells.drop("source_size", "target", "rate"), ["mix_source", "mix_size"])
-    repeated = taken.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
-    return repeated.select(*names)
+    taken = docs.select(whole_rows(docs), *mine).join(cells.drop("source_size", "target", "rate"), ["mix_source", "mix_size"])
+    repeated = taken.where(copies() > 0).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
+    return repeated.select("row.*")

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mediatimeline.llm.common import by_bytes, ids_and_texts
+from mediatimeline.llm.common import by_bytes, ids_and_texts, whole_rows
 from mediatimeline.session import ship
 
 SYMBOLS = "#*$%&|<>"
@@ -83,8 +83,8 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, c
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, chunk: int = CHUNK_BYTES,
-                  bad_share: float = BAD_CHUNK_SHARE, level: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """`id_col`, the columns `keep`, word and line counts, compression ratios and a verdict for every row.
+                  bad_share: float = BAD_CHUNK_SHARE, level: int = 3, rows_too: bool = False) -> DataFrame:
+    """`id_col`, with `rows_too` the whole row as a struct, word and line counts, compression ratios and a verdict for every row.
 
     base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, the
     zstandard ratio of the whole text inside the band for its length, and at most `bad_share` of its chunks (texts over
@@ -92,13 +92,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shuffle, and memory is bounded by one Arrow batch and the longest text.
 
     A null text counts as empty: no words, base_failed. Ids may be null or repeated; every row comes out once. An empty
-    table gives an empty result. Columns not named are not read; the names in `keep` must not be among the result's.
+    table gives an empty result. Other columns are not read, or travel inside the struct, so their names can't clash.
     """
     ship(docs.sparkSession)
     rows = ids_and_texts(docs, id_col, text_col)
-    if keep:
-        rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in keep])
-    schema = T.StructType([rows.schema["id"], *[rows.schema[c] for c in keep], *[T.StructField(n, t) for n, t in FIELDS]])
+    if rows_too:
+        rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), whole_rows(docs))
+    schema = T.StructType([rows.schema["id"], *rows.schema.fields[2:], *[T.StructField(n, t) for n, t in FIELDS]])
     names = schema.names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,3 +109,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], names=names)
 
     return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that the rules keep."""
+    return quality_rules(docs, id_col, text_col, rows_too=True, **options).where("kept").select("row.*")
