@@ -57,7 +57,8 @@ def differing(a: Column, b: Column) -> Column:
     """(section, paragraph) of fingerprint b, from 0, that hold leaves unknown to a; sections that a has too are not opened."""
     known = F.transform(F.split(a, "[:;]"), lambda s: F.substring_index(s, "=", 1))
     leaves = leaf_set(a)
-    sections = F.transform(F.slice(F.split(b, "[:;]"), 2, 2147483647), lambda s, i: F.struct(
+    parts = F.split(b, "[:;]")
+    sections = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda s, i: F.struct(
         i.alias("section"), F.substring_index(s, "=", 1).alias("node"), F.split(F.substring_index(s, "=", -1), "/").alias("paragraphs")))
     opened = F.filter(sections, lambda s: ~F.array_contains(known, s["node"]))
     places = F.flatten(F.transform(opened, lambda s: F.transform(s["paragraphs"], lambda p, i: F.struct(

@@ -11,7 +11,7 @@ from mediatimeline.llm.common import ids_and_texts
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # counts the same words before A-Z are lowered
 BASE_RULES = 3  # the first rules are the base phrases
-REACH = 14  # words that a window holds on either side of a keyword; no rule is longer
+REACH = 16  # words that a window holds on either side of a keyword; no rule is longer
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
