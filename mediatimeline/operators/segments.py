@@ -9,113 +9,133 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediatimeline.functions.render import collapse, cosine, word_count
+from mediatimeline.functions.render import cosine
 from mediatimeline.operators.joins import nearest
 from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands
-from mediatimeline.session import ensure_checkpoint_dir
+from mediatimeline.session import ensure_checkpoint_dir, settle
 
 # Words that may open a new sentence after an unfinished one (fixed values).
 OPENERS = ("And", "But", "So", "Now", "Then", "However")
 SHORT_SECONDS, SMALL_GAP, PAUSE_GAP, FEW_WORDS, TINY_WORDS = 2.5, 0.8, 0.3, 4, 3
 
 
-def _joins(cur: Column, nxt: Column) -> Column:
-    """Does the next segment belong to the one built so far?"""
-    unfinished = (cur["text"] != "") & ~cur["ends"] & ~nxt["opens"]
-    return ((cur["end"] - cur["start"] < SHORT_SECONDS) | (nxt["start"] - cur["end"] < SMALL_GAP) | unfinished
-            | (cur["words"] < FEW_WORDS) | (nxt["words"] < TINY_WORDS))
-
-
-def _joined(cur: Column, nxt: Column) -> Column:
-    """Both segments as one. Word count and ending follow from the parts, so no text is read again."""
-    weight, extra = cur["end"] - cur["start"], nxt["end"] - nxt["start"]
-    close = nxt["start"] - cur["end"] < PAUSE_GAP
-    mixed = (cur["confidence"] * weight + nxt["confidence"] * extra) / (weight + extra)
-    # The pause mark is a word of its own only where nothing stands before it.
-    mark = F.when((cur["text"] == "") & ~close, 1).otherwise(0)
-    return F.struct(
-        cur["start"].alias("start"), nxt["end"].alias("end"),
-        F.trim(F.concat(cur["text"], F.when(close, " ").otherwise("... "), nxt["text"])).alias("text"),
-        F.when(weight + extra > 0, mixed).otherwise(cur["confidence"]).alias("confidence"),
-        (cur["parts"] + 1).alias("parts"), (cur["words"] + nxt["words"] + mark).alias("words"),
-        F.when(nxt["text"] != "", nxt["ends"]).otherwise(~close | cur["ends"]).alias("ends"), cur["opens"].alias("opens"))
-
-
-def _fold_batches(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """The same fold over rows that arrive in order, holding one open segment at a time."""
-    done, group, cur = [], None, None
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            here = (getattr(row, key), row.island)
-            text = row.text.strip(" ")
-            if here != group:
-                if cur is not None:
-                    done.append((*group, *cur))
-                group, cur = here, [row.start, row.end, row.text, row.confidence, 1]
-                continue
-            so_far, gap, weight, extra = cur[2].strip(" "), row.start - cur[1], cur[1] - cur[0], row.end - row.start
-            unfinished = bool(so_far) and so_far[-1] not in ".!?:" and not text.startswith(OPENERS)
-            if (weight < SHORT_SECONDS or gap < SMALL_GAP or unfinished or len(so_far.split()) < FEW_WORDS
-                    or len(text.split()) < TINY_WORDS):
-                mixed = (cur[3] * weight + row.confidence * extra) / (weight + extra) if weight + extra > 0 else cur[3]
-                cur = [cur[0], row.end, so_far + (" " if gap < PAUSE_GAP else "... ") + text, mixed, cur[4] + 1]
-            else:
-                done.append((*group, *cur))
-                cur = [row.start, row.end, row.text, row.confidence, 1]
-        yield pd.DataFrame(done, columns=[key, "island", "start", "end", "text", "confidence", "parts"])
-        done = []
-    if cur is not None:
-        yield pd.DataFrame([(*group, *cur)], columns=[key, "island", "start", "end", "text", "confidence", "parts"])
-
-
-def merge_segments(segments: DataFrame, key: str = "media_id", cuts: Cuts = NO_CUTS, long_run: int = 1000) -> DataFrame:
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"  # white space of any script
+LOOK_AHEAD = 4  # behind so many possible cuts a segment is long enough and has words enough
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+\z", "")
+
+
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, rf"{BLANK}+", " "))
+
+
+def _cut_successors(nodes: DataFrame, key: str, found: Cuts) -> tuple[DataFrame, DataFrame]:
+    """(key, node, to) of every possible cut, the cut that ends the segment behind it, and the cuts that are made anyway.
+
+    Node 0 is the first row. At a node the segment to come has a start, a word count before it and its own pause count;
+    a later cut ends it if it lasts, has words enough, and its text is complete. Length and words are sure to suffice
+    behind LOOK_AHEAD cuts, since gaps and words of the rows behind cuts add up; from there the next complete one counts.
+    """
+    full = Track(nodes, (key,), ("start", "ordinal"), found).last_known(backward=True, full=F.when(F.col("complete"), F.col("node"))).df
+    offers = full.select(key, F.col("node").alias("to"), "end", "words", "pauses", "complete", "full",
+                         F.explode(F.array(*[F.lit(k) for k in range(1, LOOK_AHEAD + 2)])).alias("step"))
+    offers = offers.select("*", (F.col("to") - F.col("step")).alias("node")).where("node >= 0")
+    own = nodes.select(key, "node", "from_start", "words_before", "own_pauses", "from_pauses")
+    met = offers.join(own, [key, "node"])
+    # A pause before the first text of a segment is a word of its own.
+    mark = F.when(F.least(F.coalesce("from_pauses", "pauses"), "pauses") > F.col("own_pauses"), 1).otherwise(0)
+    ends = (F.col("complete") & (F.col("end") - F.col("from_start") >= SHORT_SECONDS)
+            & (F.col("words") - F.col("words_before") + mark >= FEW_WORDS))
+    near = F.min(F.when(ends & (F.col("step") <= LOOK_AHEAD), F.col("to")))
+    far = F.max(F.when(F.col("step") == LOOK_AHEAD + 1, F.col("full")))
+    succ = settle(met.groupBy(key, "node").agg(F.coalesce(near, far).alias("to")))
+    # What ends the shortest segment before it ends every segment that reaches it.
+    return succ, succ.where("to = node + 1").select(key, F.col("to").alias("node"))
+
+
+def _taken(succ: DataFrame, certain: DataFrame, key: str) -> DataFrame:
+    """Cuts on the chains from the first row and from every certain cut, by doubling the steps."""
+    reached = settle(certain.union(succ.where("node = 0").select(key, "node")))
+    jumps = settle(succ.where("to is not null"))
+    while True:
+        ahead = reached.join(jumps, [key, "node"]).select(key, F.col("to").alias("node")).distinct()
+        fresh = settle(ahead.join(reached, [key, "node"], "left_anti"))
+        if fresh.isEmpty():
+            return reached
+        reached = reached.union(fresh)
+        on = jumps.select(key, F.col("node").alias("to"), F.col("to").alias("then"))
+        jumps = settle(jumps.join(on, [key, "to"]).select(key, "node", F.col("then").alias("to")))
+
+
+def merge_segments(segments: DataFrame, key: str = "media_id", cuts: Cuts = NO_CUTS, first: tuple[str, ...] = (),
+                   lists: tuple[str, ...] = ()) -> DataFrame:
     """Join speech segments that belong together, left to right.
 
-    Whether a segment joins depends on what was joined before it, but a segment that is already
-    long, complete and followed by a pause ends its sentence whatever came before. Cutting there
-    gives short independent runs that are folded in parallel inside the JVM. A run longer than
-    `long_run` rows is streamed through the same fold in order, one open segment in memory.
-    Segments: (key, ordinal, start, end, text, confidence), starts in order.
+    Segments: (key, ordinal, start, end, text, confidence), no end before its start, starts in order. A segment is cut off where
+    it lasts SHORT_SECONDS, has FEW_WORDS, its text is complete or the next one opens a sentence, SMALL_GAP lies behind it,
+    and the next has TINY_WORDS; else the next one joins it. Where a cut may lie, and whether the text is complete there,
+    doesn't depend on where the segment began; so every possible cut knows which one follows it, and the cuts made are the
+    chain from the first row. Rows of any number are handled by scans and joins; only the rows of one result meet in a row.
+
+    Of the columns `first` the first segment's value stays; the arrays `lists` are joined if the first one isn't empty.
     """
-    text = F.trim("text")
+    text = _stripped(F.col("text"))
     rows = segments.select(
         key, "ordinal", F.col("start").cast("double"), F.col("end").cast("double"), text.alias("text"),
-        F.col("confidence").cast("double"), F.lit(1).cast("bigint").alias("parts"), word_count(text).alias("words"),
-        text.rlike(r"[.!?:]$").alias("ends"), text.rlike("^(" + "|".join(OPENERS) + ")").alias("opens"))
-    piece = F.struct("start", "end", "text", "confidence", "parts", "words", "ends", "opens")
-    track = Track(rows, (key,), ("start", "ordinal"), cuts).previous(_prev=piece)
-    # An empty text lets an older one decide, so no run starts behind it.
-    certain = F.col("_prev").isNull() | ((F.col("_prev.text") != "") & ~_joins(F.col("_prev"), piece))
-    runs = islands(track, certain, "island").df.drop("_prev")
-    sized = runs.groupBy(key, "island").agg(F.count(F.lit(1)).alias("_n"))
-    is_long = sized.filter(F.col("_n") > long_run).select(key, "island")
-    # One look decides whether the second way is needed at all; with it, the rows are read once more.
-    any_long = not is_long.isEmpty()
-
-    short = runs.join(is_long, [key, "island"], "left_anti") if any_long else runs
-    item = F.struct(F.col("start").alias("_s"), F.col("ordinal").alias("_o"), piece.alias("v"))
-    gathered = short.groupBy(key, "island").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-    gathered = gathered.withColumn("_items", F.transform("_items", lambda i: i["v"]))
-    first = F.struct(F.filter("_items", lambda v: F.lit(False)).alias("done"), F.col("_items")[0].alias("cur"))
-
-    def step(acc: Column, nxt: Column) -> Column:
-        cur = acc["cur"]
-        kept = F.struct(F.concat(acc["done"], F.array(cur)).alias("done"), nxt.alias("cur"))
-        return F.when(_joins(cur, nxt), F.struct(acc["done"].alias("done"), _joined(cur, nxt).alias("cur"))).otherwise(kept)
-
-    folded = F.aggregate(F.slice("_items", 2, F.size("_items")), first, step,
-                         lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    merged = gathered.select(key, "island", F.explode(folded).alias("m")).select(
-        key, "island", "m.start", "m.end", "m.text", "m.confidence", "m.parts")
-    if any_long:
-        streamed = (
-            runs.join(is_long, [key, "island"], "left_semi")
-            .repartition(key, "island").sortWithinPartitions(key, "island", "start", "ordinal")
-            .select(key, "island", "start", "end", "text", "confidence")
-            .mapInPandas(lambda it: _fold_batches(it, key), merged.schema))
-        merged = merged.unionByName(streamed)
-    return merged.select(key, "start", "end", (F.col("end") - F.col("start")).alias("duration"),
-                      collapse("text").alias("text"), "confidence", "parts")
+        F.col("confidence").cast("double"), *first, *lists,
+        F.when(text == "", 0).otherwise(F.size(F.split(_flat(text), " "))).cast("bigint").alias("n_words"),
+        text.rlike(r"[.!?:]\z").alias("ends"), text.rlike("^(" + "|".join(OPENERS) + ")").alias("opens"))
+    narrow = rows.select(key, "ordinal", "start", "end", "n_words", "ends", "opens", (F.col("text") != "").alias("said"))
+
+    def written(track: Track) -> Track:
+        """Scans over hot media join the rows with summaries of themselves; written in between, the plan stays short."""
+        return Track(settle(track.df), (key,), ("start", "ordinal"), cuts) if cuts.hot else track
+
+    track = Track(narrow, (key,), ("start", "ordinal"), cuts).previous(prev_end=F.col("end"))
+    track = track.with_columns(pause=F.coalesce(F.col("start") - F.col("prev_end") >= PAUSE_GAP, F.lit(False)))
+    track = written(track.following(next_start=F.col("start"), next_words=F.col("n_words"), next_opens=F.col("opens")))
+    possible = (F.col("next_start") - F.col("end") >= SMALL_GAP) & (F.col("next_words") >= TINY_WORDS)
+    track = track.with_columns(possible=F.coalesce(possible, F.lit(False)))
+    track = written(track.running(words=F.col("n_words"), pauses=F.when(F.col("pause"), 1).otherwise(0).cast("bigint"),
+                                  node=F.when(F.col("possible"), 1).otherwise(0).cast("bigint")))
+    track = track.last_known(complete_text=F.when(F.col("said") | F.col("pause"), ~F.col("said") | F.col("ends")))
+    track = written(track.last_known(backward=True, first_text=F.when(F.col("said"), F.col("pauses"))))
+    track = track.following(after_pauses=F.col("pauses"), after_first=F.col("first_text"))
+    where = track.df.where("possible").select(
+        key, "ordinal", "start", "end", "node", "words", "pauses", "first_text",
+        (F.col("next_opens") | F.coalesce("complete_text", F.lit(True))).alias("complete"), F.col("next_start").alias("from_start"),
+        F.col("words").alias("words_before"), F.col("after_pauses").alias("own_pauses"), F.col("after_first").alias("from_pauses"))
+    head = track.df.where(F.col("prev_end").isNull())
+    zero = head.select(
+        key, (F.col("ordinal") - 1).alias("ordinal"), (F.col("start") - 1).alias("start"), (F.col("start") - 1).alias("end"),
+        F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("words"), F.lit(0).cast("bigint").alias("pauses"), "first_text",
+        F.lit(False).alias("complete"), F.col("start").alias("from_start"), F.lit(0).cast("bigint").alias("words_before"),
+        F.col("pauses").alias("own_pauses"), F.col("first_text").alias("from_pauses"))
+    nodes = settle(zero.unionByName(where))
+    made = _taken(*_cut_successors(nodes, key, cuts), key).where("node > 0")
+    cut_rows = nodes.join(made, [key, "node"]).select(key, "ordinal", F.lit(True).alias("cut"))
+    marked = Track(track.df.select(key, "ordinal", "start", "pause").join(cut_rows, [key, "ordinal"], "left"), (key,), ("start", "ordinal"), cuts)
+    numbered = islands(marked.previous(was_cut=F.col("cut")), F.coalesce("was_cut", F.lit(False)), "island").df
+    runs = rows.join(numbered.select(key, "ordinal", "pause", "island"), [key, "ordinal"])
+    item = F.struct("start", "ordinal", "end", "text", "confidence", "pause", *first, *lists)
+    parts = runs.groupBy(key, "island").agg(F.sort_array(F.collect_list(item)).alias("p"))
+    begin, rest = F.col("p")[0], F.slice("p", 2, F.size("p"))
+    said = F.transform(rest, lambda x: F.concat(F.when(x["pause"], "...").otherwise(""), F.when(x["text"] != "", F.concat(F.lit(" "), x["text"])).otherwise("")))
+
+    def average(acc: Column, x: Column) -> Column:
+        weight, extra = acc["end"] - begin["start"], x["end"] - x["start"]
+        mixed = (acc["confidence"] * weight + x["confidence"] * extra) / (weight + extra)
+        return F.struct(x["end"].alias("end"), F.when(weight + extra > 0, mixed).otherwise(acc["confidence"]).alias("confidence"))
+
+    last = F.aggregate(rest, F.struct(begin["end"].alias("end"), begin["confidence"].alias("confidence")), average)
+    joined = [F.when(F.size(begin[c]) > 0, F.flatten(F.filter(F.col("p")[c], lambda a: a.isNotNull()))).otherwise(begin[c]).alias(c)
+              for c in lists]
+    return parts.select(key, begin["start"].alias("start"), last.alias("last"), _flat(F.concat(begin["text"], F.array_join(said, ""))).alias("text"),
+                        F.size("p").cast("bigint").alias("parts"), *[begin[c].alias(c) for c in first], *joined).select(
+        key, "start", F.col("last")["end"].alias("end"), (F.col("last")["end"] - F.col("start")).alias("duration"), "text",
+        F.col("last")["confidence"].alias("confidence"), "parts", *first, *lists)
 
 
 def scene_vectors(scenes: DataFrame, vectors: DataFrame, key: str = "media_id", cuts: Cuts = NO_CUTS) -> DataFrame:

@@ -8,7 +8,7 @@ from tests.conftest import SMALL, plan_of
 Q = entry_module.queries()
 
 # The only queries that may start Python workers.
-PYTHON = {"spectral_features", "f0_autocorr", "structural_segments", "apply_model", "segments_of", "merge_segments"}
+PYTHON = {"spectral_features", "f0_autocorr", "structural_segments", "apply_model", "segments_of"}
 EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar"}
 
 

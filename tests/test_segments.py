@@ -8,6 +8,7 @@ import pytest
 from mediatimeline.operators import segments as seg
 from mediatimeline.operators.ordered import NO_CUTS, find_cuts
 
+BLANKS = (" ", "  ", "\u00a0", "\n", "\u3000", "\x1f")
 WORDS = "one two three And But so. then yes! what? alpha beta".split()
 
 
@@ -19,7 +20,9 @@ def speech(seed, n=120):
         start = end.get(m, 0.0) + rng.choice([0.0, 0.29, 0.3, 0.5, 0.8, 1.0, 2.0])
         stop = round(start + rng.choice([0.5, 1.0, 2.4, 2.5, 4.0]), 3)
         end[m] = stop
-        text = " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 6)))
+        text = rng.choice(BLANKS).join(rng.choice(WORDS) for _ in range(rng.randint(0, 6))) + rng.choice(("", "", " ", "\n", "\u00a0"))
+        if seed == 5 and i % 3:
+            text = rng.choice(("", " ", "\u2003"))
         rows.append((m, i, round(start, 3), stop, text, rng.randint(1, 10) / 10))
     return rows
 
@@ -28,7 +31,7 @@ def fold(rows):
     """The left fold, written out."""
     out, cur = [], list(rows[0][2:])
     for r in rows[1:]:
-        text, nxt = cur[2].strip(" "), r[4].strip(" ")
+        text, nxt = cur[2].strip(), r[4].strip()
         length, gap, extra = cur[1] - cur[0], r[2] - cur[1], r[3] - r[2]
         open_end = bool(text) and not text.endswith((".", "!", "?", ":")) and not nxt.startswith(seg.OPENERS)
         if length < 2.5 or gap < 0.8 or open_end or len(text.split()) < 4 or len(nxt.split()) < 3:
@@ -41,21 +44,29 @@ def fold(rows):
     return out + [cur]
 
 
-@pytest.mark.parametrize("long_run", [1000, 3, 0])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_merge_segments(spark, seed, long_run):
-    rows = speech(seed)
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5, 6])
+def test_merge_segments(spark, seed):
+    rows = speech(seed, 120 if seed < 6 else 1500)
     df = spark.createDataFrame(rows, "media_id int, ordinal bigint, start double, end double, text string, confidence double")
     want = []
     for m in (1, 2):
         for s, e, text, conf in fold([r for r in rows if r[0] == m]):
             want.append((m, s, e, " ".join(text.split()), round(conf, 9)))
-    for cuts in (NO_CUTS, find_cuts(df, by=("start", "ordinal"), rows=15)):
-        out = seg.merge_segments(df, long_run=long_run, cuts=cuts).collect()
+    for cuts in (NO_CUTS, find_cuts(df, by=("start", "ordinal"), rows=15 if seed < 6 else 400)):
+        out = seg.merge_segments(df, cuts=cuts).collect()
         got = [(r["media_id"], r["start"], r["end"], r["text"], round(r["confidence"], 9)) for r in out]
         assert sorted(got) == sorted(want)
 
 
+def test_merge_segments_carries_fields(spark):
+    rows = [(1, 0, 0.0, 1.0, "one two", 0.5, "ann", ["one", "two"]), (1, 1, 1.1, 2.0, "three.", 0.5, "bob", ["three"]),
+            (1, 2, 2.1, 3.0, "more", 0.5, "bob", None), (1, 3, 3.1, 9.0, "and a full stop.", 0.5, "eve", ["x"]),
+            (1, 4, 12.0, 13.0, "a new one here", 0.5, "eve", [])]
+    df = spark.createDataFrame(rows, "media_id int, ordinal bigint, start double, end double, text string, confidence double, speaker string, words array<string>")
+    out = sorted(seg.merge_segments(df, first=("speaker",), lists=("words",)).collect())
+    assert [(r.parts, r.speaker, r.words) for r in out] == [(4, "ann", ["one", "two", "three", "x"]), (1, "eve", [])]
+
+
 def cos(a, b):
     return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
 
