@@ -126,14 +126,8 @@ def test_cross_references_against_all_pairs(spark):
     sets = {i: {f"w{rng.randint(0, 25)}" for _ in range(rng.randint(1, 6))} | ({"everywhere"} if i % 3 else set()) for i in range(60)}
     sets[60] = set(sets[5])
     df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "scene int, term string")
-    n = len(sets)
-    count = {}
-    for s in sets.values():
-        for t in s:
-            count[t] = count.get(t, 0) + 1
-    rare = {i: frozenset(t for t in s if count[t] <= n * 0.3) for i, s in sets.items()}
-    rare = {i: s for i, s in rare.items() if s}
-    members, pairs = library.cross_references(df, 0.4, 0.3)
+    rare = {i: frozenset(s) for i, s in sets.items()}
+    members, pairs = library.cross_references(df, 0.4)
     ids = {r["scene"]: r["set_id"] for r in members.collect()}
     assert set(ids) == set(rare) and ids[60] == ids[5]
     found = {frozenset((r["left_id"], r["right_id"])): r["similarity"] for r in pairs.collect()}
@@ -155,7 +149,7 @@ def test_terms_are_keywords(spark):
 
 def test_index_parts(spark):
     df = spark.createDataFrame([(m, s, "t") for m in range(20) for s in range(10)], "media_id int, scene_id int, term string")
-    parts = library.master_index(df, "topic", part_rows=50).collect()
+    parts = library.master_index(df, "topic", parts=4).collect()
     assert len(parts) > 1 and sum(len(p["postings"]) for p in parts) == 200
 
 
