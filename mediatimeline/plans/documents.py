@@ -143,7 +143,7 @@ def time_range_segments(c):
 @query(with_sql("ol_spans", "ol_events") + """, p AS (SELECT e.media_id, s.ordinal AS so, count(*) AS n FROM ol_events e JOIN ol_spans s ON e.media_id = s.media_id AND t >= "start" AND t <= "end" GROUP BY ALL),
 a AS (SELECT ol_spans.media_id, count(*) AS spans, sum(coalesce(n, 0)) AS inner_events FROM ol_spans LEFT JOIN p ON p.media_id = ol_spans.media_id AND so = ordinal GROUP BY ol_spans.media_id),
 b AS (SELECT media_id, count(*) AS events FROM ol_events GROUP BY media_id)
-SELECT CAST(a.media_id AS VARCHAR) AS media_id, CAST(0 AS BIGINT) AS part, CAST(spans AS INTEGER) AS spans, CAST(inner_events AS BIGINT) AS inner_events, CAST(coalesce(events, 0) AS INTEGER) AS events FROM a LEFT JOIN b USING (media_id)""")
+SELECT CAST(media_id AS VARCHAR) AS media_id, CAST(0 AS BIGINT) AS part, CAST(coalesce(spans, 0) AS INTEGER) AS spans, CAST(coalesce(inner_events, 0) AS BIGINT) AS inner_events, CAST(coalesce(events, 0) AS INTEGER) AS events FROM a FULL JOIN b USING (media_id)""")
 def nest_timelines(c):
     """Nested rows as they are written; counted for the check."""
     out = nested(c)

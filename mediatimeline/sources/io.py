@@ -12,7 +12,7 @@ MEDIA_EXTENSIONS = ("mp4", "avi", "mov", "mkv", "webm", "wmv", "flv", "m4v", "mp
 
 EVENT = "struct<t:double,description:string,source:string,confidence:double,details:map<string,string>>"
 SPAN = ("struct<start:double,end:double,description:string,source:string,confidence:double,"
-        f"details:map<string,string>,events:array<{EVENT}>>")
+        f"details:map<string,string>,ordinal:bigint,span_part:bigint,events:array<{EVENT}>>")
 TIMELINE = f"media_id string, part bigint, duration double, spans array<{SPAN}>, events array<{EVENT}>"
 
 ERROR_LOG = ("timestamp timestamp, video_path string, video_name string, error_stage string, tool_name string, "
@@ -48,23 +48,23 @@ def nest_timelines(media: DataFrame, spans: DataFrame, span_events: DataFrame, e
     """Nested timeline rows: spans with their events by time, standalone events by time.
 
     `span_events` are event rows with `span_ordinal`. Media, or spans, with more than `part_rows`
-    members are written in several parts (a span split over parts repeats its head), so no row
-    or task grows without bound. `read_timelines` puts the parts together again.
+    members are written in several parts, so no row or task grows without bound. A span split over
+    parts repeats its head with the same ordinal and the next span_part; `flatten_timelines` counts it
+    once. Media with rows but without a media row stay, with a null duration.
     """
     event = F.struct("t", "description", "source", "confidence", "details")
     inner = pack(span_events, ("media_id", "span_ordinal"), ("t", "ordinal"), event, "_events", cuts, part_rows, has_maps=True)
     inner = inner.withColumnsRenamed({"span_ordinal": "ordinal", "part": "_span_part"})
-    whole = spans.join(inner, ["media_id", "ordinal"], "left").withColumn(
-        "_at", F.col("ordinal") * 1_000_000 + F.coalesce("_span_part", F.lit(0)))
+    whole = spans.join(inner, ["media_id", "ordinal"], "left").withColumn("_span_part", F.coalesce("_span_part", F.lit(0).cast("bigint")))
     none = F.array().cast(f"array<{EVENT}>")
-    span = F.struct("start", "end", "description", "source", "confidence", "details",
-                    F.coalesce("_events", none).alias("events"))
-    span_parts = pack(whole, ("media_id",), ("start", "_at"), span, "spans", cuts, part_rows, has_maps=True)
+    span = F.struct("start", "end", "description", "source", "confidence", "details", "ordinal",
+                    F.col("_span_part").alias("span_part"), F.coalesce("_events", none).alias("events"))
+    span_parts = pack(whole, ("media_id",), ("start", "ordinal", "_span_part"), span, "spans", cuts, part_rows, has_maps=True)
     event_parts = pack(events, ("media_id",), ("t", "ordinal"), event, "events", cuts, part_rows, has_maps=True)
     joined = span_parts.join(event_parts, ["media_id", "part"], "full")
     first = media.select("media_id", F.lit(0).cast("bigint").alias("part"))
     keyed = joined.join(first, ["media_id", "part"], "full")
-    return keyed.join(media.select("media_id", "duration"), "media_id").select(
+    return keyed.join(media.select("media_id", "duration"), "media_id", "left").select(
         F.col("media_id").cast("string").alias("media_id"), "part", "duration",
         F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"),
         F.coalesce("events", none).alias("events"))
@@ -81,23 +81,24 @@ def read_timelines(spark: SparkSession, *paths: str) -> DataFrame:
 
 def flatten_timelines(timelines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, events inside spans, standalone events) rows of nested timelines."""
-    spans = timelines.select("media_id", "part", F.posexplode("spans").alias("span_no", "s"))
-    heads = spans.select("media_id", "part", "span_no", "s.start", "s.end", "s.description", "s.source", "s.confidence",
-                         "s.details")
-    inner = spans.select("media_id", "part", "span_no", F.posexplode("s.events").alias("event_no", "e")).select(
-        "media_id", "part", "span_no", "event_no", "e.*")
+    spans = timelines.select("media_id", "part", F.explode("spans").alias("s"))
+    heads = spans.where("s.span_part = 0").select("media_id", "part", "s.ordinal", "s.start", "s.end", "s.description", "s.source",
+                                                  "s.confidence", "s.details")
+    inner = spans.select("media_id", "part", "s.ordinal", "s.span_part", F.posexplode("s.events").alias("event_no", "e")).select(
+        "media_id", "part", F.col("ordinal").alias("span_ordinal"), "span_part", "event_no", "e.*")
     single = timelines.select("media_id", "part", F.posexplode("events").alias("event_no", "e")).select(
         "media_id", "part", "event_no", "e.*")
     return heads, inner, single
 
 
 def frame_metadata(points: DataFrame, key: str = "media_id") -> DataFrame:
-    """Map "scene_003" -> {first, representative, last} of each media's scene points, 1000 scenes a row."""
+    """Map "scene_003" -> {first, representative, last} of each media's scene points, 1000 scenes a row, entries in order."""
     frame = F.struct("frame", F.struct("t", "path", "type").alias("v"))
-    scenes = points.groupBy(key, "scene_id").agg(F.map_from_entries(F.collect_list(frame)).alias("frames"))
-    entry = F.struct(F.format_string("scene_%03d", "scene_id").alias("k"), F.col("frames").alias("v"))
-    return scenes.groupBy(key, F.floor((F.col("scene_id") - 1) / 1000).alias("part")).agg(
-        F.map_from_entries(F.collect_list(entry)).alias("scenes"))
+    entry = F.struct("scene_id", F.sort_array(F.collect_list(frame)).alias("frames"))
+    scenes = points.groupBy(key, "scene_id").agg(entry.alias("entry"))
+    named = F.transform(F.sort_array(F.collect_list("entry")), lambda e: F.struct(
+        F.format_string("scene_%03d", e["scene_id"]).alias("k"), F.map_from_entries(e["frames"]).alias("v")))
+    return scenes.groupBy(key, F.floor((F.col("scene_id") - 1) / 1000).alias("part")).agg(F.map_from_entries(named).alias("scenes"))
 
 
 def scene_offsets(scenes: DataFrame) -> DataFrame:

@@ -22,21 +22,24 @@ def timelines(spark):
     return media, spans, inner, events
 
 
-@pytest.mark.parametrize("part_rows", [10_000, 4])
+@pytest.mark.parametrize("part_rows", [10_000, 4, 2])
 def test_timeline_round_trip(spark, tmp_path, part_rows):
     media, spans, inner, events = timelines(spark)
+    high = 2**62  # ordinals of any size
+    spans, events = spans.withColumn("ordinal", F.col("ordinal") + high), events.withColumn("ordinal", F.col("ordinal") + high)
+    inner = inner.withColumn("span_ordinal", F.col("span_ordinal") + high)
+    events = events.union(events.where("media_id = '2'").withColumn("media_id", F.lit("4")))  # has no media row
     cuts = NO_CUTS if part_rows > 4 else find_cuts(events, rows=3)
     nested = io.nest_timelines(media, spans, inner, events, part_rows, cuts)
     io.write_timelines(nested, str(tmp_path / "tl"))
     back = io.read_timelines(spark, str(tmp_path / "tl"))
     assert sorted(map(str, back.collect())) == sorted(map(str, nested.collect()))
-    assert {r["media_id"]: r["duration"] for r in back.collect()} == {"1": 90.0, "2": 30.0, "3": 5.0}
+    assert {r["media_id"]: r["duration"] for r in back.collect()} == {"1": 90.0, "2": 30.0, "3": 5.0, "4": None}
     heads, words, single = io.flatten_timelines(back)
-    assert heads.select("media_id", "start").distinct().count() == 6
+    assert sorted((r["media_id"], r["ordinal"], r["start"]) for r in heads.collect()) == [("1", high + i, i * 10.0) for i in range(6)]
     assert sorted(r["details"]["word"] for r in words.collect()) == sorted(f"w{i}" for s in (0, 60) for i in range(s, s + 9))
-    assert sorted((r["media_id"], r["t"]) for r in single.collect()) == [(m, i * 2.5) for m in ("1", "2") for i in range(7)]
-    if part_rows == 4:
-        assert max(len(r["events"]) for r in nested.collect()) <= 4
+    assert sorted((r["media_id"], r["t"]) for r in single.collect()) == [(m, i * 2.5) for m in ("1", "2", "4") for i in range(7)]
+    assert max(len(r["events"]) for r in nested.collect()) <= part_rows
 
 
 def test_catalog(spark, tmp_path):
