@@ -59,17 +59,10 @@ def fallback_rows(media: DataFrame, detected: DataFrame, source: str, key: str =
         F.lit(0.1).alias("confidence"), F.greatest(F.lit(30.0), F.col("size_bytes") / 88000.0).alias("duration"))
 
 
-@F.udtf(returnType="segment bigint, start double, end double")
-class SegmentsOf:
-    """Table function for SQL callers: fixed-length segments of one duration (see `fixed_segments`)."""
-
-    def eval(self, duration: float, length: float):
-        start, number = 0.0, 0
-        while start < duration:
-            yield number, start, min(duration, start + length)
-            number += 1
-            start = number * length
-
-
 def register(spark) -> None:
-    spark.udtf.register("segments_of", SegmentsOf)
+    """Table function `segments_of(duration, length)` for SQL callers: see `fixed_segments`."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION segments_of(duration DOUBLE, length DOUBLE)
+        RETURNS TABLE (segment BIGINT, start DOUBLE, end DOUBLE)
+        RETURN SELECT * FROM inline(transform(
+            if(duration > 0, sequence(0L, CAST(ceil(duration / length) AS BIGINT) - 1), array()),
+            n -> named_struct('segment', n, 'start', n * length, 'end', least(duration, (n + 1) * length))))""")

@@ -53,6 +53,12 @@ def fixed_segments(media: DataFrame, length: float, truncate: bool = False, dura
         "end": F.least(F.col(duration), (F.col("segment") + 1) * float(length))})
 
 
+def fallback_scenes(media: DataFrame, length: float = 120.0, duration="duration") -> DataFrame:
+    """Fixed-length scenes of media whose scene detection failed, numbered from 1 and marked as such."""
+    rows = fixed_segments(media, length, duration=duration)
+    return rows.withColumns({"scene_id": F.col("segment") + 1, "fallback_method": F.lit("time_based")}).drop("segment")
+
+
 def equal_parts(media: DataFrame, parts: Column, total: Column | str) -> DataFrame:
     """Cut `total` frames into `parts` segments at whole frames."""
     total = F.col(total) if isinstance(total, str) else total

@@ -258,10 +258,15 @@ def pending_work(items: DataFrame, results: DataFrame, keys=("batch_id", "item")
     return items.join(results.filter(F.col("status") == "completed").select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _ranked(probabilities: Column) -> Column:
+    """Entries of a map that sort by falling probability, then by their place in the map."""
+    return F.transform(F.map_entries(probabilities), lambda e, i: F.struct(
+        (-e["value"]).alias("n"), i.alias("place"), e["key"].alias("label")))
+
+
 def top_labels(df: DataFrame, probabilities: str = "probabilities", k: int = 5, floor: float = 0.1) -> DataFrame:
-    """The k most likely labels over the floor, and the best one (background at the floor if none)."""
-    entries = F.array_sort(
-        F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("label"))))
+    """The k most likely labels over the floor, and the best one (background at the floor if none); of equals the first seen."""
+    entries = F.array_sort(_ranked(F.col(probabilities)))
     top = F.filter(F.slice(entries, 1, k), lambda e: -e["n"] > floor)
     best = F.when(F.size("_top") > 0, F.struct(F.col("_top")[0]["label"].alias("label"),
                                                (-F.col("_top")[0]["n"]).alias("confidence"))).otherwise(
@@ -273,5 +278,4 @@ def top_labels(df: DataFrame, probabilities: str = "probabilities", k: int = 5,
 
 def argmax_label(probabilities: Column | str) -> Column:
     p = F.col(probabilities) if isinstance(probabilities, str) else probabilities
-    entries = F.transform(F.map_entries(p), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("label")))
-    return F.array_min(entries)["label"]
+    return F.array_min(_ranked(p))["label"]

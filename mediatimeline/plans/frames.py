@@ -57,6 +57,13 @@ def fixed_segments(c):
     return framing.fixed_segments(docs(c), 120.0).select("media_id", "segment", "start", "end")
 
 
+@query("""WITH s AS (SELECT doc_id, n_chars / CAST(10 AS DOUBLE) AS d, unnest(range(CAST(ceil(n_chars / CAST(10 AS DOUBLE) / 120) AS BIGINT))) AS i FROM documents WHERE n_chars > 0)
+SELECT doc_id AS media_id, i + 1 AS scene_id, i * CAST(120 AS DOUBLE) AS "start", least(d, (i + 1) * CAST(120 AS DOUBLE)) AS "end", 'time_based' AS fallback_method FROM s""")
+def fallback_scenes(c):
+    media = c.table("documents").select(F.col("doc_id").alias("media_id"), (F.col("n_chars") / 10.0).alias("duration"))
+    return framing.fallback_scenes(media).select("media_id", "scene_id", "start", "end", "fallback_method")
+
+
 @query(DOCS_SQL + """, s AS (SELECT media_id, duration, unnest(range(CAST(ceil(floor(duration) / 30) AS BIGINT))) AS segment FROM m WHERE floor(duration) > 0)
 SELECT media_id, segment, segment * CAST(30 AS DOUBLE) AS "start", least(duration, (segment + 1) * CAST(30 AS DOUBLE)) AS "end" FROM s""")
 def whole_second_segments(c):

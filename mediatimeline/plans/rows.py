@@ -428,13 +428,6 @@ def normalise_waveform(c):
 
 # files ------------------------------------------------------------------------------------------------
 
-@query()
-def media_listing(c):
-    """The folder's own files through the catalog: names and sizes, contents never read."""
-    files = io.media_catalog(c.spark, c.folder, extensions=("parquet",), smallest=1024)
-    return io.media_info(files).select("name", "size_bytes", "size_mb", "extension")
-
-
 FAMILY_SQL = "CASE doc_id % 3 WHEN 0 THEN 'legacy' WHEN 1 THEN 'noncontextual' ELSE 'contextual' END"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,7 +91,8 @@ def label_changes(rows: DataFrame, ts: str, late: str, label: str = "label", key
         if len(ready):
             previous.iloc[0] = last
             last = ready["label"].iloc[-1]
-        changed = (ready["label"] != previous) | previous.isna()
+        # No row before counts as a null label, as in the batch form: a null behind it is no change.
+        changed = ~((ready["label"] == previous) | (ready["label"].isna() & previous.isna()))
         out = ready[changed]
         state.update((last, waiting["at"].astype("int64").tolist(), waiting["ordinal"].astype("int64").tolist(), waiting["label"].tolist()))
         _wait(state, waiting)
@@ -110,12 +112,12 @@ def breaker(items: DataFrame, ts: str, late: str, failed: Column, limit: int = 3
         streak, tripped, at, ordinal, names = state.get if state.exists else (0, False, [], [], [])
         ready, waiting = _ready(state, pdfs, (at, ordinal, names))
         bad = (ready["label"] == "true").to_numpy()
-        streaks, stopped = [], []
-        for b in bad:
-            streak = streak + 1 if b else 0
-            streaks.append(streak)
-            stopped.append(tripped)
-            tripped = tripped or streak >= limit
+        place = np.arange(1, len(bad) + 1)
+        good = np.maximum.accumulate(np.where(bad, 0, place)) if len(bad) else place
+        streaks = place - good + np.where(good == 0, streak, 0)  # failures since the last success, the carried ones before any
+        over = np.logical_or.accumulate(np.r_[tripped, streaks >= limit])
+        stopped, tripped = over[:-1], bool(over[-1])
+        streak = int(streaks[-1]) if len(bad) else streak
         state.update((streak, tripped, waiting["at"].astype("int64").tolist(), waiting["ordinal"].astype("int64").tolist(), waiting["label"].tolist()))
         _wait(state, waiting)
         yield pd.DataFrame({key: group[0], "ordinal": ready["ordinal"].astype("int64"), "streak": pd.Series(streaks, index=ready.index, dtype="int64"),
