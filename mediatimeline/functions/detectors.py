@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediatimeline.session import ship
+
 
 class Detector(Protocol):
     """A source of timeline rows: reads media rows, gives event rows tagged with its source."""
@@ -45,6 +47,7 @@ def apply_model(windows: DataFrame, load: Callable[[], Any], predict: Callable[[
             found = predict(model, batch)
             yield pd.concat([batch[list(keys)].reset_index(drop=True), found.reset_index(drop=True)], axis=1)
 
+    ship(slim.sparkSession)
     return slim.mapInPandas(label, f"{kept}, label string, confidence double, probabilities map<string,double>")
 
 

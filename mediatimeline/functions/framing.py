@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track
+from mediatimeline.session import ship
 
 PITCHES = ("C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B")
 
@@ -124,24 +125,34 @@ def spectrum_features(spectrum: DataFrame, keys: tuple[str, ...], f="f", m="m")
     return sums.select(*keys, centre.alias("centroid"), F.coalesce(spread, F.lit(0.0)).alias("bandwidth"))
 
 
+def _equal_lengths(windows: pd.Series):
+    """(positions, matrix) of the windows of each length."""
+    lengths = windows.map(len).to_numpy()
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, np.array([windows.iloc[i] for i in at], dtype=float).reshape(len(at), n)
+
+
 def spectral_features(sample_rate: float):
-    """Pandas UDF: samples of one window -> struct(centroid, bandwidth, rolloff at 85 %)."""
+    """Pandas UDF: samples of one window -> struct(centroid, bandwidth, rolloff at 85 %); windows of one length at a time."""
+    ship(SparkSession.getActiveSession())
 
     @F.pandas_udf("centroid double, bandwidth double, rolloff double")
     def features(windows: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(windows), 3))
-        for i, w in enumerate(windows):
-            x = np.asarray(w, dtype=float)
-            half = len(x) // 2
+        for at, x in _equal_lengths(windows):
+            half = x.shape[1] // 2
             if half == 0:
                 continue
-            m = np.abs(np.fft.fft(x))[:half]
-            f = np.fft.fftfreq(len(x), 1.0 / sample_rate)[:half]
-            total = m.sum()
-            if total <= 0:
-                continue
-            c = (m * f).sum() / total
-            out[i] = (c, np.sqrt((((f - c) ** 2) * m).sum() / total), f[np.searchsorted(np.cumsum(m), 0.85 * total)])
+            m = np.abs(np.fft.rfft(x, axis=1))[:, :half]
+            f = np.arange(half) * (sample_rate / x.shape[1])
+            total = m.sum(axis=1)
+            loud = total > 0
+            m, total = m[loud], total[loud]
+            c = (m * f).sum(axis=1) / total
+            spread = np.sqrt((m * (f - c[:, None]) ** 2).sum(axis=1) / total)
+            below = (np.cumsum(m, axis=1) < 0.85 * total[:, None]).sum(axis=1)
+            out[at[loud]] = np.column_stack([c, spread, f[np.minimum(below, half - 1)]])
         return pd.DataFrame(out, columns=["centroid", "bandwidth", "rolloff"])
 
     return features
@@ -150,17 +161,17 @@ def spectral_features(sample_rate: float):
 def f0_autocorr(sample_rate: float, low: float = 50.0, high: float = 400.0):
     """Pandas UDF: fundamental frequency from the best autocorrelation lag; 0 for short windows."""
     first, stop = int(sample_rate / high), int(sample_rate / low)
+    ship(SparkSession.getActiveSession())
 
     @F.pandas_udf("double")
     def f0(windows: pd.Series) -> pd.Series:
-        def one(w) -> float:
-            x = np.asarray(w, dtype=float)
-            if stop >= len(x):
-                return 0.0
-            spectrum = np.fft.rfft(x, 2 * len(x))
-            corr = np.fft.irfft(spectrum * np.conj(spectrum))[first:stop]
-            return sample_rate / (int(np.argmax(corr)) + first)
-        return windows.map(one)
+        out = np.zeros(len(windows))
+        for at, x in _equal_lengths(windows):
+            if stop < x.shape[1]:
+                spectrum = np.fft.rfft(x, 2 * x.shape[1], axis=1)
+                corr = np.fft.irfft(spectrum * np.conj(spectrum), axis=1)[:, first:stop]
+                out[at] = sample_rate / (corr.argmax(axis=1) + first)
+        return pd.Series(out)
 
     return f0
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mediatimeline.functions.render import cosine
 from mediatimeline.operators.joins import nearest
 from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands
-from mediatimeline.session import ensure_checkpoint_dir, settle
+from mediatimeline.session import ensure_checkpoint_dir, settle, ship
 
 # Words that may open a new sentence after an unfinished one (fixed values).
 OPENERS = ("And", "But", "So", "Now", "Then", "However")
@@ -276,5 +276,6 @@ def structural_segments(frames: DataFrame, durations: DataFrame, k: int = 5, bin
         return pd.DataFrame({key: pdf[key].iloc[0], "segment": range(len(edges) - 1), "start": edges[:-1],
                              "end": edges[1:], "total_segments": len(edges) - 1})
 
+    ship(slots.sparkSession)
     return slots.groupBy(key).applyInPandas(
         sections, f"{key} {kind}, segment bigint, start double, end double, total_segments bigint")

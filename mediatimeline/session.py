@@ -72,8 +72,10 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession | None) -> None:
     """Send this package to the executors, once per session, so that Python functions run wherever it is not installed."""
+    if spark is None:
+        return
     context = spark.sparkContext
     root = os.path.dirname(os.path.abspath(__file__))
     name = f"{os.path.basename(root)}.zip"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from mediatimeline.session import ship
 from mediatimeline.sources.io import RESULTS
 
 
@@ -69,6 +70,7 @@ def _wait(state: GroupState, waiting: pd.DataFrame) -> None:
 
 
 def _stateful(rows: DataFrame, ts: str, late: str, key: str, label: Column, fn, output: str, state: str) -> DataFrame:
+    ship(rows.sparkSession)
     kind = rows.schema[key].dataType.simpleString()
     slim = rows.withWatermark(ts, late).select(
         key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"), F.col("ordinal").cast("bigint").alias("ordinal"), label.cast("string").alias("label"))
