@@ -20,7 +20,8 @@ WORDS = 5
 PERCENT = 75
 FIRST_TOP = 256  # sets up to this size use one partition per shingle; above it sizes double from band to band
 PER_PART = 1.9  # shingles of the largest set of a band per partition
-FREQUENT = 100_000  # frequencies above it count as equal when signatures are ordered by rarity
+STAR_ROUNDS = 3  # rounds in which every set is compared with one other set
+BLOCK = 2_048  # sets of a family that are counted against as many others in one task
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -73,9 +74,8 @@ class Bands:
     partitions. So if the smaller set has more than k partitions that aren't empty, one of them is the same in both.
 
     Bands of sizes, by the larger set, have partition counts of their own; a set has signatures in its own band and, as
-    the smaller one, in the band of its largest partner. In a band a set uses the first `used` partitions, enough for the
-    bound plus a margin of several deviations of the number of empty ones; `used` rises with the size, so the larger set
-    of a pair has whatever the smaller one has. The bound is checked for every set, see `signatures`.
+    the smaller one, in the band of its largest partner. There are enough partitions for the bound and a margin of several
+    deviations of the number of empty ones; that the bound holds is checked for every set, see `members`.
     """
 
     def __init__(self, percent: int = PERCENT):
@@ -100,11 +100,6 @@ class Bands:
     def parts(self, band: int) -> int:
         return math.ceil((FIRST_TOP << band) / PER_PART)
 
-    def used(self, size: int, band: int) -> int:
-        """Partitions that a set of `size` uses in a band over 0."""
-        most, parts = self.most_different(size) + 1, self.parts(band)
-        return min(parts, math.ceil((most + 4 * math.sqrt(most)) / -math.expm1(-size / parts)))
-
 
 def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int, np.ndarray]]:
     """(band, signatures) of a set; the last five bits of a signature are the band."""
@@ -113,15 +108,11 @@ def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int,
     for band in bands.bands(size) if size else []:
         mixed = mixed_bits(shingles + np.uint64((2 * salt + 1) * int(_ODD[6]) % 2**64))
         if band:
-            parts, used = bands.parts(band), bands.used(size, band)
-            part = (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-            inside = part < used
-            part, mixed = part[inside], mixed_bits(mixed[inside] ^ _ODD[4])
+            part = (mixed >> np.uint64(32)) * np.uint64(bands.parts(band)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
-            part, mixed = part[order], mixed[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(mixed, starts) if len(starts) else np.zeros(0, np.uint64)
-            mixed = mixed_bits(sums + (part[starts] + np.uint64(1)) * _ODD[3])
+            part, mixed = part[order], mixed_bits(mixed[order] ^ _ODD[4])
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            mixed = mixed_bits(np.add.reduceat(mixed, starts) + (part[starts] + np.uint64(1)) * _ODD[3])
         found.append((band, (mixed & ~np.uint64(31)) | np.uint64(band)))
     return found
 
@@ -137,7 +128,7 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
             rows = []
             for shingles in shingle_sets(batch.column(1).to_pylist(), words):
                 counts = [len(s) for _, s in signatures(shingles, bands, salt)]
-                sure = all(n > bands.most_different(len(shingles)) for n in counts)
+                sure = min(counts, default=0) > bands.most_different(len(shingles))
                 rows.append((set_key(shingles) if len(shingles) else None, len(shingles), *(counts + [0, 0])[:2], sure))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
@@ -167,70 +158,52 @@ def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int) -> Data
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def shared_signatures(rows: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(sig, set, freq) of the signatures that several sets have, freq at most `frequent`.
-
-    Rows arrive sorted by signature, and a task keeps one signature's sets at a time, `frequent` of them at most: beyond
-    that number the frequency is known to be `frequent`, and rows pass through.
-    """
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set", T.LongType()), T.StructField("freq", T.IntegerType())])
-
-    def out(sig: np.ndarray, key: np.ndarray, freq: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key), pa.array(freq.astype(np.int32))], names=schema.names)
+def shared_signatures(rows: DataFrame) -> DataFrame:
+    """(sig, set) of the signatures that several sets have. Rows arrive sorted, and a task holds back one row at a time."""
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig, held_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        passing = last = None  # signature over the limit, and its set seen last
+        sig, key, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back, and if its signature came before
         for batch in batches:
-            sig, key = (batch.column(i).to_numpy() for i in (0, 1))
-            if passing is not None:
-                n = int(np.searchsorted(sig, passing, side="right"))
-                new = key[:n][np.r_[key[:1] != last, key[1:n] != key[:n - 1]][:n]] if n else key[:0]
-                if len(new):
-                    last = new[-1]
-                    yield out(np.full(len(new), passing), new, np.full(len(new), frequent))
-                if n == len(sig):
-                    continue
-                sig, key, passing = sig[n:], key[n:], None
-            sig, key = np.concatenate([held_sig, sig]), np.concatenate([held_key, key])
-            if not len(sig):
-                continue
-            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
+            sig, key = (np.concatenate([held, batch.column(i).to_numpy()]) for i, held in enumerate((sig, key)))
+            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])][:len(sig)]
             sig, key = sig[fresh], key[fresh]
-            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            freq = np.diff(np.r_[starts, len(sig)])
-            done, tail = freq[:-1], starts[-1]
-            keep = np.repeat(done > 1, done)
-            if keep.any():
-                yield out(sig[:tail][keep], key[:tail][keep], np.minimum(np.repeat(done, done), frequent)[keep])
-            held_sig, held_key = sig[tail:], key[tail:]
-            if len(held_sig) > frequent:
-                yield out(held_sig, held_key, np.full(len(held_sig), frequent))
-                passing, last = held_sig[0], held_key[-1]
-                held_sig, held_key = held_sig[:0], held_key[:0]
-        if len(held_sig) > 1:
-            yield out(held_sig, held_key, np.full(len(held_sig), min(len(held_sig), frequent)))
+            if len(sig):
+                same = sig[1:] == sig[:-1]
+                shared = np.r_[open_, same] | np.r_[same, False]
+                if shared[:-1].any():
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][shared[:-1]]), pa.array(key[:-1][shared[:-1]])], names=schema.names)
+                open_ = bool(same[-1]) if len(same) else open_
+                sig, key = sig[-1:], key[-1:]
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], names=schema.names)
 
     return rows.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(run, schema)
 
 
-def with_roles(shared: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(sig, set, size, asks): asks if the set must look for partners under this signature.
+def most_different(size: Column, percent: int) -> Column:
+    return F.floor((100 - percent) * (size + F.floor(100 * size / percent)) / (100 + percent))
+
 
-    A set that differs from its partner in k signatures at most finds it under any k + 1 of its signatures, so it asks
-    under its k + 1 rarest. Signatures that no other set has come first and ask nobody: a text that is mostly its own never
-    asks, whatever passages it shares with others.
+def with_sizes(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Signature entries (sig, set, band, size, held): `held` is how many signatures the set has in the band."""
+    rows = shared.join(sets, "set").withColumn("band", F.col("sig").bitwiseAND(31))
+    own = F.when(F.col("size") <= FIRST_TOP, 0).otherwise(F.length(F.bin(F.col("size").cast("long") - 1)) - FIRST_TOP.bit_length() + 1)
+    return rows.select("sig", "set", "band", "size", F.when(F.col("band") == own, F.col("own")).otherwise(F.col("next")).alias("held"))
+
+
+def live(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries of the sets that can have a partner.
+
+    Two similar sets differ in at most `most_different` signatures of their band, so a set with more that nobody else has is
+    out: a text that is mostly its own, whatever passages it shares with others. Its leaving may leave others alone.
     """
-    partner = F.floor(100 * F.col("size") / bands.percent)
-    most = F.floor((100 - bands.percent) * (F.col("size") + partner) / (100 + bands.percent))
-    band = F.col("sig").bitwiseAND(31)
-    own_band = F.when(F.col("size") <= FIRST_TOP, 0).otherwise(
-        F.length(F.bin(F.col("size").cast("long") - 1)) - FIRST_TOP.bit_length() + 1)
-    rows = shared.join(sets, "set").withColumn("band", band)
-    here = Window.partitionBy("set", "band")
-    alone = F.when(F.col("band") == own_band, F.col("own")).otherwise(F.col("next")) - F.count("*").over(here)
-    place = F.row_number().over(here.orderBy("freq", "sig"))
-    return rows.select("sig", "set", "size", (place <= most + 1 - alone).alias("asks"))
+    shared = F.count("*").over(Window.partitionBy("set", "band"))
+    return entries.withColumn("shared", shared).where(F.col("held") - F.col("shared") <= most_different(F.col("size"), percent)).drop("shared")
+
+
+def still_shared(entries: DataFrame) -> DataFrame:
+    return entries.join(entries.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
 
 
 def chosen_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -334,7 +307,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         raise RuntimeError("no salt deals the shingles evenly enough")
     sets = found.where("size > 0").groupBy("set").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "own", "next")])
     shared = shared_signatures(signature_rows(rows, bands, words, salt))
-    entries = settle(with_roles(shared, sets.drop("id"), bands))
+    entries = settle(live(with_sizes(shared, sets.drop("id")), percent))
+    entries = settle(live(still_shared(entries), percent))
     roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     return joined.select("id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
@@ -344,10 +318,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """`id_col`, n_shingles and component_id (the smallest id that a row reaches over links, itself included) of every row.
 
     Two rows link when 100 * intersection >= percent * union of their sets of word windows. Rows with equal sets are one set from
-    the start. Sets with a common signature are candidates. In a first step every set is compared with one set only, the
-    smallest of a signature that it shares most often, which joins a group of near copies like a star, without pairs inside
-    the group. Then only pairs of sets in different components are left; all of them that share a signature under which one
-    of both asks are compared in full. So no link between components is lost, and links inside one aren't all listed.
+    the start. Sets with a common signature are candidates, unless too many of their signatures are their own. In a few
+    rounds every set is compared with one set only, the most connected one with which it shares most signatures, which joins a
+    group of near copies like a star. Then only pairs of sets in different components are left. They are counted in blocks:
+    a task gets two blocks of a family and finds the pairs that share as many signatures as similar sets must; these are
+    compared in full. So no link between components is lost, and no list of all pairs in a group is ever written.
 
     A null text, or one without words, has an empty set, links with nothing, and has its own id as component. Rows with a null
     id take part; a component of such rows only has a null component_id. Repeated rows are equal sets. An empty table gives
@@ -375,25 +350,109 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def linked(rows: DataFrame, entries: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) over sets, from the signature entries (sig, set, size, asks)."""
-    centers = entries.groupBy("sig").agg(F.min(F.struct("set", "size", "asks")).alias("c"), F.max("asks").alias("any")).where("any")
-    centers = centers.select("sig", F.col("c")["set"].alias("b"), F.col("c")["size"].alias("b_size"), F.col("c")["asks"].alias("b_asks"))
-    near = entries.join(centers, "sig").where((F.col("set") != F.col("b")) & (F.col("asks") | F.col("b_asks")) &
-                                              size_fits(F.col("size"), F.col("b_size"), percent))
-    votes = near.groupBy("set", "b").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", F.bitwise_not("b").alias("not_b")))
-    first = settle(votes.groupBy(F.col("set").alias("a")).agg(best.alias("best")).select("a", F.bitwise_not(F.col("best")["not_b"]).alias("b")))
-    roots = components(compared(rows, first, sets, words, percent))
-    named = entries.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = named.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("asks").alias("any")).where("low <> high and any")
-    rest = settle(named.join(mixed.select("sig"), "sig"))
-    left = rest.where("asks").select("sig", F.col("set").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-    right = rest.select("sig", F.col("set").alias("b"), F.col("size").alias("b_size"), F.col("root").alias("b_root"))
-    pairs = left.join(right, "sig").where((F.col("a_root") != F.col("b_root")) & size_fits(F.col("a_size"), F.col("b_size"), percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = settle(pairs.join(tried, ["a", "b"], "left_anti"))
-    return components(compared(rows, second, sets, words, percent), roots)
+    """(node, root) over sets, from the live signature entries (sig, set, band, size, held, n)."""
+    weights = entries.groupBy("set").agg(F.sum("n").alias("weight"))
+    entries = settle(entries.drop("n").join(weights, "set"))
+    roots = tried = None
+    for _ in range(STAR_ROUNDS):
+        pairs = star_pairs(entries, roots, tried, percent)
+        if pairs.isEmpty():
+            break
+        tried = pairs if tried is None else tried.union(pairs)
+        roots = components(compared(rows, pairs, sets, words, percent), roots)
+    if roots is None:
+        return entries.select(F.col("set").alias("node"), F.col("set").alias("root")).limit(0)
+    rest = settle(live(between(with_roots(entries, roots)), percent))
+    rest = settle(live(between(rest), percent))
+    pairs = settle(block_pairs(rest, percent).distinct())
+    return components(compared(rows, pairs, sets, words, percent), roots)
+
+
+def with_roots(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return entries.withColumn("root", F.col("set"))
+    named = entries.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
+    return named.withColumn("root", F.coalesce("root", "set"))
+
+
+def between(entries: DataFrame) -> DataFrame:
+    """Entries of the signatures that sets of several components have."""
+    ends = entries.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return entries.join(ends.select("sig"), "sig")
+
+
+def star_pairs(entries: DataFrame, roots: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
+    """One pair (a, b) for every set a that shares a signature with a more connected set b of another component.
+
+    b is the most connected set of a signature; of several, the one under most signatures that wasn't tried.
+    """
+    named = with_roots(entries, roots)
+    center = F.max(F.struct("weight", "set", "size", "root")).alias("center")
+    met = named.join(named.groupBy("sig").agg(center), "sig")
+    met = met.where((F.col("root") != F.col("center")["root"]) & size_fits(F.col("size"), F.col("center")["size"], percent))
+    votes = met.groupBy(F.col("set").alias("a"), F.col("center")["set"].alias("b")).agg(F.count("*").alias("n"))
+    if tried is not None:
+        votes = votes.join(tried, ["a", "b"], "left_anti")
+    best = votes.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return settle(best)
+
+
+def block_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share enough signatures to be similar.
+
+    Sets that a chain of signatures connects are a family. A family's sets are dealt into blocks by hash; every two blocks
+    meet in one task, which counts common signatures by matrix products. Tasks hold about two blocks, however large a family.
+    """
+    low = entries.groupBy("sig").agg(F.min("set").alias("b"))
+    chain = components(entries.join(low, "sig").select(F.col("set").alias("a"), "b").where("a <> b").distinct())
+    sets = entries.groupBy("set", "band").agg(F.first("size").alias("size"), F.first("held").alias("held"), F.first("root").alias("root"),
+                                              F.collect_list("sig").alias("sigs"))  # at most one signature per shingle of the set
+    sets = sets.join(chain.select(F.col("node").alias("set"), F.col("root").alias("family")), "set")
+    counts = sets.groupBy("family", "band").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = sets.join(counts, ["family", "band"]).withColumn("mine", F.pmod(F.xxhash64("set"), "blocks"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("first", F.least("mine", "other")).withColumn("second", F.greatest("mine", "other"))
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("set")
+        one = part[part["mine"] == part["first"].iloc[0]]
+        two = part[part["mine"] == part["second"].iloc[0]]
+        common = common_counts(list(one["sigs"]), list(two["sigs"]))
+        a, b = one["size"].to_numpy()[:, None], two["size"].to_numpy()[None, :]
+        need = np.maximum(one["held"].to_numpy()[:, None], two["held"].to_numpy()[None, :]) - (100 - percent) * (a + b) // (100 + percent)
+        fits = (common >= np.maximum(need, 1)) & (one["root"].to_numpy()[:, None] != two["root"].to_numpy()[None, :])
+        fits &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        x, y = np.nonzero(fits)
+        x, y = one["set"].to_numpy()[x], two["set"].to_numpy()[y]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.groupBy("family", "band", "first", "second").applyInPandas(count, "a long, b long")
+
+
+def common_counts(one: list, two: list, width: int = 4096) -> np.ndarray:
+    """Matrix of common elements of each of the sets `one` with each of the sets `two`, `width` elements at a time."""
+    counts = np.zeros((len(one), len(two)), np.float32)
+    if not one or not two:
+        return counts
+    flat = [np.concatenate([np.asarray(s, np.int64) for s in sets]) for sets in (one, two)]
+    known = np.intersect1d(*flat)
+    places = []
+    for sets, values in zip((one, two), flat):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.searchsorted(known, values)
+        inside = column < len(known)
+        inside[inside] = known[column[inside]] == values[inside]
+        order = np.argsort(column[inside], kind="stable")
+        places.append((row[inside][order], column[inside][order]))
+    for start in range(0, len(known), width):
+        dense = []
+        for sets, (row, column) in zip((one, two), places):
+            low, high = np.searchsorted(column, (start, start + width))
+            block = np.zeros((len(sets), width), np.float32)
+            block[row[low:high], column[low:high] - start] = 1
+            dense.append(block)
+        counts += dense[0] @ dense[1].T
+    return counts
 
 
 def compared(rows: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
