@@ -2,11 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as entry_module
+from mediatimeline.plans.catalog import QUERIES as Q
 from tests.conftest import SMALL, plan_of
 
-Q = entry_module.queries()
-
 # The only queries that may start Python workers.
 PYTHON = {"spectral_features", "f0_autocorr", "structural_segments", "apply_model"}
 EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar"}

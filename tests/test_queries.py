@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from mediatimeline.plans.catalog import ORACLES as SQL
+from mediatimeline.plans.catalog import QUERIES
 from check import TABLES, compare
 from tests.conftest import SMALL
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
-
 # Queries whose plan changes when a media is too large for one task.
 ORDERED = (
     "numeric_change adaptive_change gated_label_change label_change_after_filter run_spans strong_peaks circuit_breaker "
@@ -43,6 +43,10 @@ def test_query_with_hot_media(tight, con, name):
     run(tight, con, name)
 
 
+def test_everything_is_registered():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns == ["media_id", "part", "document"] and df.count() > 0
