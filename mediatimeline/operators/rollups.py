@@ -221,6 +221,28 @@ def threshold_alerts(metrics: DataFrame, rules=ALERTS, metric: str = "metric", v
     return joined.withColumn("level", level).filter(F.col("level").isNotNull()).drop("rule", "warning", "critical", "side")
 
 
+def consecutive_failures(rows: DataFrame, failed: Column, limit: int = 3, minutes: float = 60.0, keys=("media_id",),
+                         by=("t", "ordinal"), cuts: Cuts = NO_CUTS) -> DataFrame:
+    """Rows at which `limit` rows in a row have failed within `minutes`, with the time of the first of them (`since`)."""
+    track = Track(rows.withColumn("_bad", F.coalesce(failed, F.lit(False))), keys, by, cuts)
+    here = F.struct(F.col(by[0]).alias("t"), F.col("_bad").alias("bad"))
+    for back in range(1, limit):
+        track = track.previous(**{f"_b{back}": here if back == 1 else F.col(f"_b{back - 1}")})
+    first = F.col(f"_b{limit - 1}")["t"] if limit > 1 else F.col(by[0])
+    all_bad = F.col("_bad")
+    for back in range(1, limit):
+        all_bad = all_bad & F.coalesce(F.col(f"_b{back}")["bad"], F.lit(False))
+    found = track.df.withColumn("since", first).where(all_bad & (F.col(by[0]) - F.col("since") <= minutes * 60))
+    return found.drop("_bad", *[f"_b{back}" for back in range(1, limit)])
+
+
+def error_rate_alerts(rows: DataFrame, failed: Column, hours: float = 24.0, t: str = "t") -> DataFrame:
+    """Windows of `hours` whose percentage of failed rows is at a warning or critical level."""
+    windows = rows.groupBy(F.floor(F.col(t) / (hours * 3600)).alias("window")).agg(
+        F.count(F.lit(1)).alias("rows"), (F.count_if(failed) * 100.0 / F.count(F.lit(1))).alias("value"))
+    return threshold_alerts(windows.withColumn("metric", F.lit("error_rate_percent")))
+
+
 def apply_updates(items: DataFrame, updates: DataFrame, fields: tuple[str, ...], keys=("batch_id", "item")) -> DataFrame:
     """Last value of each updated field wins; fields without an update stay.
 

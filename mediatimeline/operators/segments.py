@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -233,27 +233,45 @@ def mark_rapid(scenes: DataFrame, shortest: float = 1.0) -> DataFrame:
 
 def _ward_boundaries(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
     """Left edges after joining neighbouring groups of least added variance until k remain."""
-    means, sizes, lefts = [p for p in points], list(weights), list(range(len(points)))
-    while len(means) > k:
-        costs = [sizes[i] * sizes[i + 1] / (sizes[i] + sizes[i + 1]) * float(((means[i] - means[i + 1]) ** 2).sum())
-                 for i in range(len(means) - 1)]
-        i = int(np.argmin(costs))
-        total = sizes[i] + sizes[i + 1]
-        means[i] = (means[i] * sizes[i] + means[i + 1] * sizes[i + 1]) / total
-        sizes[i] = total
-        del means[i + 1], sizes[i + 1], lefts[i + 1]
-    return lefts
-
-
-def structural_segments(frames: DataFrame, durations: DataFrame, k: int = 5, bins: int = 256, vector: str = "embedding",
+    means, sizes = [np.asarray(p, dtype=float) for p in points], [float(w) for w in weights]
+    after, before = list(range(1, len(means) + 1)), list(range(-1, len(means) - 1))
+    alive, stamp = [True] * len(means), [0] * len(means)
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < len(means):
+            cost = sizes[i] * sizes[j] / (sizes[i] + sizes[j]) * float(((means[i] - means[j]) ** 2).sum())
+            heapq.heappush(queue, (cost, i, j, stamp[i], stamp[j]))
+
+    queue: list[tuple] = []
+    for i in range(len(means)):
+        offer(i)
+    for _ in range(len(means) - k):
+        while True:  # offers of sections that have changed since are out of date
+            _, i, j, old_i, old_j = heapq.heappop(queue)
+            if alive[i] and alive[j] and (stamp[i], stamp[j]) == (old_i, old_j):
+                break
+        total = sizes[i] + sizes[j]
+        means[i] = (means[i] * sizes[i] + means[j] * sizes[j]) / total
+        sizes[i], alive[j], after[i] = total, False, after[j]
+        stamp[i] += 1
+        if after[i] < len(means):
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [i for i in range(len(means)) if alive[i]]
+
+
+def structural_segments(frames: DataFrame, durations: DataFrame, k: int = 5, seconds: float = 1.0, vector: str = "embedding",
                         close_tail: bool = True, key: str = "media_id", cuts: Cuts = NO_CUTS) -> DataFrame:
     """Cut each media into k sections of similar frames.
 
-    Frames are first averaged into at most `bins` slots of equal time (map-side), so the clustering
-    of a media sees a bounded number of rows however long it is. Media with fewer than k slots get
-    equal parts. `close_tail` adds the last section, which ends with the media.
+    Frames are first averaged into slots of `seconds` (map-side), the same for media of every length; then neighbours are
+    merged at the lowest cost until k are left, in n log n steps for n slots of one media, which meet in one task. Media with
+    fewer than k slots get equal parts. `close_tail` adds the last section, which ends with the media.
     """
-    slot = F.least(F.lit(bins - 1), F.floor(F.col("t") / F.col("duration") * bins)).cast("int")
+    slot = F.floor(F.col("t") / seconds).cast("bigint")
     placed = attach(frames, durations.select(key, "duration"), key, cuts=cuts, how="inner").withColumn("_slot", slot)
     items = placed.select(key, "duration", "_slot", "t", F.posexplode(vector).alias("_d", "_v"))
     means = items.groupBy(key, "_slot", "_d").agg(

@@ -167,6 +167,21 @@ def threshold_alerts(c):
     return rollups.threshold_alerts(metrics)
 
 
+@query(with_sql("ev") + """, b AS (SELECT *, label IN ('error', 'click') AS bad FROM ev),
+l AS (SELECT *, lag(bad, 1) OVER w AS b1, lag(bad, 2) OVER w AS b2, lag(t, 2) OVER w AS since FROM b WINDOW w AS (PARTITION BY media_id ORDER BY t, ordinal))
+SELECT media_id, ordinal, t, since FROM l WHERE bad AND b1 AND b2 AND t - since <= 360000""")
+def consecutive_failures(c):
+    found = rollups.consecutive_failures(c.ev, F.col("label").isin("error", "click"), minutes=6000.0, cuts=c.ev_cuts)
+    return found.select("media_id", "ordinal", "t", "since")
+
+
+@query(with_sql("ev") + """, w AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS "window", count(*) AS "rows", count(*) FILTER (label = 'error') * 100.0::DOUBLE / count(*) AS value FROM ev GROUP BY 1)
+SELECT "window", "rows", round(value, 6) AS value, CASE WHEN value >= 25 THEN 'critical' ELSE 'warning' END AS level FROM w WHERE value >= 10""")
+def error_rate_alerts(c):
+    found = rollups.error_rate_alerts(c.ev, F.col("label") == "error")
+    return found.select("window", "rows", F.round("value", 6).alias("value"), "level")
+
+
 UPDATES_SQL = """, up AS (SELECT l_orderkey AS item, o_custkey AS batch_id, l_linenumber * CAST(1000000000 AS BIGINT) + l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_linenumber % 2 = 0 THEN 'stage_' || l_partkey END AS current_stage,
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS note FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 

@@ -147,6 +147,36 @@ def test_split_dissimilar(spark, frames):
     assert any(w[4] == "split" for w in want)
 
 
+def test_ward_merging_takes_the_cheapest_neighbours():
+    def plain(points, weights, k):
+        means, sizes, lefts = list(points), list(weights), list(range(len(points)))
+        while len(means) > k:
+            costs = [a * b / (a + b) * float(((x - y) ** 2).sum()) for a, b, x, y in zip(sizes, sizes[1:], means, means[1:])]
+            i = costs.index(min(costs))
+            total = sizes[i] + sizes[i + 1]
+            means[i:i + 2] = [(means[i] * sizes[i] + means[i + 1] * sizes[i + 1]) / total]
+            sizes[i:i + 2] = [total]
+            del lefts[i + 1]
+        return lefts
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, k = int(rng.integers(8, 40)), int(rng.integers(1, 8))
+        points, weights = rng.integers(0, 4, (n, 2)).astype(float), rng.integers(1, 4, n).astype(float)
+        assert seg._ward_boundaries(points, weights, k) == plain(points, weights, k)
+
+
+def test_structural_resolution_does_not_depend_on_length(spark):
+    rows = [(1, i, float(i), [float(i // 7 * 10), 1.0]) for i in range(35)]
+    longer = rows + [(1, i, float(i), [40.0, 1.0]) for i in range(35, 3000)]
+    sections = []
+    for r in (rows, longer):
+        df = spark.createDataFrame(r, "media_id int, ordinal bigint, t double, embedding array<double>")
+        dur = spark.createDataFrame([(1, float(len(r)))], "media_id int, duration double")
+        sections.append([x["start"] for x in seg.structural_segments(df, dur).orderBy("segment").collect()])
+    assert sections[0] == sections[1] == [0.0, 7.0, 14.0, 21.0, 28.0]
+
+
 def test_structural_blocks(spark):
     rows = [(1, i, float(i), [float(i // 20 * 10), 1.0]) for i in range(100)] + [(2, i, float(i), [1.0, 1.0]) for i in range(3)]
     df = spark.createDataFrame(rows, "media_id int, ordinal bigint, t double, embedding array<double>")
