@@ -21,6 +21,7 @@ PERCENT = 75
 FIRST_TOP = 256  # sets up to this size use one partition per shingle; above it sizes double from band to band
 PER_PART = 1.9  # shingles of the largest set of a band per partition
 STAR_ROUNDS = 3  # rounds in which every set is compared with one other set
+STAR_SHARE = 4  # one in so many signatures serves to choose these pairs; the search after them uses all
 BLOCK = 2_048  # sets of a family that are counted against as many others in one task
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
@@ -101,14 +102,31 @@ class Bands:
         return math.ceil((FIRST_TOP << band) / PER_PART)
 
 
+def salted(shingles: np.ndarray, salt: int) -> np.ndarray:
+    return mixed_bits(shingles + np.uint64((2 * salt + 1) * int(_ODD[6]) % 2**64))
+
+
+def parts_of(mixed: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
+def signature_counts(shingles: np.ndarray, bands: Bands, salt: int) -> list[int]:
+    """How many signatures a set has in each of its bands: its partitions that aren't empty."""
+    size = len(shingles)
+    mixed = salted(shingles, salt) if size else shingles
+    return [np.count_nonzero(np.bincount(parts_of(mixed, bands.parts(band)).astype(np.int64))) if band else size
+            for band in (bands.bands(size) if size else [])]
+
+
 def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int, np.ndarray]]:
     """(band, signatures) of a set; the last five bits of a signature are the band."""
     found = []
     size = len(shingles)
+    whole = salted(shingles, salt)
     for band in bands.bands(size) if size else []:
-        mixed = mixed_bits(shingles + np.uint64((2 * salt + 1) * int(_ODD[6]) % 2**64))
+        mixed = whole
         if band:
-            part = (mixed >> np.uint64(32)) * np.uint64(bands.parts(band)) >> np.uint64(32)
+            part = parts_of(mixed, bands.parts(band))
             order = np.argsort(part, kind="stable")
             part, mixed = part[order], mixed_bits(mixed[order] ^ _ODD[4])
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -127,7 +145,7 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
         for batch in by_bytes(batches):
             rows = []
             for shingles in shingle_sets(batch.column(1).to_pylist(), words):
-                counts = [len(s) for _, s in signatures(shingles, bands, salt)]
+                counts = [int(n) for n in signature_counts(shingles, bands, salt)]
                 sure = min(counts, default=0) > bands.most_different(len(shingles))
                 rows.append((set_key(shingles) if len(shingles) else None, len(shingles), *(counts + [0, 0])[:2], sure))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
@@ -202,8 +220,11 @@ def live(entries: DataFrame, percent: int) -> DataFrame:
     return entries.withColumn("shared", shared).where(F.col("held") - F.col("shared") <= most_different(F.col("size"), percent)).drop("shared")
 
 
-def still_shared(entries: DataFrame) -> DataFrame:
-    return entries.join(entries.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
+def weighted(entries: DataFrame) -> DataFrame:
+    """Entries of the signatures for the stars, with the set's `weight`: how many sets it meets, met again for every signature."""
+    some = entries.where(F.pmod(F.shiftrightunsigned("sig", 5), F.lit(STAR_SHARE)) == 0).select("sig", "set", "size")
+    counted = some.join(some.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
+    return counted.withColumn("weight", F.sum("n").over(Window.partitionBy("set"))).drop("n")
 
 
 def chosen_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -308,7 +329,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = found.where("size > 0").groupBy("set").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "own", "next")])
     shared = shared_signatures(signature_rows(rows, bands, words, salt))
     entries = settle(live(with_sizes(shared, sets.drop("id")), percent))
-    entries = settle(live(still_shared(entries), percent))
     roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     return joined.select("id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
@@ -341,27 +361,29 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = settle(classes(docs, id_col, text_col, words, percent))
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("first.*")
-    stay = settle(first.union(found.where("root is null").select("id", "text_hash").distinct()))
-    stay = stay.select(F.col("id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    stay = first.union(found.where("root is null").select("id", "text_hash").distinct())
+    stay = settle(stay.select(id_key(F.col("id")).alias("k"), "text_hash"))
     text = docs[text_col].cast("string")
-    rows = docs.select(whole_rows(docs), docs[id_col].alias("id"), F.xxhash64(text).alias("text_hash"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates(["id", "text_hash"]).select("row.*")
+    rows = docs.select(whole_rows(docs), id_key(docs[id_col]).alias("k"), F.xxhash64(text).alias("text_hash"))
+    # Both steps use one key without nulls, so the texts are shuffled once.
+    return rows.join(stay, ["k", "text_hash"], "left_semi").dropDuplicates(["k", "text_hash"]).select("row.*")
+
+
+def id_key(ident: Column) -> Column:
+    """A key that is never null and different for different ids."""
+    return F.coalesce(F.concat(F.lit("i"), ident.cast("string")), F.lit("n"))
 
 
 def linked(rows: DataFrame, entries: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) over sets, from the live signature entries (sig, set, band, size, held, n)."""
-    weights = entries.groupBy("set").agg(F.sum("n").alias("weight"))
-    entries = settle(entries.drop("n").join(weights, "set"))
+    """(node, root) over sets, from the live signature entries (sig, set, band, size, held)."""
+    some = settle(weighted(entries))
     roots = tried = None
     for _ in range(STAR_ROUNDS):
-        pairs = star_pairs(entries, roots, tried, percent)
+        pairs = star_pairs(some, roots, tried, percent)
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
         roots = components(compared(rows, pairs, sets, words, percent), roots)
-    if roots is None:
-        return entries.select(F.col("set").alias("node"), F.col("set").alias("root")).limit(0)
     rest = settle(live(between(with_roots(entries, roots)), percent))
     rest = settle(live(between(rest), percent))
     pairs = settle(block_pairs(rest, percent).distinct())
@@ -422,9 +444,15 @@ def block_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFra
         need = np.maximum(one["held"].to_numpy()[:, None], two["held"].to_numpy()[None, :]) - (100 - percent) * (a + b) // (100 + percent)
         fits = (common >= np.maximum(need, 1)) & (one["root"].to_numpy()[:, None] != two["root"].to_numpy()[None, :])
         fits &= 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        exact = part["band"].iloc[0] == 0  # there signatures are shingles, and the counts are the intersections
+        if exact:
+            fits &= 100 * common >= percent * (a + b - common)
         x, y = np.nonzero(fits)
-        x, y = one["set"].to_numpy()[x], two["set"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        found = pd.DataFrame({"a": one["set"].to_numpy()[x], "b": two["set"].to_numpy()[y]})
+        if exact:  # of links between the same two components one is enough
+            ends = np.sort(np.column_stack([one["root"].to_numpy()[x], two["root"].to_numpy()[y]]), axis=1)
+            found = found[~pd.DataFrame(ends).duplicated().to_numpy()]
+        return pd.DataFrame({"a": found.min(axis=1), "b": found.max(axis=1)}).astype("int64")
 
     return dealt.groupBy("family", "band", "first", "second").applyInPandas(count, "a long, b long")
 

@@ -3,12 +3,14 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import public_tokenizers
 import tiktoken
 import zstandard
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
+from check import compare
 from mediatimeline.llm import language_id, quality_rules
 from mediatimeline.session import settle
 from tests.conftest import SMALL
@@ -21,6 +23,13 @@ def test_registered():
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
 
 
+def test_fingerprints_against_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    out = compare(entry_module.queries()["op6_fingerprints"](spark, SMALL), con, entry_module.oracle_sql()["op6_fingerprints"])
+    assert out.startswith("ok") and "TYPES" not in out, out
+
+
 def test_stages(spark):
     """Every stage against a plain version of it, on what the stage before kept."""
     docs = settle(spark.read.parquet(f"{SMALL}/documents.parquet"))

@@ -185,8 +185,8 @@ def test_jaccard_at_the_threshold_and_chains(spark):
 
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 1200), st.floats(0, 1), st.integers(0, 2**32))
-def test_similar_sets_share_an_asked_signature(size, part, seed):
-    """The bound itself: whatever k + 1 signatures the smaller set asks under, the larger one has one of them."""
+def test_similar_sets_share_signatures(size, part, seed):
+    """The bound itself: a similar pair differs in at most k signatures of its band, and both have more than k."""
     bands, pick = jaccard_join.Bands(), np.random.default_rng(seed)
     larger = size + int(part * (bands.partner(size) - size))
     most = 25 * (size + larger) // 175
@@ -195,17 +195,39 @@ def test_similar_sets_share_an_asked_signature(size, part, seed):
     a, b = np.unique(pool[:size]), np.unique(np.r_[pool[gone:size], pool[size:larger + gone]])
     assert 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
     mine, theirs = dict(jaccard_join.signatures(a, bands, 0)), dict(jaccard_join.signatures(b, bands, 0))
-    common = mine[bands.band(len(b))]
-    assert len(common) > bands.most_different(len(a))
-    assert np.isin(common, theirs[bands.band(len(b))]).sum() >= len(common) - bands.most_different(len(a)) > 0
+    x, y = mine[bands.band(len(b))], theirs[bands.band(len(b))]
+    assert len(x) > bands.most_different(len(a)) and len(y) > bands.most_different(len(b))
+    differ = 25 * (len(a) + len(b)) // 175
+    assert len(np.intersect1d(x, y)) >= max(1, max(len(x), len(y)) - differ)
 
 
-def test_frequent_signatures_pass_through(spark):
+def test_shared_signatures(spark):
     rows = [(s, k) for s in range(30) for k in range(1 + 7 * (s % 5))] * 2
     df = spark.createDataFrame(rows, "sig long, set long")
-    for limit in (3, 8, 1000):
-        got = sorted(map(tuple, jaccard_join.shared_signatures(df, limit).collect()))
-        assert got == sorted({(s, k, min(limit, 1 + 7 * (s % 5))) for s, k in rows if s % 5})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in ("1", "2", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = sorted(map(tuple, jaccard_join.shared_signatures(df).collect()))
+        assert got == sorted({(s, k) for s, k in rows if s % 5})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_blocks_find_every_pair(spark):
+    """Sets in blocks of three: all pairs in different components with enough common signatures, none twice."""
+    pick = np.random.default_rng(3)
+    base = pick.integers(0, 2**40, 60) * 32
+    sets = [(k, [int(x) for x in pick.permutation(base)[:int(n)]] + [int(x) for x in pick.integers(2**41, 2**42, 60 - int(n)) * 32])
+            for k, n in enumerate(pick.integers(40, 60, 20))]
+    rows = [(sig, k, 0, 60, 60, k // 2, 1) for k, sigs in sets for sig in sigs]
+    df = spark.createDataFrame(rows, "sig long, set long, band long, size int, held int, root long, weight long")
+    got = [tuple(r) for r in jaccard_join.block_pairs(df, 75, 3).collect()]
+    want = {}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and a // 2 != b // 2 and len(set(x) & set(y)) >= 0.75 * len(set(x) | set(y)):
+                want.setdefault((a // 2, b // 2), set()).add((a, b))
+    ends = {tuple(sorted((a // 2, b // 2))) for a, b in got}
+    assert ends == set(want) and len(want) > 5 and set(got) <= set().union(*want.values())
 
 
 @settings(max_examples=12, deadline=None)
