@@ -17,28 +17,64 @@ from mediatimeline.session import ship
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-
-# Lowest and highest raw / compressed size by log2 of the bytes, straight lines between: prose compresses better the longer
-# it is. The upper limits lie a few hundredths above the most repetitive prose seen at each length, the lower ones
-# between prose and encoded data.
-BANDS = ((8, 1.05, 2.10), (9, 1.10, 2.10), (10, 1.20, 2.13), (11, 1.30, 2.22), (12, 1.40, 2.32), (13, 1.50, 2.43),
-         (14, 1.55, 2.51), (15, 1.60, 2.60), (16, 1.60, 2.70), (17, 1.60, 2.80))
-CHUNK_BYTES = 4096
+INF = float("inf")
+
+# Lowest and highest gain by log2 of the characters, straight lines between. Gain is the compressed size of the characters in
+# random order over that of the text: 1 for text without structure, whatever its alphabet. Random letters, hex and base64 lie
+# within 0.985 and 1.015; prose from 1,024 characters on lies above, and overlaps them below.
+BANDS = ((8, 0.90, INF), (9, 0.91, INF), (9.95, 0.97, INF), (10, 1.018, INF), (11, 1.04, INF), (12, 1.06, INF), (13, 1.09, INF), (14, 1.10, INF))
+LEAST_RATIO = ((8, 1.05), (9, 1.30))  # raw / compressed bytes by log2 of the bytes: base64 is told by it below 1,024 characters
+# Highest raw / compressed size by log2 of the bytes, a few hundredths above the most repetitive prose seen at each length.
+MOST_RATIO = ((8, 2.10), (9, 2.10), (10, 2.13), (11, 2.22), (12, 2.32), (13, 2.43), (14, 2.51), (15, 2.60), (16, 2.70), (17, 2.80))
+CHUNK_CHARS = 4096
 BAD_CHUNK_SHARE = 0.34
 
 FIELDS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
-          ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()),
+          ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("ratio", T.DoubleType()), ("gain", T.DoubleType()),
           ("n_chunks", T.LongType()), ("n_bad_chunks", T.LongType()), ("kept", T.BooleanType())]
-ARROW = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+ARROW = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+
+
+def _limit(size: int, knots, column: int) -> float:
+    return float(np.interp(log2(size), [k[0] for k in knots], [k[column] for k in knots]))
 
 
 def band(size: int, bands=BANDS) -> tuple[float, float]:
-    """Lowest and highest allowed ratio for a text of `size` bytes; below the first knot every ratio is allowed."""
-    x = log2(size) if size else 0.0
-    knots = [k for k, _, _ in bands]
-    if x < knots[0]:
-        return 0.0, float("inf")
-    return float(np.interp(x, knots, [low for _, low, _ in bands])), float(np.interp(x, knots, [high for _, _, high in bands]))
+    """Lowest and highest allowed gain for a text of `size` characters; below the first knot every gain is allowed."""
+    if size < 1 << bands[0][0]:
+        return 0.0, INF
+    return _limit(size, bands, 1), _limit(size, bands, 2)
+
+
+def narrow(text: str) -> np.ndarray:
+    """The text with one number per character, one byte wide where it has at most 256 different ones, so that no script
+    weighs more than another."""
+    try:
+        return np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, places, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = np.empty(len(kinds), np.uint32)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(kinds))
+    return rank[places].astype(np.uint8 if len(kinds) <= 256 else np.uint16 if len(kinds) <= 65_536 else np.uint32)
+
+
+def gain(text: str, compressor: zstandard.ZstdCompressor) -> float:
+    """Compressed size of the characters in random order, always the same one, over the compressed size of the text."""
+    if not text:
+        return 0.0
+    ordered = narrow(text)
+    mixed = ordered.copy()
+    np.random.default_rng(0).shuffle(mixed)
+    return len(compressor.compress(mixed.tobytes())) / len(compressor.compress(ordered.tobytes()))
+
+
+def outside(text: str, size: int, ratio: float, found: float, bands=BANDS) -> bool:
+    """True if a text of `size` bytes has a gain or a ratio beyond its limits."""
+    low, high = band(len(text), bands)
+    if not low <= found <= high:
+        return True
+    return size >= 1 << bands[0][0] and not _limit(size, LEAST_RATIO, 1) <= ratio <= _limit(size, MOST_RATIO, 1)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -55,7 +91,7 @@ def repeated_words(words: list[bytes]) -> int:
     return total
 
 
-def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK_BYTES,
+def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK_CHARS,
           bad_share: float = BAD_CHUNK_SHARE) -> tuple:
     """The columns of FIELDS for one text."""
     text = text or ""
@@ -67,28 +103,28 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, c
     lines = [line for line in raw.split(b"\n") if line and not line.isspace()]
     n_repeat = repeated_words(words)
     failed = n_words < 50 or 100 * n_repeat > 50 * n_words
-    ratio = len(raw) / len(compressor.compress(raw)) if raw else 0.0
-    low, high = band(len(raw), bands)
-    outside = not low <= ratio <= high
+    ratio, whole = 0.0, gain(text, compressor)
+    if raw:
+        ratio = len(raw) / len(compressor.compress(raw))
     n_chunks = n_bad = 0
-    if len(raw) > chunk:
-        view = memoryview(raw)
-        for start in range(0, len(raw), chunk):
-            piece = view[start:start + chunk]
-            low, high = band(len(piece), bands)
+    if len(text) > chunk:
+        for start in range(0, len(text), chunk):
+            piece = text[start:start + chunk]
+            own = piece.encode("utf-8")
             n_chunks += 1
-            n_bad += not low <= len(piece) / len(compressor.compress(piece)) <= high
-    kept = not (failed or outside or n_bad > bad_share * n_chunks)
-    return (n_words, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, ratio, n_chunks, n_bad, kept)
+            n_bad += outside(piece, len(own), len(own) / len(compressor.compress(own)), gain(piece, compressor), bands)
+    kept = not (failed or outside(text, len(raw), ratio, whole, bands) or n_bad > bad_share * n_chunks)
+    return (n_words, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, ratio, whole, n_chunks, n_bad, kept)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, chunk: int = CHUNK_BYTES,
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands=BANDS, chunk: int = CHUNK_CHARS,
                   bad_share: float = BAD_CHUNK_SHARE, level: int = 3, rows_too: bool = False) -> DataFrame:
     """`id_col`, with `rows_too` the whole row as a struct, word and line counts, compression ratios and a verdict for every row.
 
-    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, the
-    zstandard ratio of the whole text inside the band for its length, and at most `bad_share` of its chunks (texts over
-    one chunk only) outside the bands for theirs. Compression and counting are per row and read whole texts, so there is no
+    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, the gain
+    and the zstandard ratio of the whole text within the limits for its length, and at most `bad_share` of its chunks of
+    `chunk` characters (texts over one chunk only) outside the limits for theirs. Random letters, hex and base64 are caught from
+    1,024 characters on, base64 from 512. Compression and counting are per row and read whole texts, so there is no
     shuffle, and memory is bounded by one Arrow batch and the longest text.
 
     A null text counts as empty: no words, base_failed. Ids may be null or repeated; every row comes out once. An empty

@@ -1,5 +1,6 @@
 """Operators that judge each row by itself."""
 
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,30 @@ def test_bands_reject_both_ends():
     assert 1 < low < high and quality_rules.band(10) == (0.0, float("inf"))
 
 
+def topics() -> list[str]:
+    """English help texts of Python itself, white space collapsed."""
+    from pydoc_data.topics import topics as found
+    return [text for text in (" ".join(t.split()) for t in found.values()) if len(text.split()) >= 50]
+
+
+def test_incompressible_text_is_rejected():
+    zip_ = zstandard.ZstdCompressor(level=3)
+    pick = random.Random(11)
+    stocks = {"hex": "0123456789abcdef", "letters": "abcdefghijklmnopqrstuvwxyz",
+              "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    for name, stock in stocks.items():
+        for size in (600, 1024, 2048, 4096, 8192, 32_768, 200_000):
+            kept = 0
+            for _ in range(10):
+                words = ["".join(pick.choices(stock, k=11)) for _ in range(size // 12 + 1)]
+                kept += quality_rules.judge(" ".join(words)[:size], zip_)[-1]
+            if size >= 1024 or name == "base64":  # shorter hex and letters overlap prose
+                assert kept == 0, (name, size, kept)
+    passages = [text[at:at + size] for text in topics() for size in (600, 1024, 2048, 4096, 8192) for at in range(0, len(text) - size + 1, size)]
+    assert len(passages) > 500
+    assert all(quality_rules.gain(text, zip_) >= quality_rules.band(len(text))[0] for text in passages)
+
+
 def test_good_documents_keep_all_columns(spark):
     assert quality_rules.good_documents(data.odd(spark)).columns == data.SCHEMA.names
     docs = read(spark, SMALL, "documents")
