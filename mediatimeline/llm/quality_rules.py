@@ -19,13 +19,15 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 INF = float("inf")
 
-# Lowest and highest gain by log2 of the characters, straight lines between. Gain is the compressed size of the characters in
-# random order over that of the text: 1 for text without structure, whatever its alphabet. Random letters, hex and base64 lie
-# within 0.985 and 1.015; prose from 1,024 characters on lies above, and overlaps them below.
-BANDS = ((8, 0.90, INF), (9, 0.91, INF), (9.95, 0.97, INF), (10, 1.018, INF), (11, 1.04, INF), (12, 1.06, INF), (13, 1.09, INF), (14, 1.10, INF))
+# Lowest and highest gain by log2 of the characters, straight lines between and the last one carried on. Gain is the
+# compressed size of the characters in random order over that of the text: 1 for text without structure, whatever its
+# alphabet. Random letters, hex and base64 lie within 0.985 and 1.015; prose from 1,024 characters on lies above, and overlaps
+# them below. Help texts and licenses reach 1.9 at 512 characters and 2.1 at 32,768; text said again and again starts at 2.1 at
+# 256 characters and 3.0 at 1,024.
+BANDS = ((8, 0.90, 1.8), (9, 0.91, 2.1), (9.95, 0.97, 2.15), (10, 1.018, 2.15), (11, 1.04, 2.2), (12, 1.06, 2.3), (13, 1.09, 2.4),
+         (14, 1.10, 2.5), (15, 1.10, 2.7), (16, 1.10, 2.9), (17, 1.10, 3.1))
 LEAST_RATIO = ((8, 1.05), (9, 1.30))  # raw / compressed bytes by log2 of the bytes: base64 is told by it below 1,024 characters
-# Highest raw / compressed size by log2 of the bytes, a few hundredths above the most repetitive prose seen at each length.
-MOST_RATIO = ((8, 2.10), (9, 2.10), (10, 2.13), (11, 2.22), (12, 2.32), (13, 2.43), (14, 2.51), (15, 2.60), (16, 2.70), (17, 2.80))
+MOST_SYMBOLS = 0.3  # SYMBOLS per word; text and tables full of them compress like prose
 CHUNK_CHARS = 4096
 BAD_CHUNK_SHARE = 0.34
 
@@ -35,15 +37,18 @@ FIELDS = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols",
 ARROW = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
-def _limit(size: int, knots, column: int) -> float:
-    return float(np.interp(log2(size), [k[0] for k in knots], [k[column] for k in knots]))
+def _limit(x: float, knots, column: int) -> float:
+    return float(np.interp(x, [k[0] for k in knots], [k[column] for k in knots]))
 
 
 def band(size: int, bands=BANDS) -> tuple[float, float]:
     """Lowest and highest allowed gain for a text of `size` characters; below the first knot every gain is allowed."""
     if size < 1 << bands[0][0]:
         return 0.0, INF
-    return _limit(size, bands, 1), _limit(size, bands, 2)
+    x = log2(size)
+    (before, _, under), (last, _, top) = bands[-2:]
+    rising = (top - under) / (last - before) * max(0.0, x - last)
+    return _limit(x, bands, 1), _limit(x, bands, 2) + rising
 
 
 def narrow(text: str) -> np.ndarray:
@@ -70,11 +75,9 @@ def gain(text: str, compressor: zstandard.ZstdCompressor) -> float:
 
 
 def outside(text: str, size: int, ratio: float, found: float, bands=BANDS) -> bool:
-    """True if a text of `size` bytes has a gain or a ratio beyond its limits."""
+    """True if a text of `size` bytes has a gain beyond its limits, or a ratio below its own."""
     low, high = band(len(text), bands)
-    if not low <= found <= high:
-        return True
-    return size >= 1 << bands[0][0] and not _limit(size, LEAST_RATIO, 1) <= ratio <= _limit(size, MOST_RATIO, 1)
+    return not low <= found <= high or size >= 1 << LEAST_RATIO[0][0] and ratio < _limit(log2(size), LEAST_RATIO, 1)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -113,7 +116,7 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, c
             own = piece.encode("utf-8")
             n_chunks += 1
             n_bad += outside(piece, len(own), len(own) / len(compressor.compress(own)), gain(piece, compressor), bands)
-    kept = not (failed or outside(text, len(raw), ratio, whole, bands) or n_bad > bad_share * n_chunks)
+    kept = not (failed or n_symbols > MOST_SYMBOLS * n_words or outside(text, len(raw), ratio, whole, bands) or n_bad > bad_share * n_chunks)
     return (n_words, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, ratio, whole, n_chunks, n_bad, kept)
 
 
@@ -121,8 +124,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   bad_share: float = BAD_CHUNK_SHARE, level: int = 3, rows_too: bool = False) -> DataFrame:
     """`id_col`, with `rows_too` the whole row as a struct, word and line counts, compression ratios and a verdict for every row.
 
-    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, the gain
-    and the zstandard ratio of the whole text within the limits for its length, and at most `bad_share` of its chunks of
+    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, at most
+    MOST_SYMBOLS symbols per word, the gain and the zstandard ratio of the whole text within the limits for its length, and at most `bad_share` of its chunks of
     `chunk` characters (texts over one chunk only) outside the limits for theirs. Random letters, hex and base64 are caught from
     1,024 characters on, base64 from 512. Compression and counting are per row and read whole texts, so there is no
     shuffle, and memory is bounded by one Arrow batch and the longest text.

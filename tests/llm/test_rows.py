@@ -67,6 +67,23 @@ def test_incompressible_text_is_rejected():
     assert all(quality_rules.gain(text, zip_) >= quality_rules.band(len(text))[0] for text in passages)
 
 
+def test_real_prose_is_kept_in_every_script():
+    zip_ = zstandard.ZstdCompressor(level=3)
+    texts = [t for t in topics() if len(re.findall(r"[#*$%&|<>]", t)) <= 0.3 * len(t.split())]
+    assert len(texts) > 60
+    for first in (None, 0x430, 0x905):  # as it is, in Cyrillic and in Devanagari letters
+        for text in texts:
+            if first:
+                text = text.lower().translate({97 + i: chr(first + i) for i in range(26)})
+            words = quality_rules.judge(text, zip_)
+            assert words[-1] or words[5], (first, text[:60], words)  # kept, or failed by repeated words
+    assert quality_rules.band(1 << 21)[1] > quality_rules.band(1 << 19)[1] > quality_rules.band(1 << 17)[1]
+    for text in ("the same few words stand here " * 40, "другие слова стоят тут и там " * 40):
+        assert not quality_rules.judge(text, zip_)[-1] and quality_rules.gain(text, zip_) > quality_rules.band(len(text))[1]
+    marked = " ".join(w + "%%%" if i % 3 else w for i, w in enumerate(data.prose(3, 600).split()))
+    assert not quality_rules.judge(marked, zip_)[-1]
+
+
 def test_good_documents_keep_all_columns(spark):
     assert quality_rules.good_documents(data.odd(spark)).columns == data.SCHEMA.names
     docs = read(spark, SMALL, "documents")
