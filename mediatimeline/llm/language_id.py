@@ -22,6 +22,9 @@ SLICE = 1 << 20  # characters of a text that are turned into n-grams at a time
 ROWS = 256  # texts of one matrix product
 UNKNOWN = "und"
 LEAST_SCORE = 0.4  # under it no language claims a text
+LEAST_LIKENESS = 0.54  # under it a text is unlike its language: hex stays under 0.52, held-out prose of the test tables over 0.7
+COMMON = 0.01  # share of a language's texts that makes a bucket one of its own
+FREE = 2  # n-grams that a text is granted, so that one odd n-gram doesn't decide on a word or two
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -60,15 +63,54 @@ def kernel_rows(present: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order, landmarks as kernel rows, and one column of weights per language."""
+    """Languages in order, landmarks as kernel rows, one column of weights and one row of common buckets per language, and
+    the least likeness of a text to its language."""
 
     languages: tuple[str, ...]
     landmarks: np.ndarray
     weights: np.ndarray
+    common: np.ndarray
+    floor: float
 
     def scores(self, present: np.ndarray) -> np.ndarray:
         return kernel_rows(present) @ self.landmarks.T @ self.weights
 
+    def like(self, present: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """True for the rows that are like the language `best` of theirs."""
+        return likeness(present, self.common)[np.arange(len(best)), best] >= self.floor
+
+
+def likeness(present: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Share of each row's buckets that a language has too, one column per language, averaged over 2- and 3-grams.
+
+    The kernel alone doesn't tell this: weights have no bias, so a text that resembles nothing scores near one half.
+    """
+    found, offset = np.zeros((len(present), len(common)), np.float32), SIZES[0]
+    for size in SIZES[1:]:
+        block = present[:, offset:offset + size].astype(np.float32)
+        shared = block @ common[:, offset:offset + size].T.astype(np.float32)
+        found += (shared + FREE) / (block.sum(axis=1, keepdims=True) + FREE)
+        offset += size
+    return found / len(SIZES[1:])
+
+
+def common_buckets(present: np.ndarray, labels: np.ndarray, count: int) -> np.ndarray:
+    """Per language, the buckets that at least COMMON of its rows have."""
+    found = np.zeros((count, present.shape[1]), bool)
+    for k in range(count):
+        own = present[labels == k]
+        if len(own):
+            found[k] = own.sum(axis=0, dtype=np.int64) >= max(1.0, COMMON * len(own))
+    return found
+
+
+def least_likeness(present: np.ndarray, labels: np.ndarray, count: int) -> float:
+    """LEAST_LIKENESS, or less where labelled rows, judged by the others, would fall under it: a small sample knows few n-grams."""
+    half = np.arange(len(labels)) % 2
+    own = [likeness(present[half == h], common_buckets(present[half != h], labels[half != h], count))[np.arange((half == h).sum()), labels[half == h]]
+           for h in (0, 1)]
+    return min(LEAST_LIKENESS, float(np.quantile(np.concatenate(own), 0.01)))
+
 
 def solve(languages: list[str], present: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on labelled presence rows: landmarks in turn from every language, one-versus-rest targets of -1 and 1."""
@@ -85,7 +127,8 @@ def solve(languages: list[str], present: np.ndarray, landmarks: int = LANDMARKS,
     among = (marks @ marks.T).astype(np.float64)
     targets = np.where(labels[:, None] == np.arange(len(names)), 1.0, -1.0)
     left = across.T @ across + ridge * len(rows) * among + 1e-6 * np.eye(len(marks))
-    return Model(names, marks, np.linalg.solve(left, across.T @ targets).astype(np.float32))
+    weights = np.linalg.solve(left, across.T @ targets).astype(np.float32)
+    return Model(names, marks, weights, common_buckets(present, labels, len(names)), least_likeness(present, labels, len(names)))
 
 
 def held_out(docs: DataFrame, id_col: str, folds: int = 5) -> Column:
@@ -135,7 +178,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     """The columns `keep`, lang_pred and score of every row, from its text alone.
 
     The kernel values of a batch of texts with the landmarks are one matrix product, their weighting a second. score is the
-    winner's value, from -1 and 1 moved to 0 and 1. A text that is null or has no letter, or any text without a model, is
+    winner's value, from -1 and 1 moved to 0 and 1; it is 0 for a text that is unlike its language, such as one in a script that
+    was not learned, hex or random letters. A text that is null or has no letter, or any text without a model, is
     `und` with score 0.
     """
     spark = docs.sparkSession
@@ -162,6 +206,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                     values = own.scores(present[:len(texts)])
                     best = values.argmax(axis=1)
                     top = np.clip((values[np.arange(len(texts)), best].astype(np.float64) + 1) / 2, 0, 1)
+                    top[~own.like(present[:len(texts)], best)] = 0.0
                     names = [own.languages[k] if ok else UNKNOWN for k, ok in zip(best, known)]
                     scores = np.where(known, top, 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())],

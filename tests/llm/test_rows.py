@@ -222,6 +222,27 @@ def test_language(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 2, 3, 4)").count() == 0
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = read(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    pick = random.Random(3)
+    stocks = {"hex": "0123456789abcdef", "letters": "abcdefghijklmnopqrstuvwxyz", "consonants": "bcdfghjklmnpqrstvwxz",
+              "cjk": "".join(map(chr, range(0x4E00, 0x9000)))}
+    strange = {f"{name} {size}": " ".join("".join(pick.choices(stock, k=11)) for _ in range(size // 12))
+               for name, stock in stocks.items() for size in (300, 1000, 4000, 20_000)}
+    strange |= {"ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+                "zh": "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待。",
+                "el": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα."}
+    known = {"en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should "
+                   "act towards one another in a spirit of brotherhood."}
+    rows = spark.createDataFrame([(k, v) for k, v in (strange | known).items()], "doc_id string, text string")
+    both = docs.select(F.col("doc_id").cast("string"), "text", "lang").union(rows.withColumn("lang", F.lit(None).cast("string")))
+    kept = {r.doc_id for r in language_id.identified(both).select("doc_id").collect()}
+    assert not kept & set(strange), kept & set(strange)
+    assert set(known) <= kept
+    labelled = {r.doc_id: r.text for r in docs.select(F.col("doc_id").cast("string"), "text").collect()}
+    assert len(kept & set(labelled)) >= 0.97 * sum(map(language_id.has_letter, labelled.values()))
+
+
 def test_fit_and_holdout_do_not_meet(spark):
     docs = data.odd(spark)
     import zlib
