@@ -24,7 +24,7 @@ def _rules_by_keyword(rules) -> Column:
     groups: dict[str, list[Column]] = {}
     for priority, label, confidence, keyword, regex in rules:
         groups.setdefault(keyword, []).append(F.struct(
-            F.lit(f"(?:^| )({regex})(?= |$)").alias("regex"), F.lit(priority).alias("priority"), F.lit(label).alias("label"),
+            F.lit(f"(?:^| )({regex})(?= |\\z)").alias("regex"), F.lit(priority).alias("priority"), F.lit(label).alias("label"),
             F.lit(confidence).alias("confidence")))
     return F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*v))])
 
@@ -36,7 +36,7 @@ def detections(words: Column, rules) -> Column:
     number of keywords in a text and never with the square of anything.
     """
     table = _rules_by_keyword(rules)
-    any_keyword = "^(?:" + "|".join(dict.fromkeys(r[3] for r in rules)) + ")$"
+    any_keyword = "^(?:" + "|".join(dict.fromkeys(r[3] for r in rules)) + ")\\z"  # $ would also match before U+0085, U+2028 and U+2029
     anchors = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda a: a["word"].rlike(any_keyword))
 
     def at_anchor(a: Column) -> Column:

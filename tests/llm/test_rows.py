@@ -139,6 +139,15 @@ def test_license_scan(spark):
     assert license_scan.license_scan(data.empty(spark)).collect() == []
 
 
+def test_license_words_may_end_in_unicode_line_ends(spark):
+    texts = [f"the mit{end} x under the mit license{end} x under the mit license and the {end}apache license{end}" for end in ("\u0085", "\u2028", "\u2029", "\u2028\u2029")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = [(i, *reference_scan(text)) for i, text in enumerate(texts)]
+    assert all(w[2] for w in want)
+    assert data.pairs(license_scan.license_scan(docs).collect(), "doc_id", *columns) == want
+
+
 def test_rules_fit_their_windows():
     rules = license_rules.parse()
     assert len(rules) >= 200 and [r[0] for r in rules] == list(range(len(rules)))
