@@ -40,6 +40,8 @@ DROPPED_WORDS = frozenset(
     "widget widgets".split())
 HEADER_WORDS = frozenset(["header", "topbar"])
 PREFERRED = {"article": 1.5, "main": 1.3, "body": 0.8}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LONG_BLOCK = 40  # characters from which a block outside a heading looks like prose
 
 
 class Page:
@@ -180,20 +182,61 @@ class Page:
             inside.append(inside[parent] or path == below)
         return gone
 
-    def text(self, path: str | None) -> str:
-        """Blocks inside the elements of `path`, boilerplate left out; without such elements, of the page's own best path."""
-        paths = {p for _, _, p, _ in self.nodes}
-        if path not in paths:
-            scores = self.scores()
-            path = max(scores, key=lambda p: (scores[p], p)) if scores else None
+    def _blocks_in(self, path: str | None, forms: bool) -> list[int]:
+        """Numbers of the blocks inside the elements of `path`, boilerplate left out."""
         inside = [path is None]
         for parent, _, own, _ in self.nodes[1:]:
             inside.append(inside[parent] or own == path)
-        for forms in (True, False):
-            gone = self.dropped(forms, path)
-            lines = [text for node, text, _ in self.blocks if inside[node] and not gone[node]]
-            if lines:
-                return "\n".join(lines)
+        gone = self.dropped(forms, path)
+        return [k for k, (node, _, _) in enumerate(self.blocks) if inside[node] and not gone[node]]
+
+    def _adds_text(self, added: list[int], tag: str) -> bool:
+        """True if the blocks are mainly text: long ones with few links, headings too unless in the body, and inside an article or
+        main every block with few links. Other headings count neither way."""
+        good = bad = 0
+        for k in added:
+            node, text, links = self.blocks[k]
+            heading = self.nodes[node][1] in HEADINGS
+            if links <= 0.3 * len(text) and (len(text) >= LONG_BLOCK or tag in ("article", "main") or heading and tag != "body"):
+                good += len(text)
+            elif not heading or links > 0.3 * len(text):
+                bad += len(text)
+        return good > bad
+
+    def _widened(self, path: str, found: list[int], forms: bool) -> list[int]:
+        """The blocks of the widest container around `path` that adds mainly text: articles and mains first, then the others from
+        the inside out. One whose names would drop what was found is not taken."""
+        start = next(k for k, node in enumerate(self.nodes) if node[2] == path)
+        around = []
+        node = self.nodes[start][0]
+        while node > 0:
+            if self.nodes[node][1] in CONTAINERS:
+                around.append((self.nodes[node][1], self.nodes[node][2]))
+            node = self.nodes[node][0]
+        for first in (True, False):
+            for tag, wider in around:
+                if (tag in ("article", "main")) == first:
+                    more = self._blocks_in(wider, forms)
+                    if len(more) > len(found) and set(found) <= set(more) and self._adds_text(sorted(set(more) - set(found)), tag):
+                        found = more
+        return found
+
+    def text(self, path: str | None) -> str:
+        """Blocks inside the elements of `path` and what belongs to them around it, boilerplate left out; without such elements,
+        or if they hold nothing, of the page's own best path."""
+        paths = {p for _, _, p, _ in self.nodes}
+        tried = [path] if path in paths else []
+        for again in (False, True):
+            if again:
+                scores = self.scores()
+                tried = [max(scores, key=lambda p: (scores[p], p)) if scores else None]
+            for own in tried:
+                for forms in (True, False):
+                    found = self._blocks_in(own, forms)
+                    if found:
+                        if own:
+                            found = self._widened(own, found, forms)
+                        return "\n".join(self.blocks[k][1] for k in found)
         return ""
 
 
@@ -234,8 +277,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     First all pages of a host vote for the generalised path (tags and classes from the root, numbers as #) of the container
     that holds their text; then each page is read again and gives the blocks inside the elements with the winning path.
-    Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles inside it are left out. A page
-    without such an element uses its own best path.
+    Where the containers around it add mainly text, as the title and lead of an article beside its body, they are taken too.
+    Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles inside are left out. A page
+    without such an element, or with nothing in it, uses its own best path.
 
     A null or empty page has empty text. Pages without a host vote together. Ids may be null or repeated, every row comes
     out once. An empty table gives an empty result. Other columns are not read.

@@ -213,6 +213,23 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+def test_html_text_beside_the_winner_is_kept(spark):
+    body = "".join(f"<p>Paragraph {i} of the body has a good number of words, as most of them do.</p>" for i in range(12))
+    texts = {
+        "article": (f"<article><h1>A title</h1><div class='lead'>A short lead.</div><div class='entry-content'>{body}</div></article>",
+                    ["A title", "A short lead.", "Paragraph 0", "Paragraph 11"]),
+        "sections": (f"<div><div class='one'>{body}</div><div class='two'><p>Second part {'with many words, too, ' * 15}</p></div></div>",
+                     ["Paragraph 0", "Second part"]),
+        "empty shell": (f"<div class='shell'></div><div class='other'>{body}</div>", ["Paragraph 0", "Paragraph 11"])}
+    noise = "<nav>Menu</nav><div class='bar'><a href='/'>Home</a> <a href='/x'>Elsewhere</a></div>"
+    rows = [(k, f"http://{k.replace(' ', '')}.example/", f"<html><body>{noise}{page}<footer>End</footer></body></html>") for k, (page, _) in texts.items()]
+    rows += [("usual", "http://emptyshell.example/", f"<html><body>{noise}<div class='shell'>{body * 3}</div></body></html>")] * 3
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    for name, (_, parts) in texts.items():
+        assert all(part in found[name] for part in parts), (name, found[name])
+        assert not any(word in found[name] for word in ("Menu", "Home", "Elsewhere", "End")), (name, found[name])
+
+
 def test_language(spark):
     rows = [(i, data.prose(i, 60, data.EN if i % 2 else data.DE), "en" if i % 2 else "de", "a", 0, *[7] * (len(data.SCHEMA) - 5)) for i in range(1000, 1200)]
     docs = data.odd(spark).union(spark.createDataFrame(rows, data.SCHEMA))
