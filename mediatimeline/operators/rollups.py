@@ -237,7 +237,11 @@ def consecutive_failures(rows: DataFrame, failed: Column, limit: int = 3, minute
 
 
 def error_rate_alerts(rows: DataFrame, failed: Column, hours: float = 24.0, t: str = "t") -> DataFrame:
-    """Windows of `hours` whose percentage of failed rows is at a warning or critical level."""
+    """Windows of `hours` whose percentage of failed rows is at a warning or critical level.
+
+    By definition windows don't overlap and are aligned to time 0: window k holds the rows from k to k + 1 times `hours`. A
+    burst across such a boundary counts in part in either window, and can stay below the levels in both.
+    """
     windows = rows.groupBy(F.floor(F.col(t) / (hours * 3600)).alias("window")).agg(
         F.count(F.lit(1)).alias("rows"), (F.count_if(failed) * 100.0 / F.count(F.lit(1))).alias("value"))
     return threshold_alerts(windows.withColumn("metric", F.lit("error_rate_percent")))
