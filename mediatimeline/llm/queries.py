@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatimeline.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, token_counts
+from mediatimeline.llm import bpe, centroids, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, token_counts
 from mediatimeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7_html_extraction(spark, folder):
 @query()
 def op8_language_id(spark, folder):
     return language_id.language_id(read(spark, folder, "documents"))
+
+
+@query(centroids.sql())
+def op13_centroids(spark, folder):
+    return centroids.centroid_clusters(read(spark, folder, "embeddings")).drop("compared")
