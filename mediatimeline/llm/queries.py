@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatimeline.llm import bpe, centroids, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, sharding, token_counts
+from mediatimeline.llm import bpe, centroids, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, records, sharding, token_counts
 from mediatimeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op8_language_id(spark, folder):
 @query(centroids.sql())
 def op13_centroids(spark, folder):
     return centroids.centroid_clusters(read(spark, folder, "embeddings")).drop("compared")
+
+
+@query()
+def op12_records(spark, folder):
+    return records.records(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
