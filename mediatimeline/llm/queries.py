@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mediatimeline.llm import bpe, centroids, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, quality_rules, records, sharding, token_counts
+from mediatimeline.llm import bpe, centroids, fingerprints, html_extract, jaccard_join, language_id, license_scan, mixing, phrases, quality_rules, records, sharding, token_counts
 from mediatimeline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op13_centroids(spark, folder):
 @query()
 def op12_records(spark, folder):
     return records.records(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(phrases.sql())
+def op11_phrases(spark, folder):
+    return phrases.collocations(read(spark, folder, "documents"))

@@ -237,7 +237,9 @@ class RecordReader(DataSourceReader):
             found += [Part([(name, first, before), ("", first + f["records"], 0)], a, b, None) for a, b in zip(edges, edges[1:])]
         return found
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no records at all
+            return
         fs, root = store.at(self.path)
         rows: list[tuple] = []
         size = 0
