@@ -21,24 +21,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from mediatimeline.llm.common import BATCH_BYTES, by_bytes, ids_and_texts, vocabulary
+from mediatimeline.llm.common import by_bytes, ids_and_texts, vocabulary
 from mediatimeline.session import ensure_checkpoint_dir, ship
 from mediatimeline.sources import store
 
 MASK_DELTA = 0xA282EAD8
 NO_KEY = 0xFFFFFFFF
-CACHE_UNITS = 300_000
-LONG_UNIT = 200  # characters; longer units are rare and are not cached
+ENCODE_BYTES = 4 << 20
+CACHE_PIECES = 600_000
+LONG_PIECE = 200  # characters; longer pieces are rare and are not kept
 READ_BYTES = 64 << 20  # of records in one read task
 CHUNK_BYTES = 4 << 20  # read at once, and given on as one batch
 OPEN_FILES = 64
 
+WORD = r"^(?P<w>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<m>[!-&(-/:-@\[-`{-~]*)$"  # without the apostrophe, which opens contractions
+
 _loaded: dict[int, tuple] = {}
 
 
@@ -92,7 +96,7 @@ def _tokenizer(data: bytes, end_id: int) -> tuple:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         _loaded.clear()
-        _loaded[key] = (tokenizer, id_width(max(tokenizer.get_vocab_size(), end_id + 1)), {"": b""})
+        _loaded[key] = (tokenizer, id_width(max(tokenizer.get_vocab_size(), end_id + 1)), {})
     return _loaded[key]
 
 
@@ -100,36 +104,52 @@ def id_width(ids: int) -> int:
     return 2 if ids <= 1 << 16 else 4
 
 
-def encode_batch(tokenizer, cache: dict[str, bytes], texts: list[str | None], width: int, end: bytes) -> list[bytes]:
+def known_ids(tokenizer, cache: dict[str, bytes], pieces: list[str], kind: np.dtype) -> list[bytes]:
+    """Ids of each of distinct pieces as bytes; new ones are encoded in batches and remembered."""
+    if len(cache) > CACHE_PIECES:
+        cache.clear()
+    found = [cache.get(piece) for piece in pieces]
+    fresh = [i for i, ids in enumerate(found) if ids is None]
+    for start in range(0, len(fresh), 10_000):
+        some = fresh[start:start + 10_000]
+        for i, e in zip(some, tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+            found[i] = np.array(e.ids, kind).tobytes()
+            if len(pieces[i]) <= LONG_PIECE:
+                cache[pieces[i]] = found[i]
+    return found
+
+
+def encode_batch(tokenizer, cache: dict[str, bytes], texts: pa.Array, width: int, end: bytes) -> list[bytes]:
     """Ids of each text as bytes, with the end id.
 
-    The splitters of vocabularies with word ends drop white space and no match spans it, so the parts between are encoded on
-    their own: distinct ones in one batch, known ones from the cache.
+    The splitters of vocabularies with word ends drop white space, and no match spans it, so the units between are encoded
+    on their own. A unit of letters and ASCII marks after them is two matches of the splitter, and letters may be lowered
+    first. Each distinct piece is encoded once; the texts are put together by place.
     """
-    parts = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else [] for text in texts]
-    fresh: set[str] = set()
-    for units in parts:
-        fresh.update(units)
-    known = len(fresh)
-    fresh.difference_update(cache)
-    if len(cache) + len(fresh) > CACHE_UNITS and known:
-        here = {unit: cache[unit] for units in parts for unit in units if unit in cache}
-        cache.clear()
-        cache.update(here)
-        cache[""] = b""
-    wanted = list(fresh)
     kind = np.dtype(f"<u{width}")
-    for unit, e in zip(wanted, tokenizer.encode_batch_fast(wanted, add_special_tokens=False)):
-        cache[unit] = np.array(e.ids, kind).tobytes()
-    out = [b"".join([*map(cache.__getitem__, units), end]) for units in parts]
-    for unit in wanted:
-        if len(unit) > LONG_UNIT:
-            del cache[unit]
-    return out
+    plain = pc.fill_null(texts, "")
+    for space in ("\n", "\t", "\r"):
+        plain = pc.replace_substring(plain, space, " ")
+    lists = pc.split_pattern(plain, " ")
+    units = lists.flatten().dictionary_encode()
+    word = pc.extract_regex(units.dictionary, WORD)
+    first = pc.coalesce(pc.utf8_lower(pc.struct_field(word, "w")), units.dictionary)
+    pieces = pa.concat_arrays([first, pc.fill_null(pc.struct_field(word, "m"), "")]).dictionary_encode()
+    ids = known_ids(tokenizer, cache, pieces.dictionary.to_pylist(), kind)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+    at = np.cumsum(sizes) - sizes
+    unit = units.indices.to_numpy(zero_copy_only=False)
+    piece = pieces.indices.to_numpy(zero_copy_only=False).reshape(2, -1)[:, unit].T.ravel()
+    lengths = sizes[piece]
+    ends = np.cumsum(lengths)
+    tokens = np.frombuffer(b"".join(ids), kind)[np.repeat(at[piece] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    pieces_of = 2 * np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+    stops = (np.where(pieces_of > 0, ends[pieces_of - 1], 0) * width if len(ends) else pieces_of).tolist()
+    return [tokens[a:b] + end for a, b in zip([0, *stops[:-1]], stops)]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-           batch_bytes: int = BATCH_BYTES) -> DataFrame:
+           batch_bytes: int = ENCODE_BYTES) -> DataFrame:
     """key (the id as a string) and ids (binary: little-endian, 2 bytes an id if they suffice for the vocabulary, else 4) of
     every row, in ascending order of the ids, nulls first; rows alike in id follow a hash of their texts.
 
@@ -146,7 +166,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
         tokenizer, width, cache = _tokenizer(shared.value, end_id)
         end = end_id.to_bytes(width, "little")
         for batch in by_bytes(batches, batch_bytes):
-            found = encode_batch(tokenizer, cache, batch.column(1).to_pylist(), width, end)
+            found = encode_batch(tokenizer, cache, batch.column(1), width, end)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32())],
                                              names=["key", "ids", "width"])
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from mediatimeline.llm import records
 from tests.llm import data
 
 JSON = public_tokenizers.path("word_bpe_49k.json")
-TEXT = st.lists(st.sampled_from(list("abΣσé'sT.,1 \n\t\r\x0b　漢😀́") + ["<|endoftext|>", "  ", "'re", "\x00", "\x85", " "]), max_size=120).map("".join)
+TEXT = st.lists(st.sampled_from(list("abÀßªΣσé'sT.,1 \n\t\r\x0b　漢😀́") + ["<|endoftext|>", "  ", "'re", "Word,", "É.", "don't", "(a)", "\x00", "\x85", " "]), max_size=120).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -28,16 +29,16 @@ def tokenizer():
 @given(TEXT)
 def test_parts_are_encoded_alone(tokenizer, text):
     ids = tokenizer.encode(text, add_special_tokens=False).ids
-    assert records.encode_batch(tokenizer, {"": b""}, [text, None, ""], 2, b"\x01\x00") == [
+    assert records.encode_batch(tokenizer, {}, pa.array([text, None, ""], pa.string()), 2, b"\x01\x00") == [
         np.array([*ids, 1], "<u2").tobytes(), b"\x01\x00", b"\x01\x00"]
 
 
 def test_full_cache(tokenizer, monkeypatch):
-    monkeypatch.setattr(records, "CACHE_UNITS", 3)
-    cache = {"": b""}
+    monkeypatch.setattr(records, "CACHE_PIECES", 2)
+    cache = {}
     for text in ("a b c d", "d e f", "a a  b", "x" * 300 + " y"):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
-        assert records.encode_batch(tokenizer, cache, [text], 4, b"") == [np.array(ids, "<u4").tobytes()]
+        assert records.encode_batch(tokenizer, cache, pa.array([text]), 4, b"") == [np.array(ids, "<u4").tobytes()]
     assert "x" * 300 not in cache
 
 
