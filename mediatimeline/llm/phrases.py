@@ -26,9 +26,9 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words of a candidate
 TOP = 2_000  # phrases a language
 CONTAINED = (80, 100)  # a candidate goes if a longer one around it has this share of its occurrences
-BUDGET = 2_000_000  # suffixes in one group
+BUDGET = 3_000_000  # suffixes in one group
 BATCH_WORDS = 2_000_000  # suffixes that a task gathers before it deals them out
-COUNTED_WORDS = 400_000  # distinct words that a task counts before it hands them on
+COUNTED_WORDS = 800_000  # distinct words that a task counts before it hands them on
 KNOWN_WORDS = 600_000  # words whose numbers a task remembers
 FILTER_BITS = 26  # the set of frequent words is sent to tasks as 2^26 bits (8 MB), whatever their number
 SALTS = 32
@@ -47,12 +47,12 @@ def by_language(batch: pa.RecordBatch) -> dict[str, bytes]:
 
 
 def number(lang: str, word: bytes, seed: int) -> int:
-    """64 bits for a word of a language; 0 and 1 are taken. Two words with one number are found out in `word_counts`."""
+    """64 bits for a word of a language; 0 and 1 are taken. Two words with one number are found out in `vocabulary_of`."""
     return max(2, xxhash.xxh64_intdigest(lang.encode("utf-8") + b"\n" + word, seed))
 
 
 def word_counts(texts: DataFrame, seed: int) -> DataFrame:
-    """h (number), lang, word and f of all words. `alike` is true where two words share a number."""
+    """h (number), lang, word and f of all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -72,10 +72,8 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
                 counts.clear()
         yield rows()
 
-    one = F.struct("lang", "word")
     counted = texts.mapInArrow(count, "h long, lang string, word string, f long")
-    summed = counted.groupBy("h").agg(F.min(one).alias("w"), F.max(one).alias("other"), F.sum("f").alias("f"))
-    return summed.select("h", "w.lang", "w.word", "f", (F.col("w") != F.col("other")).alias("alike"))
+    return counted.groupBy("lang", "word").agg(F.any_value("h").alias("h"), F.sum("f").alias("f"))
 
 
 def vocabulary_of(texts: DataFrame) -> tuple[DataFrame, int]:
@@ -83,8 +81,8 @@ def vocabulary_of(texts: DataFrame) -> tuple[DataFrame, int]:
     for _ in range(8):
         seed = int.from_bytes(os.urandom(4), "little")
         words = settle(word_counts(texts, seed))
-        if not words.where("alike").limit(1).count():
-            return words.drop("alike"), seed
+        if not words.groupBy("h").count().where("count > 1").limit(1).count():
+            return words, seed
     raise RuntimeError("words share numbers under eight seeds")
 
 
@@ -228,15 +226,15 @@ def phrase_counts(texts: DataFrame, least: int = LEAST, longest: int = LONGEST,
     """(phrases, words): `key` (numbers of the words) and f of all phrases of two to `longest` words that occur `least` times
     or more; h, lang, word and f of all words. texts: lang and text.
 
-    Groups number total / `budget`. A word with over an eighth of the budget is heavy; there are fewer than eight a group, so
-    the list sent to tasks is bounded by the number of groups. What a task has gathered is added up before it is dealt.
+    Groups number total / `budget`. A word with over half of the budget is heavy; there are fewer than two a group, so the
+    list sent to tasks is bounded by the number of groups. What a task has gathered is added up before it is dealt.
     """
     spark = texts.sparkSession
     ship(spark)
     words, seed = vocabulary_of(texts)
     total = words.agg(F.sum("f")).first()[0] or 0
     groups = max(1, -(-total // budget))
-    heavy = [r.h % (1 << 64) for r in words.where(F.col("f") > budget // 8).select("h").collect()]
+    heavy = [r.h % (1 << 64) for r in words.where(F.col("f") > budget // 2).select("h").collect()]
     bits = spark.sparkContext.broadcast(frequent_bits(words, least))
     dealt = dealt_suffixes(texts, seed, bits, heavy, groups, longest)
 

@@ -83,7 +83,7 @@ def test_words_with_one_number(spark, monkeypatch):
     seeds: list[int] = []
     texts = spark.createDataFrame([("en", "a b c")], "lang string, text string")
     monkeypatch.setattr(phrases, "word_counts", lambda t, seed, f=phrases.word_counts: f(t, seed) if seeds else (seeds.append(seed), spark.createDataFrame(
-        [(5, "en", "a", 1, True)], "h long, lang string, word string, f long, alike boolean"))[1])
+        [(5, "en", "a", 1), (5, "en", "b", 1)], "h long, lang string, word string, f long"))[1])
     words, seed = phrases.vocabulary_of(texts)
     assert seed != seeds[0] and sorted(r.word for r in words.collect()) == ["a", "b", "c"]
 
