@@ -34,8 +34,8 @@ from mediatimeline.sources import store
 
 MASK_DELTA = 0xA282EAD8
 NO_KEY = 0xFFFFFFFF
-ENCODE_BYTES = 4 << 20
-CACHE_PIECES = 600_000
+ENCODE_BYTES = 2 << 20
+CACHE_PIECES = 400_000
 LONG_PIECE = 200  # characters; longer pieces are rare and are not kept
 READ_BYTES = 64 << 20  # of records in one read task
 CHUNK_BYTES = 4 << 20  # read at once, and given on as one batch
