@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mediatimeline.functions.rules import failure_status
 from mediatimeline.operators.change import circuit_breaker
@@ -210,15 +211,19 @@ ALERTS = (
 )
 
 
+def alert_level(metric: Column, value: Column, rules=ALERTS) -> Column:
+    """critical, warning or null, by the rule of the metric; the rules are constants of the expression, not a table to join."""
+    level = F.lit(None).cast("string")
+    for rule, warning, critical, side in rules:
+        sign = -1.0 if side == "below" else 1.0
+        own = F.when(value * sign >= critical * sign, "critical").when(value * sign >= warning * sign, "warning")
+        level = F.when(metric == rule, own).otherwise(level)
+    return level
+
+
 def threshold_alerts(metrics: DataFrame, rules=ALERTS, metric: str = "metric", value: str = "value") -> DataFrame:
     """Warning or critical rows of (metric, value)."""
-    table = metrics.sparkSession.createDataFrame(
-        list(rules), "rule string, warning double, critical double, side string")
-    joined = metrics.join(F.broadcast(table), F.col(metric) == F.col("rule"))
-    sign = F.when(F.col("side") == "below", -1.0).otherwise(1.0)
-    v = F.col(value) * sign
-    level = F.when(v >= F.col("critical") * sign, "critical").when(v >= F.col("warning") * sign, "warning")
-    return joined.withColumn("level", level).filter(F.col("level").isNotNull()).drop("rule", "warning", "critical", "side")
+    return metrics.withColumn("level", alert_level(F.col(metric), F.col(value), rules)).filter(F.col("level").isNotNull())
 
 
 def consecutive_failures(rows: DataFrame, failed: Column, limit: int = 3, minutes: float = 60.0, keys=("media_id",),
@@ -236,15 +241,26 @@ def consecutive_failures(rows: DataFrame, failed: Column, limit: int = 3, minute
     return found.drop("_bad", *[f"_b{back}" for back in range(1, limit)])
 
 
-def error_rate_alerts(rows: DataFrame, failed: Column, hours: float = 24.0, t: str = "t") -> DataFrame:
-    """Windows of `hours` whose percentage of failed rows is at a warning or critical level.
+def error_rate_alerts(rows: DataFrame, failed: Column, hours: int = 24, pane: float = 3600.0, t: str = "t", keys: tuple[str, ...] = (),
+                      rules=ALERTS) -> DataFrame:
+    """One alert for each rise of the failure percentage of the last `hours` to warning, or from warning to critical.
 
-    By definition windows don't overlap and are aligned to time 0: window k holds the rows from k to k + 1 times `hours`. A
-    burst across such a boundary counts in part in either window, and can stay below the levels in both.
+    Rows are counted in panes of one hour (`pane` seconds), and a range frame adds up the last `hours` panes at every pane
+    that has rows, so a burst counts whole wherever it lies. A pane is no rise if the window before it had the same level or
+    a higher one; after `hours` panes without rows nothing is left of the window before. Columns: keys, pane (its
+    number), rows, value (percentage), level. After the first count only panes are moved: one row per key and hour.
     """
-    windows = rows.groupBy(F.floor(F.col(t) / (hours * 3600)).alias("window")).agg(
-        F.count(F.lit(1)).alias("rows"), (F.count_if(failed) * 100.0 / F.count(F.lit(1))).alias("value"))
-    return threshold_alerts(windows.withColumn("metric", F.lit("error_rate_percent")))
+    panes = rows.groupBy(*keys, F.floor(F.col(t) / pane).cast("bigint").alias("pane")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(failed).alias("_bad"))
+    along = Window.partitionBy(*keys).orderBy("pane")
+    back = along.rangeBetween(-(hours - 1), 0)
+    value = F.col("_f") * 100.0 / F.col("rows")
+    seen = panes.withColumns({"rows": F.sum("_n").over(back), "_f": F.sum("_bad").over(back)}).withColumn("value", value)
+    rated = seen.withColumn("level", alert_level(F.lit("error_rate_percent"), F.col("value"), rules))
+    rank = F.when(F.col("level") == "critical", 2).when(F.col("level") == "warning", 1).otherwise(0)
+    ranked = rated.withColumn("_rank", rank)
+    before = F.when(F.col("pane") - F.lag("pane").over(along) < hours, F.lag("_rank").over(along)).otherwise(0)
+    return ranked.withColumn("_before", before).filter(F.col("_rank") > F.col("_before")).select(*keys, "pane", "rows", "value", "level")
 
 
 def apply_updates(items: DataFrame, updates: DataFrame, fields: tuple[str, ...], keys=("batch_id", "item")) -> DataFrame:

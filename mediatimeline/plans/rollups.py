@@ -175,11 +175,16 @@ def consecutive_failures(c):
     return found.select("media_id", "ordinal", "t", "since")
 
 
-@query(with_sql("ev") + """, w AS (SELECT CAST(floor(t / 86400) AS BIGINT) AS "window", count(*) AS "rows", count(*) FILTER (label = 'error') * 100.0::DOUBLE / count(*) AS value FROM ev GROUP BY 1)
-SELECT "window", "rows", round(value, 6) AS value, CASE WHEN value >= 25 THEN 'critical' ELSE 'warning' END AS level FROM w WHERE value >= 10""")
+@query(with_sql("ev") + """, p AS (SELECT media_id % 5 AS node, CAST(floor(t) AS BIGINT) AS pane, count(*) AS n, count(*) FILTER (label IN ('error', 'click')) AS bad FROM ev GROUP BY ALL),
+w AS (SELECT node, pane, CAST(sum(n) OVER b AS BIGINT) AS "rows", sum(bad) OVER b * 100.0::DOUBLE / sum(n) OVER b AS value FROM p WINDOW b AS (PARTITION BY node ORDER BY pane RANGE BETWEEN 23 PRECEDING AND CURRENT ROW)),
+l AS (SELECT *, CASE WHEN value >= 25 THEN 2 WHEN value >= 10 THEN 1 ELSE 0 END AS rank FROM w),
+x AS (SELECT *, CASE WHEN pane - lag(pane) OVER o < 24 THEN lag(rank) OVER o ELSE 0 END AS before FROM l WINDOW o AS (PARTITION BY node ORDER BY pane))
+SELECT node, pane, "rows", round(value, 6) AS value, CASE rank WHEN 2 THEN 'critical' ELSE 'warning' END AS level FROM x WHERE rank > before""")
 def error_rate_alerts(c):
-    found = rollups.error_rate_alerts(c.ev, F.col("label") == "error")
-    return found.select("window", "rows", F.round("value", 6).alias("value"), "level")
+    """Five nodes share the media; errors and clicks play failures."""
+    rows = c.ev.select((F.col("media_id") % 5).alias("node"), (F.col("t") * 3600).alias("t"), "label")
+    found = rollups.error_rate_alerts(rows, F.col("label").isin("error", "click"), keys=("node",))
+    return found.withColumn("value", F.round("value", 6))
 
 
 UPDATES_SQL = """, up AS (SELECT l_orderkey AS item, o_custkey AS batch_id, l_linenumber * CAST(1000000000 AS BIGINT) + l_partkey * 1000 + l_suppkey AS seq, CASE WHEN l_linenumber % 2 = 0 THEN 'stage_' || l_partkey END AS current_stage,
