@@ -76,8 +76,10 @@ def knowledge_document(events: DataFrame, media: DataFrame, part_rows: int = 10_
     """
     lines = events.withColumn("line", event_line()).filter(F.col("line").isNotNull())
     body = pack(lines, ("media_id",), ("t", "ordinal"), F.col("line"), "lines", cuts, part_rows)
+    # Events without a media row keep their document, under their own id.
     heads = media.select("media_id", "name", "transcript").join(
-        body.groupBy("media_id").agg(F.max("part").alias("_parts")), "media_id", "left")
+        body.groupBy("media_id").agg(F.max("part").alias("_parts")), "media_id", "full").withColumn(
+        "name", F.coalesce("name", F.col("media_id").cast("string")))
     said = F.when(F.coalesce("transcript", F.lit("")) != "",
                   F.concat(F.lit("## Full Transcript\n"), F.col("transcript"), F.lit("\n\n"))).otherwise("")
     head = F.concat(F.lit("# Summary for video: "), F.col("name"), F.lit(".mp4\n\n"), said,
@@ -96,7 +98,7 @@ def context_document(events: DataFrame, media: DataFrame, part_rows: int = 10_00
         F.col("line").isNotNull())
     body = pack(lines, ("media_id",), ("t", "ordinal"), F.col("line"), "lines", cuts, part_rows)
     head = F.concat(F.lit("Full Transcript: "), F.coalesce("transcript", F.lit("")), F.lit("\n"))
-    joined = media.select("media_id", "transcript").join(body, "media_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    joined = media.select("media_id", "transcript").join(body, "media_id", "full").withColumn("part", F.coalesce("part", F.lit(0)))
     text = F.array_join("lines", "\n")
     whole = F.when(F.col("part") > 0, text).when(F.col("lines").isNull(), head).otherwise(F.concat(head, F.lit("\n"), text))
     return joined.select("media_id", "part", whole.alias("context"))

@@ -137,9 +137,3 @@ def write_manifest(items: DataFrame, root: str, version: int) -> str:
     path = f"{root.rstrip('/')}/version={version}"
     items.write.mode("overwrite").parquet(path)
     return path
-
-
-def write_documents(documents: DataFrame, path: str, text: str = "document", mode: str = "errorifexists") -> None:
-    """One folder per media with the text of its parts, in order of their number."""
-    documents.select("media_id", "part", text).write.mode(mode).partitionBy("media_id", "part").option(
-        "lineSep", "\n").text(path)

@@ -32,22 +32,23 @@ def remove(fs: pafs.FileSystem, paths) -> None:
             fs.delete_file(path)
 
 
-def publish(path: str, content: dict, names: set[str]) -> None:
-    """Write the manifest, which alone makes files readable, and remove what lost attempts left behind."""
+def publish(path: str, content: dict, names: set[str], ours: str = "") -> None:
+    """Write the manifest, which alone makes files readable, and remove what lost attempts left behind: the other files
+    whose names match `ours` (all, by default)."""
     fs, root = at(path)
     fs.create_dir(root)
     staged = f"{root}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(staged) as out:
         out.write(json.dumps(content).encode("utf-8"))
     fs.move(staged, f"{root}/{MANIFEST}")
-    clear(path, names | {MANIFEST})
+    clear(path, names | {MANIFEST}, ours)
 
 
-def clear(path: str, keep: set[str] = frozenset()) -> None:
-    """Remove the files of a folder, but for those to keep."""
+def clear(path: str, keep: set[str] = frozenset(), ours: str = "") -> None:
+    """Remove the files of a folder whose names match `ours`, but for those to keep."""
     fs, root = at(path)
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    remove(fs, [f.path for f in found if f.base_name not in keep])
+    remove(fs, [f.path for f in found if f.base_name not in keep and re.search(ours, f.base_name)])
 
 
 def manifest(path: str) -> dict:
