@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mediatimeline.session import ship
 from mediatimeline.sources.io import RESULTS
@@ -49,83 +49,137 @@ def error_rate(rows: DataFrame, ts: str, failed: Column, size: str, late: str, k
     return windows(rows, ts, size, size, late, aggs, keys)
 
 
-BUFFER = "at array<bigint>, ordinal array<bigint>, label array<string>"
+SLICES = 16  # pieces of the allowed lateness in which waiting rows are kept
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _ready(state: GroupState, pdfs: Iterator[pd.DataFrame], buffered: tuple) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(rows the watermark has passed, in order; rows that must wait). Rows that arrive behind it are dropped."""
-    passed = state.getCurrentWatermarkMs() * 1000
-    frames = [pd.DataFrame(dict(zip(("at", "ordinal", "label"), map(list, buffered))))] if len(buffered[0]) else []
-    frames += [p.loc[p["at"] >= passed, ["at", "ordinal", "label"]] for p in pdfs]
-    rows = pd.concat(frames) if frames else pd.DataFrame({"at": [], "ordinal": [], "label": []})
-    rows = rows.sort_values(["at", "ordinal"], kind="stable")
-    behind = rows["at"] < passed
-    return rows[behind], rows[~behind]
+class InOrder(StatefulProcessor):
+    """Gives the rows of a key in event-time order once the watermark has passed them; `run` says what becomes of them.
+
+    Rows wait in a map state by slice of time. New rows rewrite the slices they fall into. A timer fires when the watermark
+    reaches the earliest waiting row; then the slices behind the watermark are taken out, and at most one is cut in two.
+    So a trigger writes new rows, rows that became ready and their slices, whatever else is waiting. A row behind the
+    watermark is dropped when it arrives.
+    """
+
+    carried: str  # schema of what goes from one run to the next
+    start: tuple
+
+    def __init__(self, key: str, slice_us: int):
+        self.key, self.slice_us = key, max(1000, slice_us)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.carried)
+        self.waiting = handle.getMapState("waiting", "slice bigint", "at array<bigint>, ordinal array<bigint>, label array<string>")
+
+    def run(self, carried: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = pd.concat([r.loc[r["at"] >= passed, ["at", "ordinal", "label"]] for r in rows])
+        for number, part in fresh.groupby(fresh["at"] // self.slice_us):
+            columns = [part[c].tolist() for c in ("at", "ordinal", "label")]
+            slot = (int(number),)
+            if self.waiting.containsKey(slot):
+                columns = [[*old, *new] for old, new in zip(self.waiting.getValue(slot), columns)]
+            self.waiting.updateValue(slot, tuple(columns))
+        if len(fresh):
+            self.handle.registerTimer(int(fresh["at"].min()) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        slices = sorted(k[0] for k in self.waiting.keys())
+        ready = []
+        for number in slices:
+            if number * self.slice_us >= passed:
+                self.handle.registerTimer(number * self.slice_us // 1000 + 1)
+                break
+            rows = pd.DataFrame(dict(zip(("at", "ordinal", "label"), map(list, self.waiting.getValue((number,))))))
+            behind = rows["at"] < passed
+            ready.append(rows[behind])
+            rest = rows[~behind]
+            if len(rest):
+                if behind.any():
+                    self.waiting.updateValue((number,), tuple(rest[c].tolist() for c in ("at", "ordinal", "label")))
+                self.handle.registerTimer(int(rest["at"].min()) // 1000 + 1)
+                break
+            self.waiting.removeKey((number,))
+        ready = [r for r in ready if len(r)]
+        if ready:
+            ordered = pd.concat(ready).sort_values(["at", "ordinal"], kind="stable").reset_index(drop=True)
+            carried, out = self.run(self.last.get() if self.last.exists() else self.start, ordered)
+            self.last.update(carried)
+            out.insert(0, self.key, key[0])
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class Changes(InOrder):
+    carried, start = "label string", (None,)
+
+    def run(self, carried: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        labels = rows["label"].astype(object)
+        previous = labels.shift(1)
+        previous.iloc[0] = carried[0]
+        # No row before counts as a null label, as in the batch form: a null behind it is no change.
+        changed = ~((labels == previous) | (labels.isna() & previous.isna()))
+        out = pd.DataFrame({"ordinal": rows["ordinal"], "label": labels, "prev_label": previous.where(previous.notna(), None)})[changed]
+        return (labels.iloc[-1],), out
+
+
+class Streaks(InOrder):
+    carried, start = "streak bigint, tripped boolean", (0, False)
+
+    def __init__(self, key: str, slice_us: int, limit: int):
+        super().__init__(key, slice_us)
+        self.limit = limit
+
+    def run(self, carried: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        streak, tripped = carried
+        bad = (rows["label"] == "true").to_numpy()
+        place = np.arange(1, len(bad) + 1)
+        good = np.maximum.accumulate(np.where(bad, 0, place))
+        streaks = place - good + np.where(good == 0, streak, 0)  # failures since the last success, the carried ones before any
+        over = np.logical_or.accumulate(np.r_[tripped, streaks >= self.limit])
+        return (int(streaks[-1]), bool(over[-1])), pd.DataFrame({"ordinal": rows["ordinal"], "streak": streaks, "stopped": over[:-1]})
 
 
-def _wait(state: GroupState, waiting: pd.DataFrame) -> None:
-    if len(waiting):
-        # Just past the first waiting row: the group is called again once the watermark gets there.
-        state.setTimeoutTimestamp(max(int(waiting["at"].iloc[0] // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+def _slice_us(spark: SparkSession, late: str) -> int:
+    """Microseconds of one slice of the allowed lateness."""
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval '{late}')")).first()[0] // SLICES
 
 
-def _stateful(rows: DataFrame, ts: str, late: str, key: str, label: Column, fn, output: str, state: str) -> DataFrame:
-    ship(rows.sparkSession)
+def _in_order(rows: DataFrame, ts: str, late: str, key: str, label: Column, processor: InOrder, output: str) -> DataFrame:
+    spark = rows.sparkSession
+    ship(spark)
+    # The only store that has timers and map states.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = rows.schema[key].dataType.simpleString()
     slim = rows.withWatermark(ts, late).select(
         key, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("at"), F.col("ordinal").cast("bigint").alias("ordinal"), label.cast("string").alias("label"))
-    return slim.groupBy(key).applyInPandasWithState(
-        fn, f"{key} {kind}, {output}", f"{state}, {BUFFER}", "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy(key).transformWithStateInPandas(processor, f"{key} {kind}, {output}", "Append", "EventTime")
 
 
 def label_changes(rows: DataFrame, ts: str, late: str, label: str = "label", key: str = "media_id") -> DataFrame:
     """Rows whose label differs from the last one of the media, in event-time order.
 
-    Rows wait in state until the watermark has passed them, so rows that arrive out of order but
-    in time count in their right place. State: the last label and the waiting rows.
-    Apply the confidence gate before this, as in the batch form.
+    Rows wait in state until the watermark has passed them, so rows that arrive out of order but in time count in their
+    right place. Apply the confidence gate before this, as in the batch form.
     """
-
-    def step(group, pdfs, state: GroupState):
-        last, at, ordinal, names = state.get if state.exists else (None, [], [], [])
-        ready, waiting = _ready(state, pdfs, (at, ordinal, names))
-        previous = ready["label"].shift(1)
-        if len(ready):
-            previous.iloc[0] = last
-            last = ready["label"].iloc[-1]
-        # No row before counts as a null label, as in the batch form: a null behind it is no change.
-        changed = ~((ready["label"] == previous) | (ready["label"].isna() & previous.isna()))
-        out = ready[changed]
-        state.update((last, waiting["at"].astype("int64").tolist(), waiting["ordinal"].astype("int64").tolist(), waiting["label"].tolist()))
-        _wait(state, waiting)
-        yield pd.DataFrame({key: group[0], "ordinal": out["ordinal"].astype("int64"), "label": out["label"],
-                            "prev_label": previous[changed].astype(object).where(previous[changed].notna(), None)})
-
-    return _stateful(rows, ts, late, key, F.col(label), step, "ordinal bigint, label string, prev_label string", "last string")
+    return _in_order(rows, ts, late, key, F.col(label), Changes(key, _slice_us(rows.sparkSession, late)), "ordinal bigint, label string, prev_label string")
 
 
 def breaker(items: DataFrame, ts: str, late: str, failed: Column, limit: int = 3, key: str = "batch_id") -> DataFrame:
     """Failure streak of each item in event-time order, and whether the batch was stopped before it.
 
-    State: the streak, whether the breaker has tripped, and the rows waiting for the watermark.
+    An item comes out once the watermark has passed it: items of the last `late` are still waiting when the input ends.
     """
-
-    def step(group, pdfs, state: GroupState):
-        streak, tripped, at, ordinal, names = state.get if state.exists else (0, False, [], [], [])
-        ready, waiting = _ready(state, pdfs, (at, ordinal, names))
-        bad = (ready["label"] == "true").to_numpy()
-        place = np.arange(1, len(bad) + 1)
-        good = np.maximum.accumulate(np.where(bad, 0, place)) if len(bad) else place
-        streaks = place - good + np.where(good == 0, streak, 0)  # failures since the last success, the carried ones before any
-        over = np.logical_or.accumulate(np.r_[tripped, streaks >= limit])
-        stopped, tripped = over[:-1], bool(over[-1])
-        streak = int(streaks[-1]) if len(bad) else streak
-        state.update((streak, tripped, waiting["at"].astype("int64").tolist(), waiting["ordinal"].astype("int64").tolist(), waiting["label"].tolist()))
-        _wait(state, waiting)
-        yield pd.DataFrame({key: group[0], "ordinal": ready["ordinal"].astype("int64"), "streak": pd.Series(streaks, index=ready.index, dtype="int64"),
-                            "stopped": pd.Series(stopped, index=ready.index, dtype="bool")})
-
-    return _stateful(items, ts, late, key, failed, step, "ordinal bigint, streak bigint, stopped boolean", "streak bigint, tripped boolean")
+    return _in_order(items, ts, late, key, failed, Streaks(key, _slice_us(items.sparkSession, late), limit), "ordinal bigint, streak bigint, stopped boolean")
 
 
 def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
