@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions import detectors
 from mediatimeline.operators.ordered import NO_CUTS, find_cuts
-from mediatimeline.sources import io
+from mediatimeline.sources import documents, io, store
 
 
 def timelines(spark):
@@ -52,7 +52,7 @@ def test_catalog(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[-1]
 
 
-def test_logs_manifest_documents(spark, tmp_path):
+def test_logs_manifest(spark, tmp_path):
     log = tmp_path / "log"
     os.makedirs(log)
     (log / "a.jsonl").write_text('{"timestamp":"2024-01-01T00:00:00Z","error_type":"x"}\nnot json\n{"error_type":"y"}\n')
@@ -64,10 +64,6 @@ def test_logs_manifest_documents(spark, tmp_path):
     first = io.write_manifest(rows, str(tmp_path / "man"), 1)
     io.write_manifest(rows.union(rows), str(tmp_path / "man"), 2)
     assert spark.read.parquet(first).count() == 1
-    docs = spark.createDataFrame([("m1", 0, "# a\nb"), ("m2", 0, "# c")], "media_id string, part bigint, document string")
-    io.write_documents(docs, str(tmp_path / "docs"))
-    back = spark.read.text(str(tmp_path / "docs"), wholetext=True).collect()
-    assert {r["media_id"]: r["value"].strip() for r in back} == {"m1": "# a\nb", "m2": "# c"}
 
 
 def test_latest_per_family(spark):
@@ -91,3 +87,41 @@ def test_detectors(spark):
         detectors.run_detectors(media, [Tagged("a"), Tagged("a")])
     rows = detectors.fallback_rows(media, out["a"].filter("media_id = 0"), "x").orderBy("media_id").collect()
     assert [r["duration"] for r in rows] == [30.0, 100.0]
+
+
+def stored(path):
+    return sorted(f for f in os.listdir(path)) if os.path.isdir(path) else []
+
+
+def test_documents(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    names = ["m1", "a/b", "a_b", "_hidden", ".dot", "é ü", "", "x" * 300, "x" * 301, "A", None]
+    rows = [(m, p, f"# {m} {p}\nline") for m in names for p in (2, 0, 1)] + [("m1", 3, None)]
+    frame = spark.createDataFrame(rows, "media_id string, part bigint, document string")
+    documents.write_documents(frame.repartition(5), path)
+    want = {m: "\n".join(f"# {m} {p}\nline" for p in range(3)) + ("\n" if m == "m1" else "") for m in names}
+    got = documents.read_documents(spark, path).collect()
+    assert {r["media_id"]: r["document"] for r in got} == want and len(got) == len(names)
+    assert {r["media_id"]: r["parts"] for r in got}["m1"] == 4
+    assert len({documents.file_name(m).lower() for m in names if m != "A"}) == len(names) - 1
+    assert stored(path) == sorted([documents.file_name(m) for m in names] + [store.MANIFEST] + [f for f in os.listdir(path) if f.endswith(".crc")])
+    # a second write replaces its media and leaves the others
+    documents.write_documents(spark.createDataFrame([("m1", 0, "new"), ("m9", 0, "x")], "media_id string, part bigint, document string"), "file:" + path)
+    assert {r["media_id"]: r["document"] for r in documents.read_documents(spark, path).collect()} == want | {"m1": "new", "m9": "x"}
+
+
+def test_failed_write_leaves_no_document(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    broken = F.when(F.col("id") == 55, F.raise_error(F.lit("broken"))).otherwise("text")
+    rows = spark.range(100).select(F.col("id").cast("string").alias("media_id"), F.lit(0).alias("part"), broken.alias("document"))
+    with pytest.raises(Exception, match="broken"):
+        documents.write_documents(rows, path)
+    assert stored(path) == []
+    with pytest.raises(Exception):  # nothing was published
+        documents.read_documents(spark, path).collect()
+
+
+def test_no_documents(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    documents.write_documents(spark.createDataFrame([], "media_id string, part bigint, document string"), path)
+    assert stored(path) == [store.MANIFEST] and documents.read_documents(spark, path).collect() == []

@@ -121,23 +121,67 @@ def test_batch_state(spark):
     assert (got["current_stage"], got["error"]) == ("b", "y")
 
 
-def test_cross_references_against_all_pairs(spark):
-    rng = random.Random(2)
-    sets = {i: {f"w{rng.randint(0, 25)}" for _ in range(rng.randint(1, 6))} | ({"everywhere"} if i % 3 else set()) for i in range(60)}
-    sets[60] = set(sets[5])
-    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "scene int, term string")
-    rare = {i: frozenset(s) for i, s in sets.items()}
-    members, pairs = library.cross_references(df, 0.4)
-    ids = {r["scene"]: r["set_id"] for r in members.collect()}
-    assert set(ids) == set(rare) and ids[60] == ids[5]
-    found = {frozenset((r["left_id"], r["right_id"])): r["similarity"] for r in pairs.collect()}
+def _crossed(spark, rows, threshold, weights):
+    """(members, pairs) of the operator, and of comparing all pairs of sets."""
+    members, pairs = library.cross_references(spark.createDataFrame(rows, "media_id string, scene int, field string, term string"), threshold, weights)
+    ids = {(r["media_id"], r["scene"]): r["set_id"] for r in members.collect()}
+    found = {frozenset((bytes(r["left_id"]), bytes(r["right_id"]))): (r["shared_terms"], r["similarity"]) for r in pairs.collect()}
+    sets, media = {}, {}
+    for m, s, f, t in rows:
+        sets.setdefault((m, s), set()).add((f, t))
+    for key, own in sets.items():
+        media.setdefault(frozenset(own), set()).add(key[0])
+    named = {frozenset(own): bytes(ids[key]) for key, own in sets.items()}
     want = {}
-    for a in rare:
-        for b in rare:
-            j = len(rare[a] & rare[b]) / len(rare[a] | rare[b])
-            if rare[a] != rare[b] and j >= 0.4:
-                want[frozenset((ids[a], ids[b]))] = j
+    for a in media:
+        for b in media:
+            def weight(x):
+                return sum(weights.get(f, 1) for f, _ in x)
+            j = weight(a & b) / weight(a | b)
+            if a != b and j >= threshold and len(media[a] | media[b]) > 1:
+                want[frozenset((named[a], named[b]))] = (len(a & b), j)
+    assert set(ids) == set(sets) and all((named[frozenset(sets[x])] == bytes(ids[x])) for x in sets)
+    return found, want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_cross_references_against_all_pairs(spark, threshold):
+    rng = random.Random(2)
+    rows = []
+    for i in range(90):
+        own = {("text", f"w{rng.randint(0, 25)}") for _ in range(rng.randint(1, 6))} | ({("text", "everywhere")} if i % 3 else set())
+        own |= {("speaker", f"s{rng.randint(0, 3)}")} if i % 2 else set()
+        own |= {("object", x) for x in rng.sample(["person", "laptop", "board"], i % 3)}
+        rows += [(f"m{i % 4}", i, f, t) for f, t in own]
+    rows += [("m9", 5, f, t) for m, s, f, t in rows if s == 5]  # the same set in another media
+    rows += [(None, 1, "text", "w1"), (None, 1, "text", "w2"), (None, 2, "text", "w1"), ("m0", 300, "text", "w1"), ("m0", 300, "text", "w1")]
+    found, want = _crossed(spark, rows, threshold, {"object": 3, "speaker": 2})
+    assert found == want and (want or threshold > 0.7)
+
+
+def test_cross_references_of_long_sets(spark):
+    """Long sets of one vocabulary meet everywhere; almost only similar ones are compared in full."""
+    rng = random.Random(4)
+    rows, base = [], [f"t{i}" for i in range(900)]
+    for i in range(60):
+        own = set(rng.sample(base, rng.randint(150, 400))) if i % 4 else set(base[i:i + 300]) - set(rng.sample(base, 30))
+        rows += [(f"m{i % 5}", i, "text", t) for t in own]
+    found, want = _crossed(spark, rows, 0.5, {})
     assert found == want and want
+    marked = library.marked_sets(library.term_sets(spark.createDataFrame(rows, "media_id string, scene int, field string, term string"))[1])
+    assert library.candidate_pairs(marked, 0.5).count() <= 1.5 * len(want) + 20
+
+
+def test_marks(spark):
+    for n in (0, 1, 5, 300):
+        hashes = [random.Random(n).randrange(-2**63, 2**63) for _ in range(n)] + [7, 7]
+        want = [0] * 16
+        for h in hashes:
+            want[(h >> 6) & 15] |= 1 << (h & 63)
+        got = spark.createDataFrame([(hashes,)], "hashes array<long>").select(library._bits(F.lit(16)).alias("b")).first()["b"]
+        assert [x & (2**64 - 1) for x in got] == want
+    row = spark.createDataFrame([([1, 2, 4, 8], [3, 14])], "a array<long>, b array<long>")
+    assert row.select(library._differing("a", "b").alias("d"), library._differing("b", "a").alias("e")).first()[:] == ((5 ^ 3).bit_count() + (10 ^ 14).bit_count(),) * 2
 
 
 def test_terms_are_keywords(spark):
@@ -163,3 +207,22 @@ def test_log_and_objects(spark):
     seen = spark.createDataFrame([(1, "a", f, 20) for f in (1, 2, 5, 9, 18)], "media_id int, object_id string, frame bigint, last_frame bigint")
     got = library.appear_disappear(seen).orderBy("visit").collect()
     assert [(r["enters"], r["exits"]) for r in got] == [(1, 8), (9, 12), (18, None)]
+
+
+def test_error_rate_slides(spark):
+    """A burst across midnight counts whole, and a rate that stays up gives one alert."""
+    hour = 3600.0
+    rows = [(h * hour + i, h in (22, 23, 24, 25) and i < 15) for h in range(0, 100) for i in range(20)]
+    rows += [(300 * hour, True), (301 * hour, True), (340 * hour, True)]
+    df = spark.createDataFrame(rows, "t double, bad boolean")
+    got = [(r["pane"], r["level"]) for r in rollups.error_rate_alerts(df, F.col("bad")).orderBy("pane").collect()]
+    want, before, last = [], 0, -100
+    for pane in sorted({int(t // hour) for t, _ in rows}):
+        window = [bad for t, bad in rows if pane - 24 < t // hour <= pane]
+        value = 100.0 * sum(window) / len(window)
+        level = 2 if value >= 25 else 1 if value >= 10 else 0
+        if level > (before if pane - last < 24 else 0):
+            want.append((pane, {1: "warning", 2: "critical"}[level]))
+        before, last = level, pane
+    assert got == want and got[0] == (25, "warning") and (300, "critical") in got and (301, "critical") not in got and (340, "critical") in got
+    assert rollups.error_rate_alerts(df.where("false"), F.col("bad")).collect() == []

@@ -103,3 +103,18 @@ def test_results_stream(spark, tmp_path):
     (folder / "a.jsonl").write_text('{"filename":"x","success":true}\n{"filename":"y","success":false}\n')
     got = ops.run_to_folder(ops.read_results(spark, str(folder)), out(tmp_path)).collect()
     assert sorted((r["filename"], r["success"]) for r in got) == [("x", True), ("y", False)]
+
+
+def test_state_written_per_trigger(spark, tmp_path):
+    """A trigger writes the slices of its own rows and of those that became ready, not all that waits."""
+    rows = [(1, i, float(i), "ab"[i % 2]) for i in range(4000)]
+    folder = str(tmp_path / "in")
+    write(spark, rows, folder, [list(range(i, i + 400)) for i in range(0, 4000, 400)])
+    seen = []
+    result = ops.label_changes(stream(spark, folder), "at", "3200 seconds")  # nearly all rows wait; a slice is 200 s
+    query = (result.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+             .foreachBatch(lambda df, n: seen.append(df.count())).trigger(availableNow=True).start())
+    query.awaitTermination()
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(seen) == 799 and len(written) >= 10  # rows before second 3999 - 3200
+    assert max(written) <= 2 * (400 // 200 + 2) + 4  # two slices of new rows, two or three that are taken out, the last label, a timer
