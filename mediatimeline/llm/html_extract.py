@@ -18,7 +18,8 @@ from mediatimeline.session import settle, ship
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"'>]|$)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+READ_ATTRIBUTES = frozenset("class id role style hidden aria-hidden".split())
 TOKENS_OF_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
@@ -39,6 +40,10 @@ DROPPED_WORDS = frozenset(
     "sidebars masthead toolbar share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip "
     "widget widgets".split())
 HEADER_WORDS = frozenset(["header", "topbar"])
+# What others say below an article can be longer than the article.
+FOREIGN_WORDS = frozenset("comment comments discussion disqus replies related recommended".split())
+MAIN_SHARE = 0.5  # of a page's prose: an element that holds as much is not boilerplate by its name alone
+BY_KIND, BY_NAME, BY_PLAIN_NAME = 1, 2, 3
 PREFERRED = {"article": 1.5, "main": 1.3, "body": 0.8}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LONG_BLOCK = 40  # characters from which a block outside a heading looks like prose
@@ -48,15 +53,19 @@ class Page:
     """Blocks of text in page order, each with the elements that it stands in.
 
     nodes: (parent, tag, generalised path, dropped by its own tag or names). blocks: (node, text, length of text in links).
+    Names are judged when the page has been read: an element named like boilerplate that holds the page's main or most of its
+    prose, such as a layout "has-sidebar", is not boilerplate.
     """
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
+        self.nodes: list[tuple[int, str, str, int]] = [(-1, "", "", 0)]
         self.blocks: list[tuple[int, str, int]] = []
         self._stack = [0]
         self._pieces: list[str] = []
         self._links = self._open_links = 0
         self._read(source)
+        if any(kind > BY_KIND for _, _, _, kind in self.nodes):
+            self._judge_names()
 
     def _read(self, source: str) -> None:
         at, size = 0, len(source)
@@ -125,19 +134,55 @@ class Page:
         names: dict[str, str] = {}
         if attrs:
             for m in ATTRIBUTE.finditer(attrs):
-                names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+                if m[1].lower() in READ_ATTRIBUTES:
+                    names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         classes = names.get("class", "")
         words = {w.lower() for w in TOKENS_OF_NAME.findall(classes + " " + names.get("id", ""))} if names else set()
         inside = any(self.nodes[i][1] in ("article", "main") for i in self._stack)
-        dropped = (tag in DROPPED_TAGS or not words.isdisjoint(DROPPED_WORDS) or names.get("role", "").lower() in DROPPED_ROLES
-                   or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
-                   or not inside and (tag == "header" or not words.isdisjoint(HEADER_WORDS)))
-        if tag in ("html", "body", "article", "main") and tag not in DROPPED_TAGS:
-            dropped = False
+        dropped = 0
+        if tag not in ("html", "body", "article", "main"):
+            if (tag in DROPPED_TAGS or names.get("role", "").lower() in DROPPED_ROLES or "hidden" in names
+                    or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
+                    or not inside and tag == "header"):
+                dropped = BY_KIND
+            elif not words.isdisjoint(FOREIGN_WORDS) or not DROPPED_WORDS.isdisjoint(classes.lower().split()):
+                dropped = BY_PLAIN_NAME
+            elif not words.isdisjoint(DROPPED_WORDS) or not inside and not words.isdisjoint(HEADER_WORDS):
+                dropped = BY_NAME
         label = ".".join([tag, *sorted(DIGITS.sub("#", c) for c in classes.split())])
         self.nodes.append((parent, tag, f"{self.nodes[parent][2]}/{label}", dropped))
         return len(self.nodes) - 1
 
+    def _judge_names(self) -> None:
+        """Settle which elements are boilerplate by their names: those whose class is just such a word, or that name other
+        people's words, unless they hold the page's main, or an article with most of its prose; those with the word as a
+        part of a name also if they hold most of the prose themselves."""
+        by_kind = [False]
+        for parent, _, _, kind in self.nodes[1:]:
+            by_kind.append(by_kind[parent] or kind == BY_KIND)
+        keep = {0}
+        for plain in (True, False):
+            out, prose = [False], [0] * len(self.nodes)
+            for n, (parent, _, _, kind) in enumerate(self.nodes[1:], 1):
+                out.append(out[parent] or by_kind[n] or not plain and kind == BY_PLAIN_NAME and n not in keep)
+            for node, text, links in self.blocks:
+                if not out[node] and links <= 0.3 * len(text):
+                    prose[node] += len(text)
+            holds_main = [False] * len(self.nodes)
+            for n in range(len(self.nodes) - 1, 0, -1):
+                parent, tag, _, _ = self.nodes[n]
+                prose[parent] += prose[n]
+                much = prose[n] > 0
+                holds_main[parent] |= holds_main[n] or tag == "main" and much
+            most = MAIN_SHARE * prose[0]
+            for n in range(len(self.nodes) - 1, 0, -1):
+                parent, tag, _, _ = self.nodes[n]
+                holds_main[parent] |= holds_main[n] or tag == "article" and prose[n] > 0 and prose[n] >= most
+            for n, (_, _, _, kind) in enumerate(self.nodes):
+                if kind == (BY_PLAIN_NAME if plain else BY_NAME) and (holds_main[n] or not plain and prose[n] > 0 and prose[n] >= most):
+                    keep.add(n)
+        self.nodes = [(parent, tag, path, bool(kind) and n not in keep) for n, (parent, tag, path, kind) in enumerate(self.nodes)]
+
     def _close(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
             tag = self.nodes[self._stack[k]][1]
