@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediatimeline.llm.common import by_bytes, ids_and_texts, whole_rows
@@ -27,7 +28,7 @@ INF = float("inf")
 BANDS = ((8, 0.90, 1.8), (9, 0.91, 2.1), (9.95, 0.97, 2.15), (10, 1.018, 2.15), (11, 1.04, 2.2), (12, 1.06, 2.3), (13, 1.09, 2.4),
          (14, 1.10, 2.5), (15, 1.10, 2.7), (16, 1.10, 2.9), (17, 1.10, 3.1))
 LEAST_RATIO = ((8, 1.05), (9, 1.30))  # raw / compressed bytes by log2 of the bytes: base64 is told by it below 1,024 characters
-MOST_SYMBOLS = 0.3  # SYMBOLS per word; text and tables full of them compress like prose
+MOST_SYMBOLS = 0.3  # SYMBOLS per word that `good_documents` allows: a rule of its own, as text full of them compresses like prose
 CHUNK_CHARS = 4096
 BAD_CHUNK_SHARE = 0.34
 
@@ -96,7 +97,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, chunk: int = CHUNK_CHARS,
           bad_share: float = BAD_CHUNK_SHARE) -> tuple:
-    """The columns of FIELDS for one text."""
+    """The columns of FIELDS for one text. Beyond the base rules, the verdict is that of the compression bands alone."""
     text = text or ""
     raw = text.encode("utf-8")
     words = raw.split()
@@ -116,7 +117,7 @@ def judge(text: str | None, compressor: zstandard.ZstdCompressor, bands=BANDS, c
             own = piece.encode("utf-8")
             n_chunks += 1
             n_bad += outside(piece, len(own), len(own) / len(compressor.compress(own)), gain(piece, compressor), bands)
-    kept = not (failed or n_symbols > MOST_SYMBOLS * n_words or outside(text, len(raw), ratio, whole, bands) or n_bad > bad_share * n_chunks)
+    kept = not (failed or outside(text, len(raw), ratio, whole, bands) or n_bad > bad_share * n_chunks)
     return (n_words, word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, failed, ratio, whole, n_chunks, n_bad, kept)
 
 
@@ -124,8 +125,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   bad_share: float = BAD_CHUNK_SHARE, level: int = 3, rows_too: bool = False) -> DataFrame:
     """`id_col`, with `rows_too` the whole row as a struct, word and line counts, compression ratios and a verdict for every row.
 
-    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, at most
-    MOST_SYMBOLS symbols per word, the gain and the zstandard ratio of the whole text within the limits for its length, and at most `bad_share` of its chunks of
+    base_failed: under 50 words, or more than half of the words in repeated 3-word windows. kept: not base_failed, the
+    gain and the zstandard ratio of the whole text within the limits for its length, and at most `bad_share` of its chunks of
     `chunk` characters (texts over one chunk only) outside the limits for theirs. Random letters, hex and base64 are caught from
     1,024 characters on, base64 from 512. Compression and counting are per row and read whole texts, so there is no
     shuffle, and memory is bounded by one Arrow batch and the longest text.
@@ -150,6 +151,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
-def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that the rules keep."""
-    return quality_rules(docs, id_col, text_col, rows_too=True, **options).where("kept").select("row.*")
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_symbols: float = MOST_SYMBOLS, **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, that the rules keep and that have at most `most_symbols` of SYMBOLS a word.
+
+    The second is a rule beside the compression bands, which cannot see symbols: pass infinity to leave it out. A null or empty
+    text goes; equal rows stay or go together; an empty table gives an empty result.
+    """
+    judged = quality_rules(docs, id_col, text_col, rows_too=True, **options)
+    return judged.where(F.col("kept") & (F.col("n_symbols") <= most_symbols * F.col("n_words"))).select("row.*")

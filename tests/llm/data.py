@@ -77,3 +77,8 @@ def linked(sets: list[frozenset], percent: int = 75) -> list[int]:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return [find(x) for x in range(len(sets))]
+
+
+def good(judged: tuple) -> bool:
+    """What the pipeline's quality stage keeps: the verdict of the bands, and few symbols a word."""
+    return judged[-1] and judged[2] <= 0.3 * judged[0]

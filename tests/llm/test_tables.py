@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -201,15 +202,41 @@ def test_similar_sets_share_signatures(size, part, seed):
     assert len(np.intersect1d(x, y)) >= max(1, max(len(x), len(y)) - differ)
 
 
-def test_shared_signatures(spark):
-    rows = [(s, k) for s in range(30) for k in range(1 + 7 * (s % 5))] * 2
-    df = spark.createDataFrame(rows, "sig long, set long")
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for batch in ("1", "2", "7", "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-        got = sorted(map(tuple, jaccard_join.shared_signatures(df).collect()))
-        assert got == sorted({(s, k) for s, k in rows if s % 5})
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+@pytest.mark.parametrize("piece,most", [(1, 1), (2, 7), (5, 100), (1000, 100)])
+def test_shared_signatures(spark, monkeypatch, piece, most):
+    monkeypatch.setattr(jaccard_join, "DEALT_ROWS", 2 * most)
+    entries = [(s, k) for s in range(30) for k in range(1 + 7 * (s % 5))] * 2
+    np.random.default_rng(1).shuffle(entries)
+    rows = []
+    for bucket in range(3):
+        mine = np.array([e for e in entries if e[0] % 3 == bucket])
+        rows += [(bucket, mine[i:i + piece, 0].astype(np.uint64).tobytes(), mine[i:i + piece, 1].astype(np.int64).tobytes()) for i in range(0, len(mine), piece)]
+    got = sorted(map(tuple, jaccard_join.shared_signatures(spark.createDataFrame(rows, "bucket long, sigs binary, sets binary")).collect()))
+    assert got == sorted({tuple(map(int, e)) for e in entries if e[0] % 5})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 4)), min_size=1, max_size=12), max_size=6))
+def test_met(batches):
+    met, got = jaccard_join.Met(), []
+    for batch in batches:
+        sig, key = np.array([b[0] for b in batch], np.uint64), np.array([b[1] for b in batch], np.int64)
+        got += list(zip(*(x.tolist() for x in met.add(sig, key))))
+    owners = defaultdict(set)
+    for s, k in (e for batch in batches for e in batch):
+        owners[s].add(k)
+    assert set(got) == {(s, k) for s, ks in owners.items() if len(ks) > 1 for k in ks}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=" \t\n\x0b\x0c\raAbÉ\x1c\x85\u3000\x00", max_size=30)), max_size=5))
+def test_shingles(texts):
+    sets = jaccard_join.shingle_sets(pa.array(texts, pa.string()))
+    plain = [data.shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in plain]
+    for a in range(len(texts)):
+        for b in range(a):
+            assert len(np.intersect1d(sets[a], sets[b])) == len(plain[a] & plain[b])
 
 
 def test_blocks_find_every_pair(spark):
