@@ -87,9 +87,10 @@ def likeness(present: np.ndarray, common: np.ndarray) -> np.ndarray:
     """
     found, offset = np.zeros((len(present), len(common)), np.float32), SIZES[0]
     for size in SIZES[1:]:
-        block = present[:, offset:offset + size].astype(np.float32)
-        shared = block @ common[:, offset:offset + size].T.astype(np.float32)
-        found += (shared + FREE) / (block.sum(axis=1, keepdims=True) + FREE)
+        theirs = common[:, offset:offset + size].T.astype(np.float32)
+        for start in range(0, len(present), ROWS):
+            block = present[start:start + ROWS, offset:offset + size].astype(np.float32)
+            found[start:start + ROWS] += (block @ theirs + FREE) / (block.sum(axis=1, keepdims=True) + FREE)
         offset += size
     return found / len(SIZES[1:])
 
@@ -113,21 +114,24 @@ def least_likeness(present: np.ndarray, labels: np.ndarray, count: int) -> float
 
 
 def solve(languages: list[str], present: np.ndarray, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit on labelled presence rows: landmarks in turn from every language, one-versus-rest targets of -1 and 1."""
+    """Fit on labelled presence rows: landmarks in turn from every language, at least one from each, one-versus-rest targets of
+    -1 and 1. Kernel rows are made and added up ROWS at a time, so the driver never holds them all."""
     names = tuple(sorted(set(languages)))
     labels = np.array([names.index(x) for x in languages])
     turn = np.empty(len(labels), np.int64)
     for k in range(len(names)):
         own = labels == k
         turn[own] = np.arange(own.sum())
-    chosen = np.lexsort((labels, turn))[:landmarks]
-    rows = kernel_rows(present)
-    marks = rows[chosen]
-    across = (rows @ marks.T).astype(np.float64)
+    chosen = np.lexsort((labels, turn))[:max(landmarks, len(names))]
+    marks = kernel_rows(present[chosen])
     among = (marks @ marks.T).astype(np.float64)
-    targets = np.where(labels[:, None] == np.arange(len(names)), 1.0, -1.0)
-    left = across.T @ across + ridge * len(rows) * among + 1e-6 * np.eye(len(marks))
-    weights = np.linalg.solve(left, across.T @ targets).astype(np.float32)
+    left = ridge * len(present) * among + 1e-6 * np.eye(len(marks))
+    right = np.zeros((len(marks), len(names)))
+    for start in range(0, len(present), ROWS):
+        across = (kernel_rows(present[start:start + ROWS]) @ marks.T).astype(np.float64)
+        left += across.T @ across
+        right += across.T @ np.where(labels[start:start + ROWS, None] == np.arange(len(names)), 1.0, -1.0)
+    weights = np.linalg.solve(left, right).astype(np.float32)
     return Model(names, marks, weights, common_buckets(present, labels, len(names)), least_likeness(present, labels, len(names)))
 
 
