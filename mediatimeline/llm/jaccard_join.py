@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ PER_PART = 1.9  # shingles of the largest set of a band per partition
 STAR_ROUNDS = 3  # rounds in which every set is compared with one other set
 STAR_SHARE = 4  # one in so many signatures serves to choose these pairs; the search after them uses all
 BLOCK = 2_048  # sets of a family that are counted against as many others in one task
+DEALT_ROWS = 1_000_000  # signatures that a task gathers before it deals them out
+BUCKET_ROWS = 1_000_000  # signatures in a bucket, on average
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -36,19 +39,30 @@ def mixed_bits(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of all texts, and the number of words of each text. Only A-Z is lowered and only ASCII white
+    space separates; each distinct word of the batch is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = lists.flatten()
+    there = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)  # white space at an end leaves an empty part
+    coded = flat.dictionary_encode()
+    known = np.array(coded.dictionary.cast(pa.binary()).to_pylist(), dtype=object)
+    hashes = pd.util.hash_array(known, categorize=False) if len(known) else np.zeros(0, np.uint64)
+    ends = np.cumsum(np.r_[0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)])
+    before = np.r_[0, np.cumsum(there)]
+    return hashes[coded.indices.to_numpy(zero_copy_only=False)[there]], np.diff(before[ends])
+
+
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word windows; a shorter text is one window, one without words none."""
-    split = [text.encode("utf-8").lower().split() if text else [] for text in texts]  # bytes: ASCII case and white space only
-    lengths = [len(w) for w in split]
-    flat = np.array([w for ws in split for w in ws], dtype=object)
-    hashes = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
+    hashes, lengths = word_hashes(texts)
     windows = np.zeros(len(hashes), np.uint64)
     for j in range(words):
         if len(hashes) > j:
             windows[:len(hashes) - j] += hashes[j:] * _ODD[j]
     windows = mixed_bits(windows)
     sets, at = [], 0
-    for n in lengths:
+    for n in lengths.tolist():
         if n >= words:
             sets.append(np.unique(windows[at:at + n - words + 1]))
         elif n:
@@ -144,7 +158,7 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             rows = []
-            for shingles in shingle_sets(batch.column(1).to_pylist(), words):
+            for shingles in shingle_sets(batch.column(1), words):
                 counts = [int(n) for n in signature_counts(shingles, bands, salt)]
                 sure = min(counts, default=0) > bands.most_different(len(shingles))
                 rows.append((set_key(shingles) if len(shingles) else None, len(shingles), *(counts + [0, 0])[:2], sure))
@@ -155,48 +169,111 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
-    """(sig, set) of every set; copies that one task meets again are left out there."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set", T.LongType())])
+def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets: int) -> DataFrame:
+    """bucket, sigs and sets: the signatures of every set with the set's number, dealt by signature into buckets, many in a row.
+
+    Copies that one task meets again are left out there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+
+        def deal() -> pa.RecordBatch:
+            sig, key = np.concatenate(sigs), np.concatenate(keys)
+            bucket = parts_of(mixed_bits(sig ^ _ODD[1]), buckets).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sig, key, bucket = sig[order], key[order], bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            edges = list(zip(first, np.r_[first[1:], len(bucket)]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([sig[a:b].tobytes() for a, b in edges], pa.binary()),
+                                               pa.array([key[a:b].tobytes() for a, b in edges], pa.binary())], names=["bucket", "sigs", "sets"])
+
         for batch in by_bytes(batches):
-            sigs, keys = [], []
-            for shingles in shingle_sets(batch.column(1).to_pylist(), words):
+            for shingles in shingle_sets(batch.column(1), words):
                 key = set_key(shingles)
                 if len(shingles) and key not in seen:
                     seen.add(key)
                     for _, found in signatures(shingles, bands, salt):
-                        sigs.append(found.view(np.int64))
+                        sigs.append(found)
                         keys.append(np.full(len(found), key, np.int64))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], names=["sig", "set"])
-
-    return docs.select("id", "text").mapInArrow(run, schema)
+            if sum(map(len, sigs)) > DEALT_ROWS:
+                yield deal()
+                sigs.clear()
+                keys.clear()
+        if sigs:
+            yield deal()
+
+    return docs.select("id", "text").mapInArrow(run, "bucket long, sigs binary, sets binary")
+
+
+class Met:
+    """Signatures of a bucket so far, in order, each with the first set that had it and whether others have had it too."""
+
+    def __init__(self) -> None:
+        self.sig, self.key, self.shared = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the signatures that several sets have, as far as known now and not given before."""
+        order = np.argsort(sig, kind="stable")
+        sig, key = sig[order], key[order]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        at = np.searchsorted(self.sig, sig[first])
+        old = at < len(self.sig)
+        old[old] = self.sig[at[old]] == sig[first][old]
+        # What each entry is measured by: the first set that ever had the signature.
+        held = key[first].copy()
+        held[old] = self.key[at[old]]
+        was = np.zeros(len(first), bool)
+        was[old] = self.shared[at[old]]
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(sig)]))
+        other = key != held[group]
+        now = was | np.logical_or.reduceat(other, first)
+        fresh = now & ~was
+        out_sig, out_key = np.r_[sig[other], sig[first][fresh]], np.r_[key[other], held[fresh]]
+        self.shared[at[old]] = now[old]
+        new = ~old
+        self.sig = np.insert(self.sig, at[new], sig[first][new])
+        self.key = np.insert(self.key, at[new], held[new])
+        self.shared = np.insert(self.shared, at[new], now[new])
+        return out_sig, out_key
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, set) of the signatures that several sets have. Rows arrive sorted, and a task holds back one row at a time."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("set", T.LongType())])
+    """(sig, set) of the signatures that several sets have, once each.
+
+    A task keeps one entry a signature of the bucket it is at, so a signature that very many sets have costs no memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, key, open_ = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the row held back, and if its signature came before
+        bucket, met, waiting = None, Met(), 0
+        sigs: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+
+        def take() -> Iterator[pa.RecordBatch]:
+            if sigs:
+                sig, key = met.add(np.concatenate(sigs), np.concatenate(keys))
+                sigs.clear()
+                keys.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], names=["sig", "set"])
+
         for batch in batches:
-            sig, key = (np.concatenate([held, batch.column(i).to_numpy()]) for i, held in enumerate((sig, key)))
-            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])][:len(sig)]
-            sig, key = sig[fresh], key[fresh]
-            if len(sig):
-                same = sig[1:] == sig[:-1]
-                shared = np.r_[open_, same] | np.r_[same, False]
-                if shared[:-1].any():
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][shared[:-1]]), pa.array(key[:-1][shared[:-1]])], names=schema.names)
-                open_ = bool(same[-1]) if len(same) else open_
-                sig, key = sig[-1:], key[-1:]
-        if open_:
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(key)], names=schema.names)
-
-    return rows.repartition("sig").sortWithinPartitions("sig", "set").mapInArrow(run, schema)
+            for here, sig, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if here != bucket:
+                    yield from take()
+                    bucket, met, waiting = here, Met(), 0
+                sigs.append(np.frombuffer(sig, np.uint64))
+                keys.append(np.frombuffer(key, np.int64))
+                waiting += len(sigs[-1])
+                if waiting > DEALT_ROWS // 2:
+                    yield from take()
+                    waiting = 0
+        yield from take()
+
+    # Copies of a set in several tasks give an entry several times; the join by set that follows needs this shuffle anyway.
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, set long")
+    return found.repartition("set").dropDuplicates(["sig", "set"])
 
 
 def most_different(size: Column, percent: int) -> Column:
@@ -237,7 +314,7 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            found = [(key, s.tobytes()) for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words))
+            found = [(key, s.tobytes()) for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words))
                      if len(s) and set_key(s) == key]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())],
@@ -327,7 +404,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     else:
         raise RuntimeError("no salt deals the shingles evenly enough")
     sets = found.where("size > 0").groupBy("set").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "own", "next")])
-    shared = shared_signatures(signature_rows(rows, bands, words, salt))
+    total = sets.agg(F.sum(F.col("own") + F.col("next"))).first()[0] or 0
+    shared = shared_signatures(signature_rows(rows, bands, words, salt, -(-total // BUCKET_ROWS) or 1))
     entries = settle(live(with_sizes(shared, sets.drop("id")), percent))
     roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")

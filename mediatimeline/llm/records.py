@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from mediatimeline.llm.common import by_bytes, ids_and_texts, vocabulary
 from mediatimeline.session import ensure_checkpoint_dir, ship
@@ -148,19 +148,9 @@ def encode_batch(tokenizer, cache: dict[str, bytes], texts: pa.Array, width: int
     return [tokens[a:b] + end for a, b in zip([0, *stops[:-1]], stops)]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-           batch_bytes: int = ENCODE_BYTES) -> DataFrame:
-    """key (the id as a string) and ids (binary: little-endian, 2 bytes an id if they suffice for the vocabulary, else 4) of
-    every row, in ascending order of the ids, nulls first; rows alike in id follow a hash of their texts.
-
-    Texts are dealt by ranges of (id, hash, place in the input), so an id with very many rows spreads over tasks.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = vocabulary(spark, tokenizer_path)
-    order = ["id", "tie", "place"]
-    rows = ids_and_texts(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("id").cast("string").alias("key"), "text")
+def encoder(shared, end_id: int, batch_bytes: int = ENCODE_BYTES):
+    """Function from Arrow batches (key, text) to batches (key, ids, width): ids in little-endian, 2 bytes an id if they suffice
+    for the vocabulary, else 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, width, cache = _tokenizer(shared.value, end_id)
@@ -170,57 +160,49 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array([width] * len(found), pa.int32())],
                                              names=["key", "ids", "width"])
 
-    return ordered.mapInArrow(run, "key string, ids binary, width int")
+    return run
 
 
-# Files
-
-@dataclass
-class Written(WriterCommitMessage):
-    partition: int
-    name: str
-    records: int
-    tokens: int
-    size: int
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key (the id as a string) and text in ascending order of the ids, nulls first; rows alike in id follow a hash of their texts.
 
+    Texts are dealt by ranges of (id, hash, place in the input), so an id with very many rows spreads over tasks.
+    """
+    order = ["id", "tie", "place"]
+    rows = ids_and_texts(docs, id_col, text_col).select("id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("id").cast("string").alias("key"), "text")
 
-class RecordWriter(DataSourceArrowWriter):
-    """Each task writes one file and its index; the driver publishes the manifest once all are there."""
 
-    def __init__(self, path: str):
-        self.path = path
+# Files
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        partition = TaskContext.get().partitionId()
-        fs, root = store.at(self.path)
-        fs.create_dir(root)
-        name = store.new_name("part", partition)
-        records = tokens = size = 0
-        try:
-            with fs.open_output_stream(f"{root}/{name}.rec") as out, fs.open_output_stream(f"{root}/{name}.idx") as index:
-                for batch in iterator:
-                    frames, entries = [], []
-                    for key, ids, width in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                        entries.append(struct.pack("<QQ", size, tokens))
-                        frames.append(frame(pack(key, ids, width)))
-                        size += len(frames[-1])
-                        tokens += len(ids) // width
-                    records += len(frames)
-                    out.write(b"".join(frames))
-                    index.write(b"".join(entries))
-                index.write(struct.pack("<QQ", size, tokens))
-        except BaseException:
-            store.remove(fs, [f"{root}/{name}.rec", f"{root}/{name}.idx"])
-            raise
-        return Written(partition, name, records, tokens, size)
-
-    def commit(self, messages: list[Written]) -> None:
-        files = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
-        listed = [{"name": m.name, "records": m.records, "tokens": m.tokens, "size": m.size} for m in files]
-        store.publish(self.path, {"files": listed}, {f"{m.name}.{end}" for m in files for end in ("rec", "idx")})
-
-    def abort(self, messages: list[Written | None]) -> None:
-        store.clear(self.path)
+WRITTEN = "partition int, name string, records long, tokens long, size long"
+
+
+def write_part(path: str, batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch:
+    """Write the batches (key, ids, width) of this task as one file and its index; what the manifest must know of them."""
+    fs, root = store.at(path)
+    fs.create_dir(root)
+    partition = TaskContext.get().partitionId()
+    name = store.new_name("part", partition)
+    records = tokens = size = 0
+    try:
+        with fs.open_output_stream(f"{root}/{name}.rec") as out, fs.open_output_stream(f"{root}/{name}.idx") as index:
+            for batch in batches:
+                entries = []
+                for key, ids, width in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    entries.append(struct.pack("<QQ", size, tokens))
+                    framed = frame(pack(key, ids, width))
+                    out.write(framed)
+                    size += len(framed)
+                    tokens += len(ids) // width
+                records += len(entries)
+                index.write(b"".join(entries))
+            index.write(struct.pack("<QQ", size, tokens))
+    except BaseException:
+        store.remove(fs, [f"{root}/{name}.rec", f"{root}/{name}.idx"])
+        raise
+    return pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([name]), *[pa.array([n], pa.int64()) for n in (records, tokens, size)]],
+                                      names=["partition", "name", "records", "tokens", "size"])
 
 
 @dataclass
@@ -346,20 +328,28 @@ class RecordFiles(DataSource):
         return RecordReader(self.options["path"], None if seed is None else int(seed), self.options.get("with_ids", "true") == "true",
                             int(self.options.get("part_bytes", READ_BYTES)))
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> RecordWriter:
-        return RecordWriter(self.options["path"])
-
 
-def write_records(rows: DataFrame, path: str) -> None:
+def write_records(rows: DataFrame, path: str, encode=None) -> None:
     """Write key, ids (binary) and width of every row, a file per partition in order of the partitions.
 
-    Files count once the manifest lists them, so failed, repeated or speculative attempts never show. The folder must be one
-    that tasks and driver can reach.
+    With `encode`, a function over Arrow batches that gives those three columns, the same Python worker encodes and writes.
+    Every attempt of a task writes under a name of its own, a file counts once the manifest lists it, and one row a file
+    comes to the driver for that: failed, repeated or speculative attempts never show. The folder must be one that tasks
+    and driver can reach.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    spark.dataSource.register(RecordFiles)
-    rows.select("key", "ids", "width").write.format("token_records").mode("append").option("path", path).save()
+    ship(rows.sparkSession)
+    given = rows if encode is not None else rows.select("key", "ids", "width")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield write_part(path, batches if encode is None else encode(batches))
+
+    try:
+        rows_of_files = given.mapInArrow(run, WRITTEN).collect()
+    except BaseException:
+        store.clear(path)
+        raise
+    files = [{n: r[n] for n in ("name", "records", "tokens", "size")} for r in sorted(rows_of_files, key=lambda r: r.partition)]
+    store.publish(path, {"files": files}, {f"{f['name']}.{end}" for f in files for end in ("rec", "idx")})
 
 
 def read_records(spark: SparkSession, path: str, seed: int | None = None, with_ids: bool = True, part_bytes: int = READ_BYTES) -> DataFrame:
@@ -383,6 +373,6 @@ def records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | N
     if path is None:
         ensure_checkpoint_dir(spark)
         path = f"{spark.sparkContext.getCheckpointDir()}/records-{uuid.uuid4().hex}"
-    write_records(encode(docs, tokenizer_path, end_id, id_col, text_col), path)
+    write_records(in_order(docs, id_col, text_col), path, encoder(vocabulary(spark, tokenizer_path), end_id))
     kind = docs.schema[id_col].dataType
     return read_records(spark, path, with_ids=False).select(F.col("key").cast(kind).alias(id_col), "start", "n_tokens", "ids_crc32")
