@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediatimeline.session import ship
+from mediatimeline.session import settle, ship
 
 
 class Detector(Protocol):
@@ -30,25 +30,70 @@ def run_detectors(media: DataFrame, detectors: list[Detector]) -> dict[str, Data
     return out
 
 
-def apply_model(windows: DataFrame, load: Callable[[], Any], predict: Callable[[Any, pd.DataFrame], pd.DataFrame],
-                columns: list[str], keys: tuple[str, ...] = ("media_id", "win")) -> DataFrame:
-    """Label windows with a caller's model, loaded once per task and fed whole Arrow batches.
+LABELS = "label string, confidence double, probabilities map<string,double>"
+FAILURE = "error_type string, error_message string"
 
-    `predict(model, batch)` returns label, confidence and probabilities in the order of the batch.
-    Only the keys and `columns` travel to Python.
-    """
+
+def _labelled(windows: DataFrame, load: Callable[[], Any], predict: Callable[[Any, pd.DataFrame], pd.DataFrame], columns: list[str],
+              keys: tuple[str, ...], capture: bool) -> DataFrame:
     slim = windows.select(*keys, *columns)
     kept = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in keys)
+    names = ["label", "confidence", "probabilities"]
+
+    def found(model: Any, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Predictions of a batch; with `capture` a batch that raises is halved until the row at fault stands alone."""
+        own = batch[list(keys)].reset_index(drop=True)
+        try:
+            out = predict(model, batch).reset_index(drop=True)
+            if len(out) != len(batch):
+                raise ValueError(f"{len(out)} predictions for {len(batch)} rows")
+        except Exception as wrong:
+            if not capture:
+                raise
+            if len(batch) == 1:
+                yield own.assign(label=None, confidence=None, probabilities=None, error_type=type(wrong).__name__, error_message=str(wrong))
+                return
+            middle = len(batch) // 2
+            yield from found(model, batch.iloc[:middle].reset_index(drop=True))
+            yield from found(model, batch.iloc[middle:].reset_index(drop=True))
+            return
+        out = pd.concat([own, out[names]], axis=1)
+        yield out.assign(error_type=None, error_message=None) if capture else out
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for batch in batches:
             model = load() if model is None else model
-            found = predict(model, batch)
-            yield pd.concat([batch[list(keys)].reset_index(drop=True), found.reset_index(drop=True)], axis=1)
+            yield from found(model, batch)
 
     ship(slim.sparkSession)
-    return slim.mapInPandas(label, f"{kept}, label string, confidence double, probabilities map<string,double>")
+    return slim.mapInPandas(label, f"{kept}, {LABELS}" + (f", {FAILURE}" if capture else ""))
+
+
+def apply_model(windows: DataFrame, load: Callable[[], Any], predict: Callable[[Any, pd.DataFrame], pd.DataFrame],
+                columns: list[str], keys: tuple[str, ...] = ("media_id", "win")) -> DataFrame:
+    """Label windows with a caller's model, loaded once per task and fed whole Arrow batches.
+
+    `predict(model, batch)` returns label, confidence and probabilities in the order of the batch.
+    Only the keys and `columns` travel to Python. An exception of the model ends the job.
+    """
+    return _labelled(windows, load, predict, columns, keys, False)
+
+
+def try_model(windows: DataFrame, load: Callable[[], Any], predict: Callable[[Any, pd.DataFrame], pd.DataFrame],
+              columns: list[str], keys: tuple[str, ...] = ("media_id", "win"), source: str = "model") -> tuple[DataFrame, DataFrame]:
+    """(labels, errors): as `apply_model`, but rows on which the model raises become rows of errors.
+
+    A failing batch is halved down to the rows at fault, so all others get their labels; a bad row costs some more calls, the
+    logarithm of a batch. Errors: keys, tool_name, error_stage, error_type (class of the exception) and error_message. The
+    model runs once: its output is written to the checkpoint folder and read by both results. A model that cannot be
+    loaded still ends the job.
+    """
+    both = settle(_labelled(windows, load, predict, columns, keys, True))
+    labels = both.where("error_type is null").drop("error_type", "error_message")
+    errors = both.where("error_type is not null").select(
+        *keys, F.lit(source).alias("tool_name"), F.lit("predict").alias("error_stage"), "error_type", "error_message")
+    return labels, errors
 
 
 def fallback_rows(media: DataFrame, detected: DataFrame, source: str, key: str = "media_id") -> DataFrame:

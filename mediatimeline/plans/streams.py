@@ -94,6 +94,50 @@ def apply_model(c):
     return out.select("media_id", "ordinal", "label", F.round("confidence", 6).alias("confidence"))
 
 
+def _fragile(model, batch: pd.DataFrame) -> pd.DataFrame:
+    """The same model, which cannot read some rows and meets others that are out of its range."""
+    if (batch["energy"] > 0.49).any():
+        raise OverflowError("energy above 0.49")
+    if (batch["k"] % 17 == 3).any():
+        raise ValueError("cannot read the window")
+    return _predict(model, batch)
+
+
+def _tried(c):
+    return detectors.try_model(c.feat, _load, _fragile, ["energy", "k"], ("media_id", "ordinal"), "energy")
+
+
+@query(with_sql("ev", "feat") + """SELECT media_id, ordinal, 'energy' AS tool_name, 'predict' AS error_stage, CASE WHEN energy > 0.49 THEN 'OverflowError' ELSE 'ValueError' END AS error_type,
+  CASE WHEN energy > 0.49 THEN 'energy above 0.49' ELSE 'cannot read the window' END AS error_message FROM feat WHERE energy > 0.49 OR k % 17 = 3""")
+def model_errors(c):
+    """Rows on which a model raises, as error rows."""
+    return _tried(c)[1]
+
+
+@query(with_sql("ev", "feat") + """SELECT media_id, ordinal, CASE WHEN energy > 0.3 THEN 'loud' WHEN energy > 0.15 THEN 'medium' ELSE 'quiet' END AS label, round(energy * 2, 6) AS confidence
+FROM feat WHERE NOT coalesce(energy > 0.49 OR k % 17 = 3, false)""")
+def labels_beside_errors(c):
+    """The rows around them, all labelled."""
+    return _tried(c)[0].select("media_id", "ordinal", "label", F.round("confidence", 6).alias("confidence"))
+
+
+class _Over:
+    """A detector that marks rows whose column is over a limit."""
+
+    def __init__(self, source: str, column: str, limit: float):
+        self.source, self.column, self.limit = source, column, limit
+
+    def detect(self, media):
+        return media.where(F.col(self.column) > self.limit).select("media_id", "ordinal", "t", F.lit(self.source).alias("source"))
+
+
+@query(with_sql("ev", "feat") + """SELECT media_id, ordinal, round(t, 6) AS t, 'loud' AS source FROM feat WHERE energy > 0.4 UNION ALL SELECT media_id, ordinal, round(t, 6), 'bright' FROM feat WHERE centroid > 500""")
+def run_detectors(c):
+    """Two detectors over the same rows, their events together."""
+    found = detectors.run_detectors(c.feat, [_Over("loud", "energy", 0.4), _Over("bright", "centroid", 500.0)])
+    return found["loud"].unionByName(found["bright"]).withColumn("t", F.round("t", 6))
+
+
 @query("""SELECT doc_id AS media_id, CAST(0 AS DOUBLE) AS t, 'Analysis unavailable' AS description, 'internvl3' AS source, CAST(0.1 AS DOUBLE) AS confidence, greatest(CAST(30 AS DOUBLE), n_chars * 1000 / CAST(88000 AS DOUBLE)) AS duration
 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def fallback_rows(c):
