@@ -110,15 +110,23 @@ def spectrum_features(c):
     return out.select("vec_id", F.round("centroid", 4).alias("centroid"), F.round("bandwidth", 4).alias("bandwidth"))
 
 
-@query()
+WAVE_SQL = "WITH x AS (SELECT vec_id, len(embedding) AS n, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"
+
+
+@query(WAVE_SQL + """, m AS (SELECT vec_id, n, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) AS m FROM x, range(32) r(k) GROUP BY vec_id, n, k),
+a AS (SELECT vec_id, sum(m) AS s0, sum(m * k * 16000.0 / n) / sum(m) AS c FROM m GROUP BY vec_id),
+b AS (SELECT vec_id, n, k, m, k * 16000.0::DOUBLE / n AS f, s0, c, sum(m) OVER (PARTITION BY vec_id ORDER BY k) AS upto FROM m JOIN a USING (vec_id))
+SELECT vec_id, round(any_value(c), 3) AS centroid, round(sqrt(sum(m * pow(f - c, 2)) / any_value(s0)), 3) AS bandwidth, round(least(count(*) FILTER (upto < 0.85 * s0), 31) * 16000.0::DOUBLE / any_value(n), 3) AS rolloff FROM b GROUP BY vec_id""")
 def spectral_features(c):
     """Fourier features of each vector read as a short window of samples."""
-    return c.table("embeddings").select("vec_id", framing.spectral_features(16000.0)("embedding").alias("s")).select("vec_id", "s.*")
+    found = framing.short_spectral_features(c.table("embeddings"), "embedding", 16000.0)
+    return found.select("vec_id", *[F.round(f"s.{n}", 3).alias(n) for n in ("centroid", "bandwidth", "rolloff")])
 
 
-@query()
+@query(WAVE_SQL + """, p AS (SELECT a.vec_id, b.i - a.i AS lag, sum(a.x * b.x) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.i - a.i BETWEEN 7 AND 59 GROUP BY ALL)
+SELECT vec_id, 3000.0::DOUBLE / arg_max(lag, c) AS f0 FROM p GROUP BY vec_id""")
 def f0_autocorr(c):
-    return c.table("embeddings").select("vec_id", framing.f0_autocorr(3000.0)("embedding").alias("f0"))
+    return framing.short_f0(c.table("embeddings"), "embedding", 3000.0).select("vec_id", "f0")
 
 
 @query(with_sql("em") + """

@@ -249,6 +249,10 @@ def scene_offsets(c):
     return io.scene_offsets(scenes).select("media_id", "scene_id", "clip", "duration_seconds", "representative_timestamp")
 
 
-@query()
+@query(with_sql("ol_spans") + POINTS_SQL + """SELECT media_id, CAST(floor((ordinal - 1) / 1000) AS BIGINT) AS part, CAST(dense_rank() OVER (PARTITION BY media_id, floor((ordinal - 1) / 1000) ORDER BY ordinal) - 1 AS INTEGER) AS place,
+  printf('scene_%03d', ordinal) AS scene, frame, round(t, 6) AS t, printf('scene_%03d_', ordinal) || frame || '.jpg' AS path, type FROM pt""")
 def frame_metadata(c):
-    return io.frame_metadata(_points(c))
+    """The maps taken apart again: a scene's place among the entries of its row, and its three frames."""
+    entries = io.frame_metadata(_points(c)).select("media_id", "part", F.posexplode("scenes").alias("place", "scene", "frames"))
+    return entries.select("media_id", "part", "place", "scene", F.explode("frames").alias("frame", "v")).select(
+        "media_id", "part", "place", "scene", "frame", F.round("v.t", 6).alias("t"), "v.path", "v.type")

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,26 @@ def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "docs")
     documents.write_documents(spark.createDataFrame([], "media_id string, part bigint, document string"), path)
     assert stored(path) == [store.MANIFEST] and documents.read_documents(spark, path).collect() == []
+
+
+def test_failing_rows_become_errors(spark):
+    """A model that raises on some rows labels all others; each failing row is named once."""
+    calls = []
+
+    def predict(model, batch):
+        calls.append(len(batch))
+        if (batch["x"] % 97 == 5).any():
+            raise KeyError("five")
+        if (batch["x"] == 700).any():
+            return pd.DataFrame({"label": [], "confidence": [], "probabilities": []})  # loses rows
+        return pd.DataFrame({"label": [str(x) for x in batch["x"]], "confidence": 0.5, "probabilities": [{"a": 1.0}] * len(batch)})
+
+    rows = spark.range(1000).select(F.col("id").alias("media_id"), F.lit(0).alias("win"), F.col("id").alias("x"))
+    labels, errors = detectors.try_model(rows, lambda: None, predict, ["x"], source="m")
+    bad = {x for x in range(1000) if x % 97 == 5}
+    assert {r["media_id"]: r["label"] for r in labels.collect()} == {x: str(x) for x in range(1000) if x not in bad and x != 700}
+    got = {r["media_id"]: (r["tool_name"], r["error_type"]) for r in errors.collect()}
+    assert got == {x: ("m", "KeyError") for x in bad} | {700: ("m", "ValueError")}
+    assert detectors.try_model(rows.where("false"), lambda: None, predict, ["x"])[0].collect() == []
+    with pytest.raises(Exception, match="five"):
+        detectors.apply_model(rows, lambda: None, predict, ["x"]).collect()

@@ -6,8 +6,8 @@ from mediatimeline.plans.catalog import QUERIES as Q
 from tests.conftest import SMALL, plan_of
 
 # The only queries that may start Python workers.
-PYTHON = {"spectral_features", "f0_autocorr", "structural_segments", "apply_model"}
-EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar"}
+PYTHON = {"structural_segments", "apply_model"}
+EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar", "model_errors", "labels_beside_errors", "write_documents"}
 
 
 @pytest.mark.parametrize("name", sorted(set(Q) - EAGER))
