@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mediatimeline.functions.render import cosine
 from mediatimeline.operators.joins import nearest
 from mediatimeline.operators.ordered import NO_CUTS, Cuts, Track, attach, islands
-from mediatimeline.session import ensure_checkpoint_dir, settle, ship
+from mediatimeline.session import settle, ship
 
 # Words that may open a new sentence after an unfinished one (fixed values).
 OPENERS = ("And", "But", "So", "Now", "Then", "However")
@@ -172,19 +172,27 @@ def merge_round(scenes: DataFrame, vectors: DataFrame, threshold: float = 0.75,
 
 def merge_similar(scenes: DataFrame, vectors: DataFrame, threshold: float = 0.75, rounds: int = 5,
                   key: str = "media_id", cuts: Cuts = NO_CUTS) -> DataFrame:
-    """Repeat `merge_round` until nothing joins, at most `rounds` times.
+    """Repeat `merge_round` until nothing joins, at most `rounds` times, for each media on its own.
 
-    Each round is checkpointed: its plan would otherwise contain all earlier ones, and a lost
-    executor would redo them. Media that no longer change keep the round they settled in.
+    Only media that changed in a round go into the next, with their vectors; the others are done, and their
+    `stability_iterations` is the round in which nothing joined (or `rounds`). What else is in the call never changes a
+    media's rows. Each round is written once, so no plan contains the earlier ones and a lost executor redoes one round.
     """
-    ensure_checkpoint_dir(scenes.sparkSession)
-    current, iteration = scenes, 0
+    done: list[DataFrame] = []
+    active, seen = scenes, vectors
     for iteration in range(1, rounds + 1):
-        step = merge_round(current, vectors, threshold, key, cuts).checkpoint()
-        current = step.drop("merged")
-        if step.filter("merged").isEmpty():
+        step = settle(merge_round(active, seen, threshold, key, cuts)).withColumn("stability_iterations", F.lit(iteration))
+        changed = step.filter("merged").select(key).distinct()
+        if iteration == rounds or changed.isEmpty():
+            done.append(step.drop("merged"))
             break
-    return current.withColumn("stability_iterations", F.lit(iteration))
+        done.append(step.join(changed, key, "left_anti").drop("merged"))
+        active = step.join(changed, key, "left_semi").drop("merged", "stability_iterations")
+        seen = seen.join(changed, key, "left_semi")
+    out = done[0] if done else scenes.withColumn("stability_iterations", F.lit(0))
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def split_dissimilar(scenes: DataFrame, vectors: DataFrame, threshold: float = 0.25, shortest: float = 2.0,

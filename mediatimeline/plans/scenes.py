@@ -57,7 +57,27 @@ def merge_round(c):
     return segments.merge_round(c.em_scenes, c.em.select("media_id", "t", "ordinal", "embedding"), 0.1, cuts=c.em_cuts)
 
 
-@query()
+def rounds_sql(rounds: int = 5) -> str:
+    """All rounds for all media; a media that has settled stays as it is, and its round is the first one without a join."""
+    steps = [with_sql("em") + """, s0 AS (SELECT media_id, scene_id AS id, "start" AS s, "end" AS e, (scene_id % 10) / CAST(10 AS DOUBLE) AS c, 'normal' AS kind, 0 AS mc FROM em)"""]
+    for i in range(rounds):
+        steps.append(f"""
+v{i} AS (SELECT p.media_id, id, s, e, c, kind, mc, min_by(embedding, (abs(em.t - (s + e) / 2), em.t)) AS v FROM s{i} p JOIN em ON em.media_id = p.media_id GROUP BY ALL),
+x{i} AS (SELECT *, lead(v) OVER w AS nx, row_number() OVER w AS n FROM v{i} WINDOW w AS (PARTITION BY media_id ORDER BY s, id)),
+a{i} AS (SELECT *, coalesce({COS.format(a='v', b='nx')} > 0.1, FALSE) AS alike FROM x{i}),
+r{i} AS (SELECT *, coalesce(max(CASE WHEN NOT alike THEN n END) OVER (PARTITION BY media_id ORDER BY n), 0) AS stop FROM a{i}),
+j{i} AS (SELECT *, alike AND (n - stop) % 2 = 1 AS joins FROM r{i}),
+k{i} AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY media_id ORDER BY n), FALSE) AS taken FROM j{i}),
+m{i} AS (SELECT media_id FROM j{i} GROUP BY media_id HAVING bool_or(joins)),
+s{i + 1} AS MATERIALIZED (SELECT media_id, n - taken::INT AS id, min(s) AS s, max(e) AS e, min(c) AS c, CASE WHEN bool_or(joins OR taken) THEN 'merged' ELSE min_by(kind, n) END AS kind,
+  CAST(sum(mc) + max((joins OR taken)::INT) AS INTEGER) AS mc FROM k{i} GROUP BY media_id, n - taken::INT)""")
+    changed = " UNION ALL ".join(f"SELECT media_id FROM m{i}" for i in range(rounds))
+    return ",".join(steps) + f""", ch AS (SELECT media_id, count(*) AS times FROM ({changed}) GROUP BY media_id)
+SELECT f.media_id, id AS scene_id, s AS "start", e AS "end", c AS confidence, kind AS semantic_type, mc AS merge_count, 0 AS split_count,
+  CAST(least({rounds}, coalesce(times, 0) + 1) AS INTEGER) AS stability_iterations FROM s{rounds} f LEFT JOIN ch USING (media_id)"""
+
+
+@query(rounds_sql())
 def merge_similar(c):
     return segments.merge_similar(c.em_scenes, c.em.select("media_id", "t", "ordinal", "embedding"), 0.1, cuts=c.em_cuts)
 

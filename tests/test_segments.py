@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mediatimeline.operators import segments as seg
 from mediatimeline.operators.ordered import NO_CUTS, find_cuts
@@ -116,12 +117,15 @@ def test_merge_similar(spark, frames, rounds):
         scenes += [(m, i + 1, s, e, c, "normal", 0, 0) for i, (s, e, c, _) in enumerate(mine)]
         merged, n = greedy(mine, vs, 0.3, rounds)
         want += [(m, *x) for x in merged]
-        steps.append(n)
+        steps.append((m, n))
     sdf = spark.createDataFrame(scenes, "media_id int, scene_id bigint, start double, end double, confidence double, semantic_type string, merge_count int, split_count int")
     for cuts in (NO_CUTS, find_cuts(df, rows=10)):
         out = seg.merge_similar(sdf, df, 0.3, rounds, cuts=cuts).collect()
         assert sorted((r["media_id"], r["start"], r["end"], r["confidence"], r["merge_count"]) for r in out) == sorted(want)
-        assert {r["stability_iterations"] for r in out} == {max(steps)}
+        assert {(r["media_id"], r["stability_iterations"]) for r in out} == set(steps)
+        for m in vectors:  # alone or together, a media's rows are the same
+            alone = seg.merge_similar(sdf.where(F.col("media_id") == m), df, 0.3, rounds, cuts=cuts).collect()
+            assert sorted(map(str, alone)) == sorted(str(r) for r in out if r["media_id"] == m)
         assert all((r["semantic_type"] == "merged") == (r["merge_count"] > 0) for r in out)
 
 
