@@ -1,5 +1,6 @@
 """Sources and sinks: what is written is what is read."""
 
+import json
 import os
 
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions import detectors
 from mediatimeline.operators.ordered import NO_CUTS, find_cuts
-from mediatimeline.sources import documents, io, store
+from mediatimeline.sources import documents, io, store, timeline_files
 
 
 def timelines(spark):
@@ -149,3 +150,45 @@ def test_failing_rows_become_errors(spark):
     assert detectors.try_model(rows.where("false"), lambda: None, predict, ["x"])[0].collect() == []
     with pytest.raises(Exception, match="five"):
         detectors.apply_model(rows, lambda: None, predict, ["x"]).collect()
+
+
+def test_timeline_files(spark, tmp_path):
+    """Both generations are read; what is stored is what was given; files that are no timelines are named."""
+    path = tmp_path / "tl"
+    docs = spark.createDataFrame(
+        [("m1", "m1.wav", 7.5, 'He said "hi"\nthere', ["S1", "S2"], "en", 0.9, "2024-01-01T00:00:00", ["note"]), ("m 2", None, None, None, None, None, None, None, None)],
+        "media_id string, audio_file string, duration double, transcript string, speakers array<string>, language string, language_confidence double, created_at string, notes array<string>")
+    spans = spark.createDataFrame([("m1", 2, 3.0, 4.0, "Speech", "whisper", None, None, '{"librosa":{"rms":0.5,"v":[1,2]}}'), ("m1", 1, 0.0, 2.0, "Speech", "whisper", 0.5, '{"a":{"b":1}}', None)],
+                                  "media_id string, ordinal bigint, start double, end double, description string, source string, confidence double, details string, audio_features string")
+    spans = spans.withColumns({n: F.parse_json(n) for n in ("details", "audio_features")})
+    events = spark.createDataFrame(
+        [("m1", 1, 5, 1.5, "Word", "whisper", None, '{"word":"b"}'), ("m1", 1, 4, 0.5, "Word", "whisper", 0.7, '{"word":"a"}'), ("m1", None, 9, 6.0, "Beat", "librosa", None, None),
+         ("m1", None, 8, 6.0, "Beat", "librosa", 0.25, '{"n":[1,null]}')],
+        "media_id string, span_ordinal bigint, ordinal bigint, t double, description string, source string, confidence double, details string")
+    timeline_files.write_timeline_files(docs, spans, events.withColumn("details", F.parse_json("details")), str(path))
+    whole = json.loads((path / "m1.json").read_text())
+    assert whole["global_data"] == {"audio_file": "m1.wav", "duration": 7.5, "full_transcript": 'He said "hi"\nthere', "speakers": ["S1", "S2"], "language": "en", "language_confidence": 0.9}
+    assert [s["start"] for s in whole["timeline_spans"]] == [0.0, 3.0] and [e["details"]["word"] for e in whole["timeline_spans"][0]["events"]] == ["a", "b"]
+    assert whole["timeline_spans"][1]["audio_features"] == {"librosa": {"rms": 0.5, "v": [1, 2]}} and whole["timeline_spans"][1]["events"] == []
+    assert whole["metadata"] == {"created_at": "2024-01-01T00:00:00", "sources_used": ["librosa", "whisper"], "total_spans": 2, "total_events": 4, "span_events": 2,
+                                 "standalone_events": 2, "processing_notes": ["note"]}
+    (path / "flat.json").write_text(json.dumps({"source": "librosa", "audio_file": "f.wav", "total_duration": 9.0, "created_at": "x", "timeline": [
+        {"type": "span", "start": 1.0, "end": 2.0, "description": "Music", "category": "music", "source": "librosa", "confidence": 1.0, "details": {}},
+        {"type": "event", "timestamp": 1.5, "description": "Onset", "category": "sfx", "source": "librosa", "confidence": 0.5, "details": {"k": 1}}],
+        "summary": {"total_events": 1, "total_spans": 1}}, indent=2))
+    (path / "torn.json").write_text('{"global_data": {')
+    (path / "other.json").write_text('{"x": 1}')
+    (path / "empty.json").write_text("")
+    files = timeline_files.read_timeline_files(spark, str(path))
+    skipped = {r["file"]: r["problem"] for r in timeline_files.skipped_files(files).collect()}
+    assert skipped.items() >= {"torn.json": "not JSON", "other.json": "not a timeline"}.items() and not skipped.keys() & {"m1.json", "m=202.json", "flat.json"}
+    heads = {r["file"]: r for r in timeline_files.timeline_documents(files).collect()}
+    assert heads["m1.json"]["speakers"] == ["S1", "S2"] and heads["m1.json"]["notes"] == ["note"] and heads["m1.json"]["span_events"] == 2
+    assert heads["m=202.json"]["transcript"] == "" and heads["m=202.json"]["total_events"] == 0 and heads["flat.json"]["duration"] == 9.0 and heads["flat.json"]["total_spans"] == 1
+    got = timeline_files.timeline_spans(files).withColumn("rms", F.try_variant_get("audio_features", "$.librosa.rms", "double")).collect()
+    assert sorted((r["file"], r["span_no"], r["start"], r["confidence"], r["category"], r["rms"]) for r in got if r["file"] == "m1.json") == [("m1.json", 0, 0.0, 0.5, None, None), ("m1.json", 1, 3.0, None, None, 0.5)]
+    assert [(r["start"], r["category"]) for r in got if r["file"] == "flat.json"] == [(1.0, "music")]
+    seen = timeline_files.timeline_events(files).withColumn("d", F.to_json("details")).collect()
+    assert sorted((r["t"], r["span_no"] if r["span_no"] is not None else -1, r["d"]) for r in seen if r["file"] == "m1.json" and r["d"]) == [
+        (0.5, 0, '{"word":"a"}'), (1.5, 0, '{"word":"b"}'), (6.0, -1, '{"n":[1,null]}')]
+    assert [(r["t"], r["span_no"], r["d"]) for r in seen if r["file"] == "flat.json"] == [(1.5, None, '{"k":1}')]
