@@ -7,7 +7,7 @@ from tests.conftest import SMALL, plan_of
 
 # The only queries that may start Python workers.
 PYTHON = {"structural_segments", "apply_model"}
-EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar", "model_errors", "labels_beside_errors", "write_documents", "timeline_files"}
+EAGER = {n for n in Q if n.startswith("stream_")} | {"merge_similar", "model_errors", "labels_beside_errors", "write_documents", "timeline_files", "index_append"}
 
 
 @pytest.mark.parametrize("name", sorted(set(Q) - EAGER))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mediatimeline.functions import render, rows, rules
 from mediatimeline.operators import combine, library, rollups
+from mediatimeline.session import settle
 
 
 def one(spark, column, **values):
@@ -197,6 +198,28 @@ def test_index_parts(spark):
     assert len(parts) > 1 and sum(len(p["postings"]) for p in parts) == 200
 
 
+def test_index_append(spark):
+    """An index grown in steps has the postings of one made at once, in bounded blocks that don't overlap; few blocks are rewritten."""
+    rng = random.Random(1)
+    rows = [(f"m{s % 40:02d}", s, "topic", t) for s in range(2000) for t in ["all", *rng.sample("abcdef", 2)]] + [("m00", 0, "object", "all"), ("m00", 0, "topic", "all")]
+    df = spark.createDataFrame(rows, "media_id string, scene int, field string, term string")
+    index = settle(library.posting_blocks(df.where("media_id <> 'm07' and media_id <> 'm00'"), 50))
+    blocks, replaced = library.append_postings(index, df.where("media_id = 'm07'"), 50)
+    assert replaced.count() < index.count() / 4
+    grown = settle(library.with_appended(index, df.where("media_id = 'm07'"), 50))
+    grown = settle(library.with_appended(grown, df.where("media_id in ('m00', 'm07')"), 50))  # one of them again
+    want = {}
+    for m, s, f, t in rows:
+        want.setdefault((f, t), set()).add((m, s))
+    got = {}
+    for r in sorted(grown.collect(), key=lambda r: (r["kind"], r["term"], r["first"])):
+        own = [tuple(p) for p in r["postings"]]
+        assert own == sorted(own) and (own[0], own[-1]) == (tuple(r["first"]), tuple(r["last"])) and 0 < len(own) == r["scenes"] <= 50
+        assert not got.get((r["kind"], r["term"])) or got[r["kind"], r["term"]][-1] < own[0]
+        got.setdefault((r["kind"], r["term"]), []).extend(own)
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
 def test_log_and_objects(spark):
     lines = ["2024-01-01 10:00:00 Starting processing: a", "2024-01-01 10:10:00 Processing completed successfully. Processing time: 9.5 minutes",
              "2024-01-02 10:00:00 Starting processing: b", "2024-01-02 10:01:00 Processing failed. Error: CUDA: oom", "no time Processing failed"]
