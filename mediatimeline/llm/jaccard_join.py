@@ -24,7 +24,7 @@ PER_PART = 1.9  # shingles of the largest set of a band per partition
 STAR_ROUNDS = 3  # rounds in which every set is compared with one other set
 STAR_SHARE = 4  # one in so many signatures serves to choose these pairs; the search after them uses all
 BLOCK = 2_048  # sets of a family that are counted against as many others in one task
-DEALT_ROWS = 1_000_000  # signatures that a task gathers before it deals them out
+DEALT_ROWS = 400_000  # signatures that a task gathers before it deals them out
 BUCKET_ROWS = 1_000_000  # signatures in a bucket, on average
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
