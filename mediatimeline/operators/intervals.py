@@ -36,7 +36,7 @@ def assign_by_overlap(segments: DataFrame, turns: DataFrame, width: float, key:
     """
     right = turns.select(key, F.col("ordinal").alias("turn"), F.col("start").alias("r_start"),
                          F.col("end").alias("r_end"), F.col("speaker").alias("turn_speaker"))
-    pairs = overlaps(segments.select(key, "ordinal", "start", "end"), right, width, key, longest)
+    pairs = overlaps(segments.select(key, "ordinal", "start", "end"), right, width, key, longest, cuts)
     shared = F.least("end", "r_end") - F.greatest("start", "r_start")
     # max_by on (overlap, -turn): the earliest turn among equals.
     best = pairs.groupBy(key, "ordinal").agg(F.max_by(

@@ -94,14 +94,16 @@ def events_in_spans(events: DataFrame, spans: DataFrame, width: float, key: str
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: float, key: str = "media_id",
-             longest: float | None = None) -> DataFrame:
+             longest: float | None = None, cuts: Cuts = NO_CUTS) -> DataFrame:
     """Pairs of intervals of the same key that overlap by more than a point.
 
     Each interval is listed under the buckets it touches at the levels in use from its own
     upwards. A pair meets at the higher of its two levels, and is reported only in the bucket
     where its common part begins: it appears once and needs no duplicate removal. A bucket with
     very many intervals is split by adaptive execution, on either side.
-    Left has (start, end), right has (r_start, r_end); `longest` is as in `events_in_spans`.
+    Left has (start, end), right has (r_start, r_end); `longest` is as in `events_in_spans`. For hot groups (`cuts`, along
+    time) an interval is also listed under the segments that it reaches inside a bucket, and a pair is reported in the segment
+    where its common part begins.
     """
     a = left.filter(F.col("start") < F.col("end"))
     b = right.filter(F.col("r_start") < F.col("r_end"))
@@ -113,12 +115,24 @@ def overlaps(left: DataFrame, right: DataFrame, width: float, key: str = "media_
 
     def listed(df: DataFrame, start: str, end: str, own: str) -> DataFrame:
         if levels == [0]:
-            return _in_buckets(df.withColumns({own: F.lit(0), "_l": F.lit(0)}), start, end, size)
-        df = _on_levels(df.withColumn(own, _level(start, end, width, levels[-1])), levels)
-        return _in_buckets(df.filter(F.col("_l") >= F.col(own)), start, end, size)
-    on = [key, "_b"] if len(levels) == 1 else [key, "_l", "_b"]
+            df = df.withColumns({own: F.lit(0), "_l": F.lit(0)})
+        else:
+            df = _on_levels(df.withColumn(own, _level(start, end, width, levels[-1])), levels)
+        df = _in_buckets(df.filter(F.col("_l") >= F.col(own)), start, end, size)
+        if not cuts.hot:
+            return df
+        first, last = str(-(2**63)), str(2**63 - 1)
+        df = with_segment(df.withColumn("_w", size), cuts, **{
+            f"{own}s": (start, first), "_lo": (f"greatest({start}, _b * _w)", first), "_hi": (f"least({end}, (_b + 1) * _w)", last)})
+        # Widen by one segment each way: bucket edges are computed in floating point.
+        reach = F.expr("sequence(greatest(_lo - 1, 0), least(_hi + 1, if(_cuts is null, 0, size(_cuts))))")
+        return df.withColumn("_s", F.explode(reach)).drop("_cuts", "_coarse", "_lo", "_hi", "_w")
+
+    on = ([key, "_b"] if len(levels) == 1 else [key, "_l", "_b"]) + (["_s"] if cuts.hot else [])
     right_side = listed(b, "r_start", "r_end", "_lb")
     pairs = listed(a, "start", "end", "_la").join(right_side if "_l" in on else right_side.drop("_l"), on)
+    if cuts.hot:
+        pairs = pairs.filter(F.col("_s") == F.when(F.col("start") >= F.col("r_start"), F.col("_las")).otherwise(F.col("_lbs"))).drop("_s", "_las", "_lbs")
     return pairs.filter(
         (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
         & (F.col("_l") == F.greatest("_la", "_lb"))

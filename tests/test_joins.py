@@ -160,3 +160,21 @@ def test_regroup_speech(spark):
     events = intervals.speech_events(first.unionByName(rest), intervals.regroup_speech(df)).orderBy("t").collect()
     assert [(e["description"], e["word"], e["speaker"], e["prev_speaker"]) for e in events] == [
         ("Word", "a", "A", None), ("Word", "d", "A", None), ("Speaker Change", None, "B", "A")]
+
+
+def test_overlaps_split_along_cuts(spark):
+    """A hot media's intervals are spread over segments; every pair comes out once, wherever the cuts lie."""
+    rng = random.Random(8)
+    left = [(m, i, s, s + rng.choice([0.0, 0.5, 3.0, 40.0])) for m in (1, 2) for i, s in enumerate(rng.choice([5.0, rng.uniform(0, 60)]) for _ in range(120 if m == 1 else 6))]
+    right = [(m, i, s, s + rng.choice([0.0, 1.0, 9.0])) for m in (1, 2, 3) for i, s in enumerate(rng.choice([5.0, 6.0, rng.uniform(0, 60)]) for _ in range(90))]
+    a = spark.createDataFrame(left, "media_id int, ordinal bigint, start double, end double")
+    b = spark.createDataFrame(right, "media_id int, turn bigint, r_start double, r_end double")
+    want = sorted((m, i, j) for m, i, s, e in left for n, j, x, y in right if m == n and s < e and x < y and s < y and x < e)
+    cuts = find_cuts(a, by=("start", "ordinal"), rows=12)
+    assert cuts.hot
+    for longest in (None, 40.0):
+        for given in (NO_CUTS, cuts):
+            got = overlaps(a, b, 2.0, longest=longest, cuts=given)
+            assert sorted((r["media_id"], r["ordinal"], r["turn"]) for r in got.collect()) == want
+    assert "_s" not in overlaps(a, b, 2.0, cuts=cuts).columns
+    assert len(overlaps(a, b, 2.0, longest=40.0, cuts=cuts).columns) == 7
