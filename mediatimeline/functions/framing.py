@@ -191,7 +191,7 @@ def short_spectral_features(windows: DataFrame, samples: str, sample_rate: float
     n = F.size("_x")
 
     def part(k: Column, wave) -> Column:
-        return _total(F.transform("_x", lambda v, i: v * wave(k * i * (2 * math.pi) / n)))
+        return _total(F.transform("_x", lambda v, i: v * wave(F.try_divide(k * i * (2 * math.pi), n))))
 
     def magnitude(k: Column) -> Column:
         re, im = part(k, F.cos), part(k, F.sin)
@@ -199,11 +199,11 @@ def short_spectral_features(windows: DataFrame, samples: str, sample_rate: float
 
     half = F.floor(n / 2).cast("int")
     spectrum = F.when(half > 0, F.transform(F.sequence(F.lit(0), half - 1), magnitude)).otherwise(F.array().cast("array<double>"))
-    step = F.lit(sample_rate) / n
+    step = F.try_divide(F.lit(sample_rate), n)
     total, centre = F.col("_total"), F.col("_centre")
     framed = windows.withColumn("_x", x).withColumn("_m", spectrum).withColumn("_total", _total(F.col("_m")))
-    framed = framed.withColumn("_centre", _total(F.transform("_m", lambda m, k: m * k)) * step / total)
-    spread = F.sqrt(_total(F.transform("_m", lambda m, k: m * F.pow(k * step - centre, 2.0))) / total)
+    framed = framed.withColumn("_centre", F.try_divide(_total(F.transform("_m", lambda m, k: m * k)) * step, total))
+    spread = F.sqrt(F.try_divide(_total(F.transform("_m", lambda m, k: m * F.pow(k * step - centre, 2.0))), total))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below"))
     below = F.aggregate("_m", start, lambda a, m: F.struct(
         (a["sum"] + m).alias("sum"), (a["below"] + F.when(a["sum"] + m < total * 0.85, 1).otherwise(0)).alias("below")))["below"]
