@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mediatimeline.llm.common import by_bytes, ids_and_texts, safe_units, vocabulary
+from mediatimeline.llm.common import by_bytes, giving_back, ids_and_texts, safe_units, vocabulary
 from mediatimeline.session import ship
 
 LEAF_CHARS = 512
@@ -123,6 +123,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     schema = T.StructType([rows.schema["id"], T.StructField("n_tokens", T.LongType()), *[T.StructField(n, t) for n, t in more]])
     names = schema.names
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in by_bytes(batches, 1 << 20):
@@ -151,6 +152,7 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     chosen = rows.select(rows[id_col].alias("id"), rows[ids_col].alias("ids"))
     schema = T.StructType([chosen.schema["id"], T.StructField("text", T.StringType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mediatimeline.llm.common import by_bytes, ids_and_texts, whole_rows
+from mediatimeline.llm.common import by_bytes, giving_back, ids_and_texts, whole_rows
 from mediatimeline.session import settle, ship
 
 WORDS = 5
@@ -155,6 +155,7 @@ def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
     schema = T.StructType([docs.schema["id"], docs.schema["text_hash"], T.StructField("set", T.LongType()), T.StructField("size", T.IntegerType()),
                            T.StructField("own", T.IntegerType()), T.StructField("next", T.IntegerType()), T.StructField("sure", T.BooleanType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             rows = []
@@ -175,6 +176,7 @@ def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets
     Copies that one task meets again are left out there.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
@@ -246,6 +248,7 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     A task keeps one entry a signature of the bucket it is at, so a signature that very many sets have costs no memory.
     """
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, met, waiting = None, Met(), 0
         sigs: list[np.ndarray] = []
@@ -312,6 +315,7 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     picked = docs.join(names, docs["id"].eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
     schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             found = [(key, s.tobytes()) for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words))
@@ -329,6 +333,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = both.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b")), "b").select("a", "b", "of_a", "of_b")
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediatimeline.llm.common import by_bytes, hash_unit, whole_rows
+from mediatimeline.llm.common import by_bytes, giving_back, hash_unit, whole_rows
 from mediatimeline.session import ship
 
 SAMPLE_ROWS = 4_000  # labelled texts that the fit uses, shared equally by the languages
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("draw", T.DoubleType()), T.StructField("bits", T.BinaryType())])
     width = sum(SIZES)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, column=0):
             found = []
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     schema = T.StructType([*[rows.schema[i + 1] for i in range(len(keep))], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         present = np.zeros((ROWS, sum(SIZES)), np.uint8)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediatimeline.llm.common import by_bytes, ids_and_texts, whole_rows
+from mediatimeline.llm.common import by_bytes, giving_back, ids_and_texts, whole_rows
 from mediatimeline.session import ship
 
 SYMBOLS = "#*$%&|<>"
@@ -141,6 +141,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([rows.schema["id"], *rows.schema.fields[2:], *[T.StructField(n, t) for n, t in FIELDS]])
     names = schema.names
 
+    @giving_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=level)
         for batch in by_bytes(batches):
