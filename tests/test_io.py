@@ -152,6 +152,25 @@ def test_failing_rows_become_errors(spark):
         detectors.apply_model(rows, lambda: None, predict, ["x"]).collect()
 
 
+def test_many_failing_rows_cost_few_calls(spark, tmp_path):
+    """One file is dealt to several tasks, a bad row costs about one call, and a batch comes back as one frame."""
+    spark.range(20000).select("id", (F.col("id") % 50).alias("x")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def predict(model, batch):
+        calls.add(1)
+        if (batch["x"] % 10 == 3).any():
+            raise ValueError("three")
+        return pd.DataFrame({"label": [str(x) for x in batch["x"]], "confidence": 0.5, "probabilities": [{"a": 1.0}] * len(batch)})
+
+    rows = spark.read.parquet(str(tmp_path / "in")).select(F.col("id").alias("media_id"), F.lit(0).alias("win"), "x")
+    labels, errors = detectors.try_model(rows, lambda: None, predict, ["x"])
+    assert labels.count() == 18000 and errors.count() == 2000
+    assert labels.where("label <> cast(media_id % 50 as string)").count() == 0 and errors.where("media_id % 10 <> 3").count() == 0
+    assert calls.value < 1.5 * 2000
+    assert len([f for f in labels.inputFiles() if f.endswith(".parquet")]) > 1
+
+
 def test_timeline_files(spark, tmp_path):
     """Both generations are read; what is stored is what was given; files that are no timelines are named."""
     path = tmp_path / "tl"
