@@ -112,6 +112,25 @@ def test_documents(spark, tmp_path):
     assert {r["media_id"]: r["document"] for r in documents.read_documents(spark, path).collect()} == want | {"m1": "new", "m9": "x"}
 
 
+def test_document_folders(spark, tmp_path):
+    """Files in sub-folders: the manifest, the commit messages and Spark's reader know folders, not files."""
+    path = str(tmp_path / "docs")
+    rows = [(m, p, f"{m} {p}") for m in [*map(str, range(500)), "a/b", "", None] for p in (1, 0)]
+    frame = spark.createDataFrame(rows, "media_id string, part bigint, document string")
+    documents.write_documents(frame, path, folders=True)
+    folders = store.manifest(path)["folders"]
+    assert 0 < len(folders) <= 8 and sorted(x for x in stored(path) if not x.endswith(".crc")) == sorted([*folders, store.MANIFEST])
+    assert os.path.getsize(f"{path}/{store.MANIFEST}") < 500
+    got = [(r["file"], r["document"]) for r in documents.read_folders(spark, path).collect()]
+    assert sorted(got) == sorted((documents.file_name(m), f"{m} 0\n{m} 1") for m in {r[0] for r in rows})
+    with pytest.raises(Exception, match="already"):
+        documents.write_documents(frame, path, folders=True)
+    assert sorted((r["file"], r["document"]) for r in documents.read_folders(spark, path).collect()) == sorted(got)
+    empty = str(tmp_path / "none")
+    documents.write_documents(frame.where("false"), empty, folders=True)
+    assert documents.read_folders(spark, empty).collect() == []
+
+
 def test_failed_write_leaves_no_document(spark, tmp_path):
     path = str(tmp_path / "docs")
     broken = F.when(F.col("id") == 55, F.raise_error(F.lit("broken"))).otherwise("text")
