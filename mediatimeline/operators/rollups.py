@@ -31,11 +31,12 @@ def timeline_totals(spans: DataFrame, span_events: DataFrame, events: DataFrame,
 
 
 def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "demucs_combined", part_rows: int = 10_000,
-                   cuts: Cuts = NO_CUTS) -> DataFrame:
+                   cuts: Cuts = NO_CUTS, whole: bool = False) -> DataFrame:
     """Combined speakers, sources, notes and transcript of the timelines of each media.
 
     Timelines: (key, ordinal, source, transcript, speakers, notes). A media has a handful of them, so
-    one row; transcripts and notes of more than `part_rows` timelines come in parts.
+    one row; transcripts and notes of more than `part_rows` timelines come in parts. `whole` puts the parts of a media into
+    one row all the same: its transcript must stay under 2 GB, the most a value can hold, and a task needs a few times that.
     """
     sets = timelines.withColumn("_speaker", F.explode_outer("speakers")).groupBy(key).agg(
         F.array_sort(F.collect_set("_speaker")).alias("speakers"),
@@ -46,6 +47,12 @@ def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "de
     spoken = F.filter(F.transform("_texts", lambda x: x["transcript"]), lambda x: x != "")
     texts = texts.select(key, "part", F.array_join(spoken, " ").alias("transcript"),
                          F.flatten(F.transform("_texts", lambda x: x["notes"])).alias("notes"))
+    if whole:
+        # Parts do not shrink before the shuffle, so they are moved first and gathered once.
+        parts = texts.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "transcript", "notes"))).alias("_parts"))
+        said = F.filter(F.transform("_parts", lambda p: p["transcript"]), lambda x: x != "")
+        texts = parts.select(key, F.lit(0).cast("bigint").alias("part"), F.array_join(said, " ").alias("transcript"),
+                             F.flatten(F.transform("_parts", lambda p: p["notes"])).alias("notes"))
     return sets.join(texts, key)
 
 

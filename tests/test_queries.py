@@ -43,6 +43,16 @@ def test_query_with_hot_media(tight, con, name):
     run(tight, con, name)
 
 
+def test_merge_metadata_of_a_large_media(spark, tmp_path):
+    """One row per media, as in its SQL, also for a media of more timelines than a part holds."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE documents AS SELECT i AS doc_id, CASE WHEN i % 7 = 0 OR i BETWEEN 10000 AND 20500 THEN '' ELSE 'text ' || i END AS text,
+        CASE i % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS lang, CASE WHEN i % 50 = 0 THEN 's1' ELSE 's0' END AS source FROM range(25000) t(i)""")
+    con.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    out = compare(QUERIES["merge_metadata"](spark, str(tmp_path)), con, SQL["merge_metadata"])
+    assert out == "ok 2 rows", out
+
+
 def test_everything_is_registered():
     assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
