@@ -1,6 +1,7 @@
 """Row rules, classifiers and texts on hand-made rows."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,16 @@ def test_index_append(spark):
     assert got == {k: sorted(v) for k, v in want.items()}
 
 
+def test_index_append_is_linear(spark):
+    """Postings of one term are placed in one pass: no frame runs to the end of its group from each row."""
+    df = spark.range(600_000).select(F.lit("m").alias("media_id"), F.col("id").cast("int").alias("scene"), F.lit("topic").alias("field"), F.lit("all").alias("term"))
+    index = settle(library.posting_blocks(df.where("scene % 3 <> 0 and scene > 100"), 64))
+    start = time.time()
+    blocks, replaced = library.append_postings(index, df.where("scene % 3 = 0"), 64)
+    assert blocks.agg(F.sum("scenes")).first()[0] == 200_000 + index.agg(F.sum("scenes")).first()[0] and replaced.count() == index.count()
+    assert blocks.agg(F.min("first.scene_id")).first()[0] == 0 and time.time() - start < 60
+
+
 def test_log_and_objects(spark):
     lines = ["2024-01-01 10:00:00 Starting processing: a", "2024-01-01 10:10:00 Processing completed successfully. Processing time: 9.5 minutes",
              "2024-01-02 10:00:00 Starting processing: b", "2024-01-02 10:01:00 Processing failed. Error: CUDA: oom", "no time Processing failed"]
