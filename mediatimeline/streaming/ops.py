@@ -60,13 +60,19 @@ class InOrder(StatefulProcessor):
     reaches the earliest waiting row; then the slices behind the watermark are taken out, and at most one is cut in two.
     So a trigger writes new rows, rows that became ready and their slices, whatever else is waiting. A row behind the
     watermark is dropped when it arrives.
+
+    New rows that are `late` or more older than the latest of the trigger wait in one slot (AGED), however many slices they
+    span: the watermark is past them after this trigger, so the slot is taken out as a whole. Replaying a long history costs
+    two calls to the state store for a key, not two for each slice of its time.
     """
 
+    AGED = -2**62
+
     carried: str  # schema of what goes from one run to the next
     start: tuple
 
     def __init__(self, key: str, slice_us: int):
-        self.key, self.slice_us = key, max(1000, slice_us)
+        self.key, self.slice_us, self.late_us = key, max(1000, slice_us), slice_us * SLICES
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -78,38 +84,58 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        fresh = pd.concat([r.loc[r["at"] >= passed, ["at", "ordinal", "label"]] for r in rows])
-        for number, part in fresh.groupby(fresh["at"] // self.slice_us):
-            columns = [part[c].tolist() for c in ("at", "ordinal", "label")]
-            slot = (int(number),)
-            if self.waiting.containsKey(slot):
-                columns = [[*old, *new] for old, new in zip(self.waiting.getValue(slot), columns)]
-            self.waiting.updateValue(slot, tuple(columns))
-        if len(fresh):
-            self.handle.registerTimer(int(fresh["at"].min()) // 1000 + 1)
+        at, ordinal, label = [], [], []
+        for r in rows:
+            at.append(r["at"].to_numpy())
+            ordinal.append(r["ordinal"].to_numpy())
+            label.append(r["label"].to_numpy(dtype=object))
+        at, ordinal, label = (np.concatenate(x) if len(x) > 1 else x[0] for x in (at, ordinal, label))
+        if at.min() < passed:
+            kept = at >= passed
+            at, ordinal, label = at[kept], ordinal[kept], label[kept]
+        if len(at):
+            # The watermark of the next trigger is the latest row of this one, of any key, less `late`: in whole milliseconds.
+            numbers = np.where(at < (int(at.max()) // 1000) * 1000 - self.late_us, self.AGED, at // self.slice_us)
+            for number in np.unique(numbers).tolist():
+                own = numbers == number
+                columns = [at[own].tolist(), ordinal[own].tolist(), label[own].tolist()]
+                if self.waiting.containsKey((number,)):
+                    columns = [[*old, *new] for old, new in zip(self.waiting.getValue((number,)), columns)]
+                self.waiting.updateValue((number,), tuple(columns))
+            self.handle.registerTimer(int(at.min()) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        slices = sorted(k[0] for k in self.waiting.keys())
-        ready = []
-        for number in slices:
-            if number * self.slice_us >= passed:
+        slots = sorted(k[0] for k in self.waiting.keys())
+        ready: list[list] = [[], [], []]
+        for number in slots:
+            if number != self.AGED and number * self.slice_us >= passed:
                 self.handle.registerTimer(number * self.slice_us // 1000 + 1)
                 break
-            rows = pd.DataFrame(dict(zip(("at", "ordinal", "label"), map(list, self.waiting.getValue((number,))))))
-            behind = rows["at"] < passed
-            ready.append(rows[behind])
-            rest = rows[~behind]
-            if len(rest):
-                if behind.any():
-                    self.waiting.updateValue((number,), tuple(rest[c].tolist() for c in ("at", "ordinal", "label")))
-                self.handle.registerTimer(int(rest["at"].min()) // 1000 + 1)
-                break
-            self.waiting.removeKey((number,))
-        ready = [r for r in ready if len(r)]
-        if ready:
-            ordered = pd.concat(ready).sort_values(["at", "ordinal"], kind="stable").reset_index(drop=True)
+            columns = [list(c) for c in self.waiting.getValue((number,))]
+            if max(columns[0]) < passed:
+                self.waiting.removeKey((number,))
+                rest = None
+            else:
+                behind = [x < passed for x in columns[0]]
+                rest = [[x for x, b in zip(c, behind) if not b] for c in columns]
+                if any(behind):
+                    self.waiting.updateValue((number,), tuple(rest))
+                    columns = [[x for x, b in zip(c, behind) if b] for c in columns]
+                else:
+                    columns = [[], [], []]
+            for all_of, more in zip(ready, columns):
+                all_of.extend(more)
+            if rest:
+                self.handle.registerTimer(min(rest[0]) // 1000 + 1)
+                if number != self.AGED:
+                    break
+        if ready[0]:
+            # Object labels keep null as None.
+            ordered = pd.DataFrame({"at": ready[0], "ordinal": ready[1], "label": pd.Series(ready[2], dtype=object)})
+            if len(ordered) > 1:
+                ordered = ordered.sort_values(["at", "ordinal"], kind="stable", ignore_index=True)
             carried, out = self.run(self.last.get() if self.last.exists() else self.start, ordered)
             self.last.update(carried)
             out.insert(0, self.key, key[0])

@@ -118,3 +118,18 @@ def test_state_written_per_trigger(spark, tmp_path):
     written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
     assert sum(seen) == 799 and len(written) >= 10  # rows before second 3999 - 3200
     assert max(written) <= 2 * (400 // 200 + 2) + 4  # two slices of new rows, two or three that are taken out, the last label, a timer
+
+
+def test_replay_of_a_long_history(spark, tmp_path):
+    """Rows far behind the latest of their trigger wait in one slot, however long their time is; results stay the same."""
+    rows = [(1 + i % 2, i, float(i), "ab"[i // 2 % 2]) for i in range(4000)]
+    folder = str(tmp_path / "in")
+    write(spark, rows, folder, [list(range(3999, -1, -1))])
+    result = ops.label_changes(stream(spark, folder), "at", "100 seconds")  # a slice is 6.25 s
+    got = []
+    query = (result.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+             .foreachBatch(lambda df, n: got.extend(r["ordinal"] for r in df.collect())).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sorted(got) == [i for i in range(4000) if i < 3899]
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(written) <= 2 * (ops.SLICES + 6)
