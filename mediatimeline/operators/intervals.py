@@ -21,9 +21,11 @@ def later_span_wins(assigned: DataFrame, by: str = "time", key: str = "media_id"
     combining picks the winner, so an instant with many rows does not gather in one task.
     """
     group = [key, "t"] if by == "time" else [key, "t", "ordinal"]
-    row = F.struct(*[c for c in assigned.columns if c not in group])
-    rank = F.struct("start", "span_ordinal", "ordinal")
-    best = assigned.groupBy(*group).agg(F.max_by(row, rank).alias("_best"))
+    order = [c for c in ("start", "span_ordinal", "ordinal") if c not in group]
+    others = [c for c in assigned.columns if c not in group and c not in order]
+    rank = F.struct(*order)
+    # Where the order is all there is to a row, its greatest value is the row: half as much to move.
+    best = assigned.groupBy(*group).agg((F.max_by(F.struct(*order, *others), rank) if others else F.max(rank)).alias("_best"))
     return best.select(*group, "_best.*").select(*assigned.columns)
 
 

@@ -33,3 +33,12 @@ def test_one_shuffle(spark, name, shuffles):
 def test_scan_is_pruned(spark):
     plan = plan_of(Q["gated_label_change"](spark, SMALL))
     assert "value" not in plan.split("ReadSchema: ")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("name", ["later_span_wins", "later_span_wins_per_event"])
+def test_winning_rows_are_moved_once(spark, name):
+    """The winner's order is its row: no copy of it travels beside; line items are numbered before their join."""
+    plan = plan_of(Q[name](spark, SMALL))
+    assert "max_by" not in plan
+    join = min(n for n, line in enumerate(plan.splitlines()) if "l_orderkey" in line and "Join" in line)
+    assert not any("l_suppkey" in line for line in plan.splitlines()[:join + 1])
