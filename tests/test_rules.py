@@ -260,3 +260,17 @@ def test_error_rate_slides(spark):
         before, last = level, pane
     assert got == want and got[0] == (25, "warning") and (300, "critical") in got and (301, "critical") not in got and (340, "critical") in got
     assert rollups.error_rate_alerts(df.where("false"), F.col("bad")).collect() == []
+
+
+def test_sets_of_lists_move_no_row_per_term(spark):
+    """Lists of terms give the sets that rows of terms give, also for a scene on several rows, without a row a term."""
+    scenes = spark.createDataFrame([("m", 1, "b a a", "x"), ("m", 1, "c", None), ("n", 2, "a c b", "x"), ("n", 3, None, None), (None, 4, "b", None)],
+                                   "media_id string, scene int, words string, lang string")
+    words = F.split("words", " ")
+    lists = library.term_lists(scenes, {"text": words, "topic": F.array("lang")})
+    rows = library.scene_terms({"text": scenes.withColumn("term", F.explode(words)), "topic": scenes.withColumn("term", F.col("lang"))})
+    named = library.named_sets(lists)
+    got = {(r["media_id"], r["scene"]): (r["terms"], r["set_id"]) for r in named.collect()}
+    assert got == {(r["media_id"], r["scene"]): (r["terms"], r["set_id"]) for r in library.named_sets(rows).collect()}
+    assert len(got) == 3 and got["m", 1] == got["n", 2] and got["m", 1][0] == ["text\x01a", "text\x01b", "text\x01c", "topic\x01x"]
+    assert "Generate" not in named._jdf.queryExecution().toString()
