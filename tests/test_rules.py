@@ -274,3 +274,18 @@ def test_sets_of_lists_move_no_row_per_term(spark):
     assert got == {(r["media_id"], r["scene"]): (r["terms"], r["set_id"]) for r in library.named_sets(rows).collect()}
     assert len(got) == 3 and got["m", 1] == got["n", 2] and got["m", 1][0] == ["text\x01a", "text\x01b", "text\x01c", "topic\x01x"]
     assert "Generate" not in named._jdf.queryExecution().toString()
+
+
+def test_pairs_are_looked_at_where_sets_meet(spark, monkeypatch):
+    """No pair is joined with marks, however many meet; sets divided into many blocks give the same pairs."""
+    rng = random.Random(6)
+    rows, base = [], [f"t{i}" for i in range(3000)]
+    for i in range(80):
+        own = set(rng.sample(base, rng.randint(300, 1500))) if i % 3 else set(base[i:i + 1200]) - set(rng.sample(base, 200))
+        rows += [(f"m{i % 5}", i, "text", t) for t in own]
+    monkeypatch.setattr("mediatimeline.operators.pairs.BLOCK_BYTES", 20_000)
+    found, want = _crossed(spark, rows, 0.5, {})
+    assert found == want and want
+    marked = settle(library.marked_sets(library.term_sets(spark.createDataFrame(rows, "media_id string, scene int, field string, term string"))[1]))
+    pairs = library.candidate_pairs(marked, 0.5)
+    assert pairs.count() <= 1.2 * len(want) and "Join" not in pairs._jdf.queryExecution().toString()
