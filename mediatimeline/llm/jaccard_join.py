@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -23,11 +23,16 @@ FIRST_TOP = 256  # sets up to this size use one partition per shingle; above it
 PER_PART = 1.9  # shingles of the largest set of a band per partition
 STAR_ROUNDS = 3  # rounds in which every set is compared with one other set
 STAR_SHARE = 4  # one in so many signatures serves to choose these pairs; the search after them uses all
+AGAIN = 0.8  # the search between components is narrowed a second time if the first one leaves less than this of the signatures it looks at
 BLOCK = 2_048  # sets of a family that are counted against as many others in one task
 DEALT_ROWS = 400_000  # signatures that a task gathers before it deals them out
-BUCKET_ROWS = 1_000_000  # signatures in a bucket, on average
+BUCKET_BYTES = 32_000_000  # text whose signatures make a bucket, on average
+MOST_BUCKETS = 1 << 15  # beyond, buckets get larger
+SIG_BYTES = 6  # of a signature travel; two of a bucket that differ meet with odds of 1 to 2**43, and a pair too much is compared in vain
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
+ROW_KINDS = [("text_hash", pa.int64()), ("set", pa.int64()), ("size", pa.int32()), ("own", pa.int32()), ("next", pa.int32()), ("sure", pa.bool_())]
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
                  0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
@@ -90,7 +95,7 @@ class Bands:
 
     Bands of sizes, by the larger set, have partition counts of their own; a set has signatures in its own band and, as
     the smaller one, in the band of its largest partner. There are enough partitions for the bound and a margin of several
-    deviations of the number of empty ones; that the bound holds is checked for every set, see `members`.
+    deviations of the number of empty ones; that the bound holds is checked for every set, see `dealt_rows`.
     """
 
     def __init__(self, percent: int = PERCENT):
@@ -124,14 +129,6 @@ def parts_of(mixed: np.ndarray, parts: int) -> np.ndarray:
     return (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
 
 
-def signature_counts(shingles: np.ndarray, bands: Bands, salt: int) -> list[int]:
-    """How many signatures a set has in each of its bands: its partitions that aren't empty."""
-    size = len(shingles)
-    mixed = salted(shingles, salt) if size else shingles
-    return [np.count_nonzero(np.bincount(parts_of(mixed, bands.parts(band)).astype(np.int64))) if band else size
-            for band in (bands.bands(size) if size else [])]
-
-
 def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int, np.ndarray]]:
     """(band, signatures) of a set; the last five bits of a signature are the band."""
     found = []
@@ -141,7 +138,7 @@ def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int,
         mixed = whole
         if band:
             part = parts_of(mixed, bands.parts(band))
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part)
             part, mixed = part[order], mixed_bits(mixed[order] ^ _ODD[4])
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             mixed = mixed_bits(np.add.reduceat(mixed, starts) + (part[starts] + np.uint64(1)) * _ODD[3])
@@ -149,32 +146,18 @@ def signatures(shingles: np.ndarray, bands: Bands, salt: int) -> list[tuple[int,
     return found
 
 
-def members(docs: DataFrame, bands: Bands, words: int, salt: int) -> DataFrame:
-    """id, text_hash, set (null: no shingles), size, counts of signatures (own band, next band), and whether the bound holds."""
-    docs = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = T.StructType([docs.schema["id"], docs.schema["text_hash"], T.StructField("set", T.LongType()), T.StructField("size", T.IntegerType()),
-                           T.StructField("own", T.IntegerType()), T.StructField("next", T.IntegerType()), T.StructField("sure", T.BooleanType())])
-
-    @giving_back
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            rows = []
-            for shingles in shingle_sets(batch.column(1), words):
-                counts = [int(n) for n in signature_counts(shingles, bands, salt)]
-                sure = min(counts, default=0) > bands.most_different(len(shingles))
-                rows.append((set_key(shingles) if len(shingles) else None, len(shingles), *(counts + [0, 0])[:2], sure))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets: int) -> DataFrame:
-    """bucket, sigs and sets: the signatures of every set with the set's number, dealt by signature into buckets, many in a row.
+def dealt_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets: int) -> DataFrame:
+    """All that one look at the texts gives; each row has `sigs` and `sets`, or `row`.
 
-    Copies that one task meets again are left out there.
+    * `sigs` and `sets`: the signatures of a `bucket` and their sets' numbers, in one order, many in a row. A signature's highest bits
+      give its bucket and don't travel (SIG_BYTES). Copies that one task meets again are left out there.
+    * `row` with `sure`: id, text_hash, set (null: no shingles) and size of a text, and whether the bound holds for its set. `key` and
+      `bucket` only spread these rows.
+    * `row` with `own` and `next`: how many signatures the set `key` has in its band and in the next one, once a task.
     """
+    docs = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("key", T.LongType()), T.StructField("sigs", T.BinaryType()),
+                           T.StructField("sets", T.BinaryType()), row_field(docs.schema["id"].dataType)])
 
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,24 +165,53 @@ def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets
         sigs: list[np.ndarray] = []
         keys: list[np.ndarray] = []
 
+        def batch_of(bucket: np.ndarray, key=None, sigs=None, sets=None, row=None) -> pa.RecordBatch:
+            # The first batch names the type of the ids, which only the input knows.
+            columns = [bucket, key, sigs, sets, row]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), row_kind]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(bucket), k) if c is None else c if isinstance(c, pa.Array) else pa.array(c, k)
+                                               for c, k in zip(columns, kinds)], names=schema.names)
+
         def deal() -> pa.RecordBatch:
             sig, key = np.concatenate(sigs), np.concatenate(keys)
-            bucket = parts_of(mixed_bits(sig ^ _ODD[1]), buckets).astype(np.int64)
+            bucket = ((sig >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)  # numbers of 16 bits sort fast
             order = np.argsort(bucket, kind="stable")
-            sig, key, bucket = sig[order], key[order], bucket[order]
+            sig, key, bucket = sig[order], key[order], bucket[order].astype(np.int64)
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             edges = list(zip(first, np.r_[first[1:], len(bucket)]))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([sig[a:b].tobytes() for a, b in edges], pa.binary()),
-                                               pa.array([key[a:b].tobytes() for a, b in edges], pa.binary())], names=["bucket", "sigs", "sets"])
+            low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
+            return batch_of(bucket[first], sigs=[low[a:b].tobytes() for a, b in edges], sets=[key[a:b].tobytes() for a, b in edges])
 
+        row_kind = None
         for batch in by_bytes(batches):
+            row_kind = row_kind or pa.struct([("id", batch.schema.field(0).type), *ROW_KINDS])
+            n = batch.num_rows
+            sets, sizes, sure, fresh = [], [], [], []
             for shingles in shingle_sets(batch.column(1), words):
-                key = set_key(shingles)
-                if len(shingles) and key not in seen:
+                size = len(shingles)
+                key = set_key(shingles) if size else None
+                bound = True
+                if size and key not in seen:
                     seen.add(key)
+                    counts = []
                     for _, found in signatures(shingles, bands, salt):
                         sigs.append(found)
                         keys.append(np.full(len(found), key, np.int64))
+                        counts.append(len(found))
+                    bound = min(counts) > bands.most_different(size)
+                    fresh.append((key, size, *(counts + [0])[:2]))
+                sets.append(key)
+                sizes.append(size)
+                sure.append(bound)
+            spread = mixed_bits(np.arange(n, dtype=np.uint64) + batch.column(2)[:1].to_numpy().view(np.uint64)).view(np.int64)
+            texts = pa.StructArray.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()),
+                                                pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(sure, pa.bool_())], fields=list(row_kind))
+            yield batch_of(spread_over(spread, buckets), spread, row=texts)
+            if fresh:
+                key, size, own, follow = (np.array(c) for c in zip(*fresh))
+                counted = pa.StructArray.from_arrays([pa.nulls(len(key), row_kind[0].type), *(pa.nulls(len(key), pa.int64()) for _ in range(2)),
+                                                      *(pa.array(c, pa.int32()) for c in (size, own, follow)), pa.nulls(len(key), pa.bool_())], fields=list(row_kind))
+                yield batch_of(spread_over(key, buckets), key, row=counted)
             if sum(map(len, sigs)) > DEALT_ROWS:
                 yield deal()
                 sigs.clear()
@@ -207,7 +219,17 @@ def signature_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets
         if sigs:
             yield deal()
 
-    return docs.select("id", "text").mapInArrow(run, "bucket long, sigs binary, sets binary")
+    return docs.mapInArrow(run, schema)
+
+
+def row_field(ident: T.DataType) -> T.StructField:
+    kinds = (("id", ident), ("text_hash", T.LongType()), ("set", T.LongType()), ("size", T.IntegerType()), ("own", T.IntegerType()),
+             ("next", T.IntegerType()), ("sure", T.BooleanType()))
+    return T.StructField("row", T.StructType([T.StructField(n, k) for n, k in kinds]))
+
+
+def spread_over(key: np.ndarray, buckets: int) -> np.ndarray:
+    return parts_of(mixed_bits(key.view(np.uint64)), buckets).astype(np.int64)
 
 
 class Met:
@@ -218,7 +240,7 @@ class Met:
 
     def add(self, sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries of the signatures that several sets have, as far as known now and not given before."""
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         sig, key = sig[order], key[order]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         at = np.searchsorted(self.sig, sig[first])
@@ -242,54 +264,161 @@ class Met:
         return out_sig, out_key
 
 
+def met_in_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signatures, sets) of the entries that several sets have, from packed rows (bucket, sigs, sets) in order of buckets.
+
+    One entry a signature of the bucket at hand is kept, so a signature that very many sets have costs no memory.
+    """
+    bucket, met, waiting = None, Met(), 0
+    sigs: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+
+    def take() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if sigs:
+            yield met.add(np.concatenate(sigs), np.concatenate(keys))
+            sigs.clear()
+            keys.clear()
+
+    for batch in batches:
+        for here, sig, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if here != bucket:
+                yield from take()
+                bucket, met, waiting = here, Met(), 0
+            if width < 8:  # what is left out is the same within a bucket, but for the bucket itself
+                padded = np.zeros((len(sig) // width, 8), np.uint8)
+                padded[:, :width] = np.frombuffer(sig, np.uint8).reshape(-1, width)
+                sigs.append(padded.view("<u8").ravel() | np.uint64(here << 8 * width))
+            else:
+                sigs.append(np.frombuffer(sig, np.uint64))
+            keys.append(np.frombuffer(key, np.int64))
+            waiting += len(sigs[-1])
+            if waiting > DEALT_ROWS // 2:
+                yield from take()
+                waiting = 0
+    yield from take()
+
+
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """(sig, set) of the signatures that several sets have, once each.
+    """(sig, set) of the signatures that several sets have, once each, from packed rows with whole signatures."""
 
-    A task keeps one entry a signature of the bucket it is at, so a signature that very many sets have costs no memory.
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, key in met_in_buckets(batches, 8):
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], names=["sig", "set"])
+
+    # Copies of a set in several tasks give an entry several times.
+    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, set long")
+    return found.dropDuplicates(["sig", "set"])
+
+
+def shared_or_rows(dealt: DataFrame) -> DataFrame:
+    """(key, sig, row): signatures that several sets have, `key` being the set, beside the rows that `dealt_rows` gives, untouched."""
+    schema = T.StructType([dealt.schema["key"], T.StructField("sig", T.LongType()), dealt.schema["row"]])
+
+    @giving_back
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, others = [], []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field("row").type]
+                there = pc.is_valid(batch.column("sigs"))
+                rest = batch.filter(pc.invert(there))
+                if rest.num_rows:
+                    others.append(rest)
+                yield batch.filter(there).select(["bucket", "sigs", "sets"])
+                # Rows held back here leave with the next signatures, or at the end.
+
+        def held_back() -> Iterator[pa.RecordBatch]:
+            for rest in others:
+                yield pa.RecordBatch.from_arrays([rest.column("key"), pa.nulls(rest.num_rows, pa.int64()), rest.column("row")], names=schema.names)
+            others.clear()
+
+        for sig, key in met_in_buckets(packed(), SIG_BYTES):
+            yield from held_back()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig.view(np.int64)), pa.nulls(len(sig), kinds[0])], names=schema.names)
+        yield from held_back()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+class Alive:
+    """The live entries of sets whose rows come in order of sets, each with counts of signatures and shared signatures.
+
+    Two similar sets differ in at most `most_different` signatures of their band, so a set with more that nobody else has is
+    out: a text that is mostly its own, whatever passages it shares with others. What comes several times counts once.
     """
 
+    def __init__(self, percent: int) -> None:
+        self.percent = percent
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Take (set, signature, whether this row is one of counts, size, own, next); give the entries of all sets but the last one."""
+        self.waiting.append(columns)
+        return self._given(last=False)
+
+    def rest(self) -> tuple[np.ndarray, ...]:
+        return self._given(last=True)
+
+    def _given(self, last: bool) -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(c) for c in zip(*self.waiting)] if self.waiting else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort((columns[1], ~columns[2].astype(bool), columns[0]))  # counts first
+        key, sig, entry = columns[0][order], columns[1][order], ~columns[2][order].astype(bool)
+        once = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]) | (entry[1:] != entry[:-1])][:len(key)]
+        columns = [c[order][once] for c in columns]
+        end = len(columns[0]) if last or not len(key) else int(np.searchsorted(columns[0], key[-1]))
+        self.waiting = [tuple(c[end:] for c in columns)]
+        key, sig, counts, size, own, follow = (c[:end] for c in columns)
+        entry = ~counts.astype(bool)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:end])
+        at = np.repeat(np.arange(len(first)), np.diff(np.r_[first, end]))[entry]
+        key, sig = key[entry], sig[entry]
+        size, own, follow = size[first].astype(np.int64), own[first].astype(np.int64), follow[first].astype(np.int64)
+        band = sig & 31
+        later = band != np.where(size <= FIRST_TOP, 0, np.frexp(np.maximum(size - 1, 1))[1] - FIRST_TOP.bit_length() + 1)[at]
+        held = np.where(later, follow[at], own[at])
+        shared = np.bincount(2 * at + later, minlength=2 * len(first))[2 * at + later]
+        most = (100 - self.percent) * (size + 100 * size // self.percent) // (100 + self.percent)
+        stay = held - shared <= most[at]
+        return sig[stay], key[stay], band[stay], size[at][stay], held[stay]
+
+
+def live_or_rows(shared: DataFrame, percent: int) -> DataFrame:
+    """(sig, set, band, size, held): the live signature entries, `held` being how many signatures the set has in the band; and
+    `row`, the rows of texts, untouched."""
+    kinds = [("sig", T.LongType()), ("set", T.LongType()), ("band", T.LongType()), ("size", T.IntegerType()), ("held", T.IntegerType())]
+    schema = T.StructType([*(T.StructField(n, k) for n, k in kinds), shared.schema["row"]])
+
     @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, met, waiting = None, Met(), 0
-        sigs: list[np.ndarray] = []
-        keys: list[np.ndarray] = []
+        alive, row_kind = Alive(percent), None
 
-        def take() -> Iterator[pa.RecordBatch]:
-            if sigs:
-                sig, key = met.add(np.concatenate(sigs), np.concatenate(keys))
-                sigs.clear()
-                keys.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(key)], names=["sig", "set"])
+        def given(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            if len(found[0]):
+                columns = [pa.array(c, k) for c, k in zip(found, (pa.int64(),) * 3 + (pa.int32(),) * 2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found[0]), row_kind)], names=schema.names)
 
         for batch in batches:
-            for here, sig, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if here != bucket:
-                    yield from take()
-                    bucket, met, waiting = here, Met(), 0
-                sigs.append(np.frombuffer(sig, np.uint64))
-                keys.append(np.frombuffer(key, np.int64))
-                waiting += len(sigs[-1])
-                if waiting > DEALT_ROWS // 2:
-                    yield from take()
-                    waiting = 0
-        yield from take()
-
-    # Copies of a set in several tasks give an entry several times; the join by set that follows needs this shuffle anyway.
-    found = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sig long, set long")
-    return found.repartition("set").dropDuplicates(["sig", "set"])
+            row_kind = batch.schema.field("row").type
+            text = pc.is_valid(pc.struct_field(batch.column("row"), "sure"))
+            texts, rest = batch.filter(text), batch.filter(pc.invert(text))
+            if texts.num_rows:
+                nothing = [pa.nulls(texts.num_rows, k) for k in (pa.int64(),) * 3 + (pa.int32(),) * 2]
+                yield pa.RecordBatch.from_arrays([*nothing, texts.column("row")], names=schema.names)
+            if rest.num_rows:
+                columns = [rest.column("key"), pc.fill_null(rest.column("sig"), 0), pc.is_null(rest.column("sig")),
+                           *(pc.fill_null(pc.struct_field(rest.column("row"), n), 0) for n in ("size", "own", "next"))]
+                yield from given(alive.add(*(c.to_numpy(zero_copy_only=False) for c in columns)))
+        yield from given(alive.rest())
+
+    return shared.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def most_different(size: Column, percent: int) -> Column:
     return F.floor((100 - percent) * (size + F.floor(100 * size / percent)) / (100 + percent))
 
 
-def with_sizes(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Signature entries (sig, set, band, size, held): `held` is how many signatures the set has in the band."""
-    rows = shared.join(sets, "set").withColumn("band", F.col("sig").bitwiseAND(31))
-    own = F.when(F.col("size") <= FIRST_TOP, 0).otherwise(F.length(F.bin(F.col("size").cast("long") - 1)) - FIRST_TOP.bit_length() + 1)
-    return rows.select("sig", "set", "band", "size", F.when(F.col("band") == own, F.col("own")).otherwise(F.col("next")).alias("held"))
-
-
 def live(entries: DataFrame, percent: int) -> DataFrame:
     """Entries of the sets that can have a partner.
 
@@ -303,7 +432,7 @@ def live(entries: DataFrame, percent: int) -> DataFrame:
 def weighted(entries: DataFrame) -> DataFrame:
     """Entries of the signatures for the stars, with the set's `weight`: how many sets it meets, met again for every signature."""
     some = entries.where(F.pmod(F.shiftrightunsigned("sig", 5), F.lit(STAR_SHARE)) == 0).select("sig", "set", "size")
-    counted = some.join(some.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "sig")
+    counted = some.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
     return counted.withColumn("weight", F.sum("n").over(Window.partitionBy("set"))).drop("n")
 
 
@@ -402,16 +531,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     ship(docs.sparkSession)
     bands = Bands(percent)
     rows = ids_and_texts(docs, id_col, text_col)
+    amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(-(-amount // BUCKET_BYTES) or 1, MOST_BUCKETS)
     for salt in range(100):
-        found = settle(members(rows, bands, words, salt))
-        if found.where("not sure and size > 0").isEmpty():
+        looked = settle(live_or_rows(shared_or_rows(dealt_rows(rows, bands, words, salt, buckets)), percent))
+        found = looked.where("row is not null").select("row.*")
+        if found.where("not sure").isEmpty():
             break
     else:
         raise RuntimeError("no salt deals the shingles evenly enough")
-    sets = found.where("size > 0").groupBy("set").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("size", "own", "next")])
-    total = sets.agg(F.sum(F.col("own") + F.col("next"))).first()[0] or 0
-    shared = shared_signatures(signature_rows(rows, bands, words, salt, -(-total // BUCKET_ROWS) or 1))
-    entries = settle(live(with_sizes(shared, sets.drop("id")), percent))
+    sets = settle(found.where("size > 0").groupBy("set").agg(F.min("id").alias("id")))
+    entries = looked.where("sig is not null").drop("row")
     roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     return joined.select("id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
@@ -467,8 +597,10 @@ def linked(rows: DataFrame, entries: DataFrame, sets: DataFrame, words: int, per
             break
         tried = pairs if tried is None else tried.union(pairs)
         roots = components(compared(rows, pairs, sets, words, percent), roots)
-    rest = settle(live(between(with_roots(entries, roots)), percent))
-    rest = settle(live(between(rest), percent))
+    seen = Observation()
+    rest = settle(live(between(with_roots(entries, roots)).observe(seen, F.count("*").alias("n")), percent))
+    if rest.count() < AGAIN * seen.get["n"]:  # many have left, and may have left others alone
+        rest = settle(live(between(rest), percent))
     pairs = settle(block_pairs(rest, percent).distinct())
     return components(compared(rows, pairs, sets, words, percent), roots)
 
@@ -482,8 +614,9 @@ def with_roots(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def between(entries: DataFrame) -> DataFrame:
     """Entries of the signatures that sets of several components have."""
-    ends = entries.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return entries.join(ends.select("sig"), "sig")
+    of_sig = Window.partitionBy("sig")  # one shuffle; sums per signature beside the entries would travel as many again
+    ends = entries.withColumn("low", F.min("root").over(of_sig)).withColumn("high", F.max("root").over(of_sig))
+    return ends.where("low <> high").drop("low", "high")
 
 
 def star_pairs(entries: DataFrame, roots: DataFrame | None, tried: DataFrame | None, percent: int) -> DataFrame:
@@ -492,8 +625,8 @@ def star_pairs(entries: DataFrame, roots: DataFrame | None, tried: DataFrame | N
     b is the most connected set of a signature; of several, the one under most signatures that wasn't tried.
     """
     named = with_roots(entries, roots)
-    center = F.max(F.struct("weight", "set", "size", "root")).alias("center")
-    met = named.join(named.groupBy("sig").agg(center), "sig")
+    center = F.max(F.struct("weight", "set", "size", "root"))
+    met = named.withColumn("center", center.over(Window.partitionBy("sig")))
     met = met.where((F.col("root") != F.col("center")["root"]) & size_fits(F.col("size"), F.col("center")["size"], percent))
     votes = met.groupBy(F.col("set").alias("a"), F.col("center")["set"].alias("b")).agg(F.count("*").alias("n"))
     if tried is not None:
@@ -506,10 +639,10 @@ def block_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     """Pairs (a, b) of sets in different components that share enough signatures to be similar.
 
     Sets that a chain of signatures connects are a family. A family's sets are dealt into blocks by hash; every two blocks
-    meet in one task, which counts common signatures by matrix products. Tasks hold about two blocks, however large a family.
+    meet in one task, which counts common signatures. Tasks hold about two blocks, however large a family.
     """
-    low = entries.groupBy("sig").agg(F.min("set").alias("b"))
-    chain = components(entries.join(low, "sig").select(F.col("set").alias("a"), "b").where("a <> b").distinct())
+    low = F.min("set").over(Window.partitionBy("sig"))
+    chain = components(entries.select(F.col("set").alias("a"), low.alias("b")).where("a <> b").distinct())
     sets = entries.groupBy("set", "band").agg(F.first("size").alias("size"), F.first("held").alias("held"), F.first("root").alias("root"),
                                               F.collect_list("sig").alias("sigs"))  # at most one signature per shingle of the set
     sets = sets.join(chain.select(F.col("node").alias("set"), F.col("root").alias("family")), "set")
@@ -540,8 +673,12 @@ def block_pairs(entries: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     return dealt.groupBy("family", "band", "first", "second").applyInPandas(count, "a long, b long")
 
 
-def common_counts(one: list, two: list, width: int = 4096) -> np.ndarray:
-    """Matrix of common elements of each of the sets `one` with each of the sets `two`, `width` elements at a time."""
+def common_counts(one: list, two: list, width: int = 4096, rare: int = 2_000, piece: int = 4_000_000) -> np.ndarray:
+    """Matrix of common elements of each of the sets `one` with each of the sets `two`.
+
+    Elements of few pairs of sets, up to one in `rare` of all, are counted pair by pair, about `piece` pairs at a time; the others by
+    matrix products, `width` elements at a time.
+    """
     counts = np.zeros((len(one), len(two)), np.float32)
     if not one or not two:
         return counts
@@ -555,7 +692,22 @@ def common_counts(one: list, two: list, width: int = 4096) -> np.ndarray:
         inside[inside] = known[column[inside]] == values[inside]
         order = np.argsort(column[inside], kind="stable")
         places.append((row[inside][order], column[inside][order]))
-    for start in range(0, len(known), width):
+    holders = [np.bincount(column, minlength=len(known)) for _, column in places]
+    starts = [np.cumsum(n) - n for n in holders]
+    met = holders[0] * holders[1]
+    few = np.flatnonzero(met <= max(1, len(one) * len(two) // rare))
+    cuts = np.cumsum(met[few]) // piece
+    for some in np.split(few, np.flatnonzero(np.diff(cuts)) + 1):
+        column = np.repeat(some, met[some])
+        nth = np.arange(len(column)) - np.repeat(np.cumsum(met[some]) - met[some], met[some])
+        x, y = np.divmod(nth, holders[1][column])
+        pairs = places[0][0][starts[0][column] + x] * len(two) + places[1][0][starts[1][column] + y]
+        counts += np.bincount(pairs, minlength=counts.size).reshape(counts.shape)
+    many = np.ones(len(known), bool)
+    many[few] = False
+    number = np.cumsum(many) - 1
+    places = [(row[many[column]], number[column[many[column]]]) for row, column in places]
+    for start in range(0, int(many.sum()), width):
         dense = []
         for sets, (row, column) in zip((one, two), places):
             low, high = np.searchsorted(column, (start, start + width))

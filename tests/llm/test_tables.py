@@ -268,3 +268,66 @@ def test_components(spark, links, first):
     known = jaccard_join.components(spark.createDataFrame(links[:first], schema)) if links[:first] else None
     got = {r.node: r.root for r in jaccard_join.components(spark.createDataFrame(links, schema), known).collect()}
     assert all(got.get(i, i) == root[i] for i in range(16))
+
+
+def test_one_look_gives_texts_and_live_signatures(spark):
+    """From one look at the texts: each text's row once, and the signatures that sets share, of the sets that may have a partner."""
+    bands, passage = jaccard_join.Bands(), data.prose(12, 60)
+    texts = [f"{data.prose(100 + i, 40)} {passage} {data.prose(200 + i, 30)}" for i in range(6)]
+    texts += [data.prose(7, 400), "x " + data.prose(7, 400), data.prose(8, 200), data.prose(8, 200), None, "", "one"] * 2
+    rows = jaccard_join.ids_and_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id", "text")
+    looked = jaccard_join.live_or_rows(jaccard_join.shared_or_rows(jaccard_join.dealt_rows(rows, bands, 5, 0, 3)), 75).collect()
+    sets = jaccard_join.shingle_sets(pa.array(texts, pa.string()))
+    keys = [jaccard_join.set_key(s) if len(s) else None for s in sets]
+    assert sorted((r.row.id, r.row.set or 0, r.row.size) for r in looked if r.row) == [(i, k or 0, len(s)) for i, (k, s) in enumerate(zip(keys, sets))]
+    owners, held = defaultdict(set), {}
+    for key, s in zip(keys, sets):
+        for band, found in jaccard_join.signatures(s, bands, 0) if len(s) else []:
+            held[key, band] = len(s), len(found)
+            for sig in found.tolist():
+                owners[sig % 2**48].add((key, band))
+    shared = defaultdict(set)
+    for sig, who in owners.items():
+        for entry in who if len(who) > 1 else ():
+            shared[entry].add(sig)
+    want = {(sig, key, band, *held[key, band]) for (key, band), found in shared.items()
+            if held[key, band][1] - len(found) <= bands.most_different(held[key, band][0]) for sig in found}
+    got = [(r.sig % 2**48, r.set, r.band, r.size, r.held) for r in looked if r.sig is not None]
+    assert want and len(got) == len(want) and set(got) == want
+
+
+def test_between_shuffles_entries_once(spark):
+    entries = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 3, 3), (3, 3, 3)], "sig long, set long, root long")
+    found = jaccard_join.between(entries)
+    assert sorted(map(tuple, found.collect())) == [(2, 1, 1), (2, 3, 3)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 0
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hash") == 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30)), max_size=9), st.lists(st.sets(st.integers(0, 30)), max_size=9), st.sampled_from([1, 7, 2000]), st.integers(1, 20))
+def test_common_counts(one, two, rare, piece):
+    """Elements of few pairs are counted pair by pair, others by products: the counts are the same."""
+    got = jaccard_join.common_counts([sorted(s) for s in one], [sorted(s) for s in two], 4, rare, piece)
+    assert got.tolist() == [[len(a & b) for b in two] for a in one]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(-9, 9), st.tuples(st.integers(1, 600), st.sets(st.integers(0, 9)), st.sets(st.integers(0, 9)), st.integers(0, 3)), max_size=6),
+       st.integers(1, 9), st.randoms())
+def test_alive(sets, piece, pick):
+    rows, want = [], set()
+    for key, (size, own, follow, alone) in sorted(sets.items()):
+        band = jaccard_join.Bands.band(size)
+        mine = [(key, 0, True, size, len(own) + alone, len(follow) + alone)] * 2
+        for b, found in ((band, own), (band + 1, follow)):
+            mine += [(key, 32 * s + b, False, 0, 0, 0) for s in found] * 2
+            if alone <= jaccard_join.Bands().most_different(size):
+                want |= {(32 * s + b, key, b, size, len(found) + alone) for s in found}
+        pick.shuffle(mine)
+        rows += mine
+    alive, got = jaccard_join.Alive(75), []
+    for i in range(0, len(rows), piece):
+        got += zip(*(c.tolist() for c in alive.add(*(np.array(c) for c in zip(*rows[i:i + piece])))))
+    got += zip(*(c.tolist() for c in alive.rest()))
+    assert len(got) == len(want) and set(got) == want
