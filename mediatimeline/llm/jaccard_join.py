@@ -599,7 +599,8 @@ def linked(rows: DataFrame, entries: DataFrame, sets: DataFrame, words: int, per
         roots = components(compared(rows, pairs, sets, words, percent), roots)
     seen = Observation()
     rest = settle(live(between(with_roots(entries, roots)).observe(seen, F.count("*").alias("n")), percent))
-    if rest.count() < AGAIN * seen.get["n"]:  # many have left, and may have left others alone
+    left = rest.count()
+    if left and left < AGAIN * seen.get["n"]:  # many have left, and may have left others alone; of nothing no number may be seen
         rest = settle(live(between(rest), percent))
     pairs = settle(block_pairs(rest, percent).distinct())
     return components(compared(rows, pairs, sets, words, percent), roots)
