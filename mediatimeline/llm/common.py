@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,19 @@ def giving_back(run: Callable) -> Callable:
     return wrapped
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """While it holds, Spark hands tasks Arrow batches of about `limit` bytes, or one row, not of up to 64 MB: such a batch stands twice
+    outside the heap and again in the Python worker. It holds for what runs meanwhile, not for frames that are only made."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{limit}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash_unit(*cols) -> F.Column:
     """A number in [0, 1) that depends on the columns only, so that reruns and retries agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))

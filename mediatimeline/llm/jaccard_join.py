@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mediatimeline.llm.common import by_bytes, giving_back, ids_and_texts, whole_rows
+from mediatimeline.llm.common import by_bytes, giving_back, ids_and_texts, small_batches, whole_rows
 from mediatimeline.session import settle, ship
 
 WORDS = 5
@@ -28,6 +28,7 @@ BLOCK = 2_048  # sets of a family that are counted against as many others in one
 DEALT_ROWS = 400_000  # signatures that a task gathers before it deals them out
 BUCKET_BYTES = 32_000_000  # text whose signatures make a bucket, on average
 MOST_BUCKETS = 1 << 15  # beyond, buckets get larger
+LOOK_BYTES = 2 << 20  # text that a task splits into words at once; what this takes meanwhile is many times as much
 SIG_BYTES = 6  # of a signature travel; two of a bucket that differ meet with odds of 1 to 2**43, and a pair too much is compared in vain
 SEND_ROWS = 2_000_000  # narrow rows up to this number are broadcast to pick texts; more are joined by a shuffle
 
@@ -183,7 +184,7 @@ def dealt_rows(docs: DataFrame, bands: Bands, words: int, salt: int, buckets: in
             return batch_of(bucket[first], sigs=[low[a:b].tobytes() for a, b in edges], sets=[key[a:b].tobytes() for a, b in edges])
 
         row_kind = None
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, LOOK_BYTES):
             row_kind = row_kind or pa.struct([("id", batch.schema.field(0).type), *ROW_KINDS])
             n = batch.num_rows
             sets, sizes, sure, fresh = [], [], [], []
@@ -531,18 +532,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     ship(docs.sparkSession)
     bands = Bands(percent)
     rows = ids_and_texts(docs, id_col, text_col)
-    amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(-(-amount // BUCKET_BYTES) or 1, MOST_BUCKETS)
-    for salt in range(100):
-        looked = settle(live_or_rows(shared_or_rows(dealt_rows(rows, bands, words, salt, buckets)), percent))
-        found = looked.where("row is not null").select("row.*")
-        if found.where("not sure").isEmpty():
-            break
-    else:
-        raise RuntimeError("no salt deals the shingles evenly enough")
-    sets = settle(found.where("size > 0").groupBy("set").agg(F.min("id").alias("id")))
-    entries = looked.where("sig is not null").drop("row")
-    roots = linked(rows, entries, sets, words, percent)
+    with small_batches(docs.sparkSession):  # all Python work is done in here; what is returned only joins
+        amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(-(-amount // BUCKET_BYTES) or 1, MOST_BUCKETS)
+        for salt in range(100):
+            looked = settle(live_or_rows(shared_or_rows(dealt_rows(rows, bands, words, salt, buckets)), percent))
+            found = looked.where("row is not null").select("row.*")
+            if found.where("not sure").isEmpty():
+                break
+        else:
+            raise RuntimeError("no salt deals the shingles evenly enough")
+        sets = settle(found.where("size > 0").groupBy("set").agg(F.min("id").alias("id")))
+        entries = looked.where("sig is not null").drop("row")
+        roots = linked(rows, entries, sets, words, percent)
     joined = found.join(roots.select(F.col("node").alias("set"), "root"), "set", "left")
     return joined.select("id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("root", "set").alias("root"))
 

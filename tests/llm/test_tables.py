@@ -155,6 +155,20 @@ def test_jaccard_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({texts[r][0] for r in roots})
 
 
+def test_jaccard_small_batches(spark):
+    """While sets are looked for, tasks get Arrow batches of a few MB, however many rows Spark would put into one."""
+    def held(batches):
+        for batch in batches:
+            assert batch.num_rows == 1 or batch.nbytes <= 6 << 20, f"a batch of {batch.nbytes} bytes"
+            yield batch
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 1000), "id").alias("text"))
+    found = jaccard_join.jaccard_components(texts.mapInArrow(held, texts.schema))
+    assert found.count() == 3000 and spark.conf.get(name) == before
+
+
 def test_jaccard_odd_rows(spark):
     rows = sorted(data.odd_rows(), key=lambda r: (r[0] is None, r[0] or 0))
     sets = [data.shingles(r[1]) for r in rows]
