@@ -38,6 +38,19 @@ def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "de
     one row; transcripts and notes of more than `part_rows` timelines come in parts. `whole` puts the parts of a media into
     one row all the same: its transcript must stay under 2 GB, the most a value can hold, and a task needs a few times that.
     """
+    if whole:
+        # Rows go straight from their tasks to the one of their media, which holds them and the text made of them, once each:
+        # parts, a join or a projection behind the aggregate would each hold the text again.
+        def gathered(name: str, there: Column) -> Column:
+            return F.sort_array(F.collect_list(F.when(there, F.struct("ordinal", name))))[name]
+
+        speakers = F.array_compact(F.flatten(F.collect_set("speakers")))
+        notes = F.transform("notes", lambda n: F.concat(F.lit("["), F.col("source"), F.lit("] "), n))
+        return timelines.withColumn("_notes", notes).groupBy(key).agg(
+            F.array_sort(F.array_distinct(speakers)).alias("speakers"),
+            F.concat(F.array(F.lit(label)), F.array_sort(F.collect_set("source"))).alias("sources_used"),
+            F.lit(0).cast("bigint").alias("part"), F.concat_ws(" ", gathered("transcript", F.col("transcript") != "")).alias("transcript"),
+            F.flatten(gathered("_notes", F.col("_notes").isNotNull())).alias("notes"))
     sets = timelines.withColumn("_speaker", F.explode_outer("speakers")).groupBy(key).agg(
         F.array_sort(F.collect_set("_speaker")).alias("speakers"),
         F.concat(F.array(F.lit(label)), F.array_sort(F.collect_set("source"))).alias("sources_used"))
@@ -47,12 +60,6 @@ def merge_metadata(timelines: DataFrame, key: str = "media_id", label: str = "de
     spoken = F.filter(F.transform("_texts", lambda x: x["transcript"]), lambda x: x != "")
     texts = texts.select(key, "part", F.array_join(spoken, " ").alias("transcript"),
                          F.flatten(F.transform("_texts", lambda x: x["notes"])).alias("notes"))
-    if whole:
-        # Parts do not shrink before the shuffle, so they are moved first and gathered once.
-        parts = texts.repartition(key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "transcript", "notes"))).alias("_parts"))
-        said = F.filter(F.transform("_parts", lambda p: p["transcript"]), lambda x: x != "")
-        texts = parts.select(key, F.lit(0).cast("bigint").alias("part"), F.array_join(said, " ").alias("transcript"),
-                             F.flatten(F.transform("_parts", lambda p: p["notes"])).alias("notes"))
     return sets.join(texts, key)
 
 

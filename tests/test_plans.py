@@ -42,3 +42,11 @@ def test_winning_rows_are_moved_once(spark, name):
     assert "max_by" not in plan
     join = min(n for n, line in enumerate(plan.splitlines()) if "l_orderkey" in line and "Join" in line)
     assert not any("l_suppkey" in line for line in plan.splitlines()[:join + 1])
+
+
+def test_whole_media_are_held_once(spark):
+    """Rows are moved once and gathered by one aggregate; nothing behind it holds the long text again."""
+    plan = plan_of(Q["merge_metadata"](spark, SMALL))
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan, plan
+    top = plan[:plan.index("Exchange")]
+    assert top.count("ObjectHashAggregate") == 1 and "Project" not in top, plan

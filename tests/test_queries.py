@@ -81,6 +81,16 @@ def test_text_helpers_of_odd_documents(spark, tmp_path):
     assert out == f"ok {len(rows) + 1} rows", out
 
 
+def test_merge_metadata_of_odd_documents(spark, tmp_path):
+    """Media without a name, texts, languages or numbers stay, with nulls where SQL has them."""
+    con = duckdb.connect()
+    rows = [(i, None if i % 5 == 0 else "" if i % 7 == 0 else f"t{i}", (None, "en", "de", "")[i % 4], (None, "", "s0", "s1")[i % 3 + i % 2], 1) for i in range(1, 60)]
+    rows += [(100, "a", None, "bare", 1), (101, None, None, "bare", 1), (None, "b", None, "none", 1), (None, "c", "en", "s0", 1), (104, "", "en", "mute", 1)]
+    documents_of(con, tmp_path, rows)
+    out = compare(QUERIES["merge_metadata"](spark, str(tmp_path)), con, SQL["merge_metadata"])
+    assert out == "ok 7 rows", out
+
+
 def test_everything_is_registered():
     assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
