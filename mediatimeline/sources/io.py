@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediatimeline.operators.ordered import NO_CUTS, Cuts, pack
@@ -61,17 +61,20 @@ def nest_timelines(media: DataFrame, spans: DataFrame, span_events: DataFrame, e
                     F.col("_span_part").alias("span_part"), F.coalesce("_events", none).alias("events"))
     span_parts = pack(whole, ("media_id",), ("start", "ordinal", "_span_part"), span, "spans", cuts, part_rows, has_maps=True)
     event_parts = pack(events, ("media_id",), ("t", "ordinal"), event, "events", cuts, part_rows, has_maps=True)
-    joined = span_parts.join(event_parts, ["media_id", "part"], "full")
-    first = media.select("media_id", F.lit(0).cast("bigint").alias("part"))
-    keyed = joined.join(first, ["media_id", "part"], "full")
-    return keyed.join(media.select("media_id", "duration"), "media_id", "left").select(
-        F.col("media_id").cast("string").alias("media_id"), "part", "duration",
+    # Stacked, not joined: parts of a media are in one task already, and joins on (media_id, part) would move them all again.
+    first = media.select("media_id", F.lit(0).cast("bigint").alias("part"), "duration")
+    stacked = span_parts.unionByName(event_parts, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+    keyed = stacked.groupBy("media_id", "part").agg(
+        F.any_value("spans", True).alias("spans"), F.any_value("events", True).alias("events"), F.max("duration").alias("_duration"))
+    return keyed.select(
+        F.col("media_id").cast("string").alias("media_id"), "part", F.max("_duration").over(Window.partitionBy("media_id")).alias("duration"),
         F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"),
         F.coalesce("events", none).alias("events"))
 
 
 def write_timelines(timelines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    timelines.write.mode(mode).option("ignoreNullFields", False).json(path)
+    """JSON lines, compressed: field names and equal texts come with every event."""
+    timelines.write.mode(mode).option("ignoreNullFields", False).option("compression", "gzip").json(path)
 
 
 def read_timelines(spark: SparkSession, *paths: str) -> DataFrame:

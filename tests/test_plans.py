@@ -2,7 +2,10 @@
 
 import pytest
 
+from mediatimeline.plans import documents
+from mediatimeline.plans.bridges import Tables
 from mediatimeline.plans.catalog import QUERIES as Q
+from mediatimeline.sources import io
 from tests.conftest import SMALL, plan_of
 
 # The only queries that may start Python workers.
@@ -50,3 +53,17 @@ def test_whole_media_are_held_once(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan, plan
     top = plan[:plan.index("Exchange")]
     assert top.count("ObjectHashAggregate") == 1 and "Project" not in top, plan
+
+
+def test_nested_parts_are_not_moved_again(spark):
+    """Spans, events and media of one media meet in the task that packs them."""
+    plan = plan_of(documents.nested(Tables(spark, SMALL)))
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "part#" in line], plan
+    assert plan.count("Exchange hashpartitioning") <= 9, plan
+
+
+def test_stored_timelines_are_compressed(spark, tmp_path):
+    io.write_timelines(documents.nested(Tables(spark, SMALL)), str(tmp_path / "timelines"))
+    names = [p.name for p in (tmp_path / "timelines").glob("part-*")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert io.read_timelines(spark, str(tmp_path / "timelines")).count() > 0
