@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mediatimeline.functions import detectors
 from mediatimeline.operators.ordered import NO_CUTS, find_cuts
 from mediatimeline.sources import documents, io, store, timeline_files
+from tests.conftest import plan_of
 
 
 def timelines(spark):
@@ -230,3 +231,29 @@ def test_timeline_files(spark, tmp_path):
     assert sorted((r["t"], r["span_no"] if r["span_no"] is not None else -1, r["d"]) for r in seen if r["file"] == "m1.json" and r["d"]) == [
         (0.5, 0, '{"word":"a"}'), (1.5, 0, '{"word":"b"}'), (6.0, -1, '{"n":[1,null]}')]
     assert [(r["t"], r["span_no"], r["d"]) for r in seen if r["file"] == "flat.json"] == [(1.5, None, '{"k":1}')]
+
+
+def test_timeline_lines_are_moved_once(spark, tmp_path):
+    """Commas, counts and sources are seen where the lines of a media are put in order; files in folders are compressed."""
+    docs = spark.createDataFrame([("a", None, None, None, None, None, None, None, None), ("b", None, None, None, None, None, None, None, None)],
+                                 "media_id string, audio_file string, duration double, transcript string, speakers array<string>, language string, language_confidence double, created_at string, notes array<string>")
+    spans = spark.createDataFrame([("a", i, float(i // 2), i + 1.0, "S", f"s{i % 2}", None, None, None) for i in range(5)],
+                                  "media_id string, ordinal bigint, start double, end double, description string, source string, confidence double, details string, audio_features string")
+    events = spark.createDataFrame([("a", s, float(s // 2), i, 0.5 * (i % 3), "E", "e", None, None) for s in (1, 4) for i in range(4)] +
+                                   [(m, None, None, i, 1.0 * i, "E", None, None, None) for m in "ab" for i in range(3)],
+                                   "media_id string, span_ordinal bigint, span_start double, ordinal bigint, t double, description string, source string, confidence double, details string")
+    lines = timeline_files.timeline_lines(docs, spans, events)
+    plan = plan_of(lines)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+    by_name = timeline_files.timeline_lines(docs, spans, events.drop("span_start")).collect()
+    assert sorted(map(str, by_name)) == sorted(map(str, lines.collect()))
+    path = str(tmp_path / "tl")
+    timeline_files.write_timeline_files(docs, spans, events, path, folders=True)
+    assert sorted(p.name for p in (tmp_path / "tl").glob("*/*")) == ["a.json.gz", "b.json.gz"]
+    files = {r["file"]: json.loads(r["doc"]) for r in timeline_files.read_timeline_files(spark, path, folders=True).selectExpr("file", "to_json(doc) AS doc").collect()}
+    a, b = files["a.json.gz"], files["b.json.gz"]
+    assert [(s["start"], s["end"], len(s["events"])) for s in a["timeline_spans"]] == [(0.0, 1.0, 0), (0.0, 2.0, 4), (1.0, 3.0, 0), (1.0, 4.0, 0), (2.0, 5.0, 4)]
+    assert [e["timestamp"] for e in a["timeline_spans"][1]["events"]] == [0.0, 0.0, 0.5, 1.0] and [e["timestamp"] for e in a["events"]] == [0.0, 1.0, 2.0]
+    counts = ("total_spans", "total_events", "span_events", "standalone_events", "sources_used")
+    assert [a["metadata"][n] for n in counts] == [5, 11, 8, 3, ["e", "s0", "s1"]]
+    assert [b["metadata"][n] for n in counts] == [0, 3, 0, 3, []] and b["timeline_spans"] == [] and len(b["events"]) == 3
