@@ -289,3 +289,25 @@ def test_pairs_are_looked_at_where_sets_meet(spark, monkeypatch):
     marked = settle(library.marked_sets(library.term_sets(spark.createDataFrame(rows, "media_id string, scene int, field string, term string"))[1]))
     pairs = library.candidate_pairs(marked, 0.5)
     assert pairs.count() <= 1.2 * len(want) and "Join" not in pairs._jdf.queryExecution().toString()
+
+
+def test_units_are_numbers(spark):
+    """Sets and pairs travel with a number for each unit, the same for the same unit of any set, whatever task named it."""
+    rows = [(f"m{i % 3}", i, f, f"{f}{(i * k) % (3 + k)}") for i in range(40) for k, f in enumerate(("text", "topic", "speaker", "other"), 1)]
+    frame = spark.createDataFrame(rows, "media_id string, scene int, field string, term string").repartition(4)
+    members, sets = library.term_sets(frame)
+    assert sets.schema["units"].dataType.simpleString() == "array<int>"
+    own = {r["scene"]: bytes(r["set_id"]) for r in members.collect()}
+    units = {bytes(r["set_id"]): r["units"] for r in sets.collect()}
+    terms, seen = {}, {}
+    for _, scene, f, t in rows:
+        terms.setdefault(scene, set()).add((f, t))
+    weights = library.FIELD_WEIGHTS
+    for scene, found in terms.items():
+        assert len(set(units[own[scene]])) == len(units[own[scene]]) == sum(weights.get(f, 1) for f, _ in found)
+        for u in units[own[scene]]:
+            seen[u] = seen.get(u, found) & found
+    every = set().union(*terms.values())
+    assert len(seen) == sum(weights.get(f, 1) for f, _ in every) and all(seen.values())
+    few = library.cross_references(frame, 0.4, {"text": 5})[1]
+    assert few.schema["shared_terms"].dataType.simpleString() == "int" and few.count() > 0
